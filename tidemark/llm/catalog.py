@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import bpe, contamination, quality, tokens
 
 QUERIES = {
+    "op2_token_counts": tokens.op2,
+    "op3_decontamination": contamination.op3,
     "op9_quality_classifier": quality.op9,
+    "op10_byte_bpe": bpe.op10,
 }
 #: Only the decontamination windows are plain SQL; the rest is held against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": contamination.SQL}
