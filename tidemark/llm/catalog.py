@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, contamination, quality, tokens
+from tidemark.llm import bpe, contamination, licenses, lines, neardup, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1,
     "op2_token_counts": tokens.op2,
     "op3_decontamination": contamination.op3,
+    "op6_near_dedup": neardup.op6,
+    "op7_license_scan": licenses.op7,
+    "op8_toxicity": toxicity.op8,
     "op9_quality_classifier": quality.op9,
     "op10_byte_bpe": bpe.op10,
 }
