@@ -1,10 +1,14 @@
-"""Documents to training tokens: quality, line dedup, near dedup, decontamination, byte-level BPE."""
+"""Documents to training tokens: quality, line dedup, near dedup, decontamination, byte-level BPE.
+
+Each stage reads what the one before it kept. The first four return the columns of documents; the last adds
+n_tokens, token_ids and whether decoding the ids gave the text back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import bpe, contamination, lines, neardup, quality
 from tidemark.llm.common import stage, table
 
 
@@ -14,7 +18,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, model)
 
 
-STAGES = [("quality", good_quality)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the runs of lines that stand at a lesser place."""
+    return lines.dedup(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids."""
+    return bpe.encode(docs, *bpe.default_files())
+
+
+STAGES = [("quality", good_quality), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", decontaminate), ("byte_bpe", tokenize)]
 
 #: Trained scores and recursive merges are not SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None

@@ -156,7 +156,7 @@ def loaded(path: str, pattern: str) -> Bpe:
     return _loaded[path, pattern]
 
 
-def _default() -> tuple[str, str]:
+def default_files() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -202,4 +202,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), *_default())
+    return digests(table(spark, sf_dir, "documents"), *default_files())

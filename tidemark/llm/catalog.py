@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, contamination, licenses, lines, neardup, quality, tokens, toxicity
+from tidemark.llm import ann, bpe, contamination, licenses, lines, neardup, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
     "op2_token_counts": tokens.op2,
     "op3_decontamination": contamination.op3,
+    "op4_pii_pseudonyms": pii.op4,
+    "op5_ann": ann.op5,
     "op6_near_dedup": neardup.op6,
     "op7_license_scan": licenses.op7,
     "op8_toxicity": toxicity.op8,
