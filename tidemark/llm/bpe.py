@@ -1,7 +1,7 @@
 """Byte-level BPE, encoded and decoded by DuckDB inside each task.
 
 Spark deals out the documents; a task splits its texts by the tokenizer's pattern and hands the distinct
-new words to a recursive DuckDB query. Its rows are (word, position, token): every step joins neighbours
+new words to a recursive DuckDB query. Its rows are (word and position, token, next position): every step joins neighbours
 to the merge table and contracts each word's leftmost pair of least rank, until no word has a pair left.
 An ordered aggregation over (document, position) puts the tokens' bytes together again.
 
@@ -28,27 +28,24 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import slices, table
 
-KEEP_WORDS, LONG, STEP_WORDS = 400_000, 1024, 40_000
+KEEP_WORDS, LONG, STEP_WORDS = 1_000_000, 1024, 40_000
 _ENCODE = """
-with recursive state(w, p, id, live) as (
-    select w, p, id, true from fresh
+with recursive state(k, id, nk, live) as (
+    select k, id, k + 1, true from fresh
     union all
-    select w, p, id, live from (
-        select w, p, case when p = bp then bm else id end as id, bm is not null as live, bp, lag(p) over (partition by w order by p) as pp
-        from (
-            select w, p, id, cast(best // 4294967296 as int) as bm, cast(best % 4294967296 as int) as bp
-            from (
-                select w, p, id, min(cast(m as bigint) * 4294967296 + p) over (partition by w) as best
-                from (select w, p, id, lead(id) over (partition by w order by p) as nid from state where live) pair
-                left join merges on merges.l = pair.id and merges.r = pair.nid
-            ) ranked
-        ) chosen
-    ) contracted
-    where pp is null or bp is null or pp <> bp
+    select s.k, case when s.k = b.k then b.m else s.id end, case when s.k = b.k then b.after else s.nk end, b.k is not null
+    from state s
+    left join (
+        select x.k // 4096 as w, min(m) as m, arg_min(x.k, m * 4096 + x.k % 4096) as k, arg_min(y.k, m * 4096 + x.k % 4096) as gone, arg_min(y.nk, m * 4096 + x.k % 4096) as after
+        from state x join state y on y.k = x.nk join merges on merges.l = x.id and merges.r = y.id
+        where x.live and y.live
+        group by 1
+    ) b on b.w = s.k // 4096
+    where s.live and (b.gone is null or s.k <> b.gone)
 )
-select w, list(id order by p) as ids from state where not live group by w order by w
+select k // 4096 as w, list(id order by k) as ids from state where not live group by 1 order by 1
 """
-_DECODE = "select doc, string_agg(piece, '' order by pos) as text from tokens join vocab using (id) group by doc"
+_DECODE = "select doc, array_to_string(list(piece order by pos), '') as text from tokens join vocab using (id) group by doc"
 
 
 class Bpe:
@@ -63,7 +60,8 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         rows = [(self.ranks[b[:i]], self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks]
-        merges = pa.table([pa.array(x, pa.int32()) for x in zip(*rows, strict=True)], ["l", "r", "m"])
+        l, r, m = zip(*rows, strict=True)
+        merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "m": pa.array(m, pa.int64())})
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.db.register("merges_in", merges)
@@ -77,8 +75,7 @@ class Bpe:
         begin = np.cumsum(size) - size
         rows = pa.table(
             {
-                "w": pa.array(np.repeat(np.arange(len(fresh), dtype=np.int32), size)),
-                "p": pa.array((np.arange(int(size.sum())) - np.repeat(begin, size)).astype(np.int32)),
+                "k": pa.array(np.repeat(np.arange(len(fresh)), size) * 4096 + np.arange(int(size.sum())) - np.repeat(begin, size)),
                 "id": pa.array(self.byte[np.frombuffer(b"".join(fresh), np.uint8)]),
             }
         )
@@ -112,7 +109,7 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(x) for x in texts]
         if len(self.words) > KEEP_WORDS:
-            self.words.clear()
+            self.words = dict(list(self.words.items())[KEEP_WORDS // 2 :])  # the newest stay
         fresh = sorted(set().union(*split).difference(self.words)) if split else []
         for at in range(0, len(fresh), STEP_WORDS):
             part = fresh[at : at + STEP_WORDS]
