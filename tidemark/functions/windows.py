@@ -116,66 +116,66 @@ def with_ewm_std(df, x: str, span: int, name: str, bars: Bars = SEG):
     """
     keep, new = bars.ewm_parts(x, span)
     v = F.col(x).cast("double")
-    step = df.withColumns({"_keep": keep, "_new": new})
-    step = step.withColumn("_s", F.sum(F.log("_keep")).over(bars.run))
-    part = lambda y, k: F.exp(k * F.col("_s")) * F.sum(y * F.exp(-k * F.col("_s"))).over(bars.run)
+    step = df.withColumns({"__keep": keep, "__new": new})
+    step = step.withColumn("__s", F.sum(F.log("__keep")).over(bars.run))
+    part = lambda y, k: F.exp(k * F.col("__s")) * F.sum(y * F.exp(-k * F.col("__s"))).over(bars.run)
     step = step.withColumns(
         {
-            "_m1": part(F.col("_new") * v, F.lit(1.0)),
-            "_m2": part(F.col("_new") * v * v, F.lit(1.0)),
-            "_w2": part(F.col("_new") * F.col("_new"), F.lit(2.0)),
-            "_n": F.count(v).over(bars.run),
+            "__m1": part(F.col("__new") * v, F.lit(1.0)),
+            "__m2": part(F.col("__new") * v * v, F.lit(1.0)),
+            "__w2": part(F.col("__new") * F.col("__new"), F.lit(2.0)),
+            "__n": F.count(v).over(bars.run),
         }
     )
-    var = (F.col("_m2") - F.col("_m1") * F.col("_m1")) / F.when(F.col("_w2") < 1 - 1e-12, 1 - F.col("_w2"))
-    return step.withColumn(name, F.when(F.col("_n") >= span, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("_keep", "_new", "_s", "_m1", "_m2", "_w2", "_n")
+    var = (F.col("__m2") - F.col("__m1") * F.col("__m1")) / F.when(F.col("__w2") < 1 - 1e-12, 1 - F.col("__w2"))
+    return step.withColumn(name, F.when(F.col("__n") >= span, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("__keep", "__new", "__s", "__m1", "__m2", "__w2", "__n")
 
 
 def with_bars_since(df, flag: Column, valid: str, name: str, bars: Bars = SEG):
     """Valid bars since the last flag; an invalid bar shows NULL and counts for nothing."""
     seen, at = bars.since_parts(flag, valid)
-    step = df.withColumns({"_seen": seen, "_at": at})
-    return step.withColumn(name, F.col("_seen") - F.last("_at", True).over(bars.run)).drop("_seen", "_at")
+    step = df.withColumns({"__seen": seen, "__at": at})
+    return step.withColumn(name, F.col("__seen") - F.last("__at", True).over(bars.run)).drop("__seen", "__at")
 
 
 def with_consecutive(df, cond: Column, valid: str, name: str, bars: Bars = SEG):
     """How many rows in a row the condition has held on valid bars."""
     on = F.coalesce(cond, F.lit(False)) & F.coalesce(c(valid), F.lit(False))
-    step = df.withColumns({"_on": on, "_rn": F.row_number().over(bars.spec)})
-    out = step.withColumn(name, F.col("_rn") - F.coalesce(F.last(F.when(~F.col("_on"), F.col("_rn")), True).over(bars.run), F.lit(0)))
-    return out.drop("_on", "_rn")
+    step = df.withColumns({"__on": on, "__rn": F.row_number().over(bars.spec)})
+    out = step.withColumn(name, F.col("__rn") - F.coalesce(F.last(F.when(~F.col("__on"), F.col("__rn")), True).over(bars.run), F.lit(0)))
+    return out.drop("__on", "__rn")
 
 
 def with_first_n(df, n: int, valid: str, prefix: str, high="high", low="low", open_="open", close="close", bars: Bars = SEG):
     """Range and drive of the first n bars, known from bar n on, if all of them are valid."""
-    step = df.withColumn("_rn", F.row_number().over(bars.spec))
-    early = F.col("_rn") <= n
+    step = df.withColumn("__rn", F.row_number().over(bars.spec))
+    early = F.col("__rn") <= n
     whole = bars.whole
     step = step.withColumns(
         {
-            "_ok": F.sum(F.when(early, F.coalesce(c(valid), F.lit(False)).cast("int"))).over(whole) == n,
-            "_hi": F.max(F.when(early, c(high))).over(whole),
-            "_lo": F.min(F.when(early, c(low))).over(whole),
-            "_op": F.max(F.when(F.col("_rn") == 1, c(open_))).over(whole),
-            "_cl": F.max(F.when(F.col("_rn") == n, c(close))).over(whole),
+            "__ok": F.sum(F.when(early, F.coalesce(c(valid), F.lit(False)).cast("int"))).over(whole) == n,
+            "__hi": F.max(F.when(early, c(high))).over(whole),
+            "__lo": F.min(F.when(early, c(low))).over(whole),
+            "__op": F.max(F.when(F.col("__rn") == 1, c(open_))).over(whole),
+            "__cl": F.max(F.when(F.col("__rn") == n, c(close))).over(whole),
         }
     )
-    ready = F.coalesce(F.col("_ok") & (F.col("_rn") >= n), F.lit(False))
+    ready = F.coalesce(F.col("__ok") & (F.col("__rn") >= n), F.lit(False))
     out = {f"{prefix}_ready": ready}
-    out |= {f"{prefix}_{k}": F.when(ready, F.col(f"_{v}")) for k, v in (("high", "hi"), ("low", "lo"), ("open", "op"), ("close", "cl"))}
-    return step.withColumns(out).drop("_rn", "_ok", "_hi", "_lo", "_op", "_cl")
+    out |= {f"{prefix}_{k}": F.when(ready, F.col(f"__{v}")) for k, v in (("high", "hi"), ("low", "lo"), ("open", "op"), ("close", "cl"))}
+    return step.withColumns(out).drop("__rn", "__ok", "__hi", "__lo", "__op", "__cl")
 
 
 def with_prior_segment(df, prefix: str = "prior"):
     """High, low, close and range of the market's segment before this one, from all of its rows."""
     stats = df.groupBy("market", "session_segment_id").agg(
-        F.min("ts").alias("_first"),
-        F.max("high").alias("_h"),
-        F.min("low").alias("_l"),
-        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("_c"),
+        F.min("ts").alias("__first"),
+        F.max("high").alias("__h"),
+        F.min("low").alias("__l"),
+        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("ts"))).alias("__c"),
     )
-    by = Window.partitionBy("market").orderBy("_first")
-    prior = stats.select("market", "session_segment_id", *[F.lag(x).over(by).alias(f"{prefix}_{n}") for n, x in (("high", "_h"), ("low", "_l"), ("close", "_c"))])
+    by = Window.partitionBy("market").orderBy("__first")
+    prior = stats.select("market", "session_segment_id", *[F.lag(x).over(by).alias(f"{prefix}_{n}") for n, x in (("high", "__h"), ("low", "__l"), ("close", "__c"))])
     prior = prior.withColumn(f"{prefix}_range", F.col(f"{prefix}_high") - F.col(f"{prefix}_low"))
     return df.join(prior, ["market", "session_segment_id"], "left")
 
@@ -183,32 +183,32 @@ def with_prior_segment(df, prefix: str = "prior"):
 def with_shock_state(df, shock: str, valid: str, prev_close: str = "prev_close", tr: str = "tr", bars: Bars = SEG):
     """After a shock, until an invalid bar: retrace and continuation over the shock's move, and range decay."""
     on = F.coalesce(c(shock), F.lit(False)) & F.coalesce(c(valid), F.lit(False))
-    step = df.withColumns({"_on": on, "_run": F.sum((~F.coalesce(c(valid), F.lit(False))).cast("int")).over(bars.run), "_shock": F.sum(on.cast("int")).over(bars.run)})
-    isle = Window.partitionBy("market", "session_segment_id", "_run", "_shock").orderBy("ts")
-    begun = F.first("_on").over(isle.rowsBetween(START, Window.unboundedFollowing))
+    step = df.withColumns({"__on": on, "__run": F.sum((~F.coalesce(c(valid), F.lit(False))).cast("int")).over(bars.run), "__shock": F.sum(on.cast("int")).over(bars.run)})
+    isle = Window.partitionBy("market", "session_segment_id", "__run", "__shock").orderBy("ts")
+    begun = F.first("__on").over(isle.rowsBetween(START, Window.unboundedFollowing))
     # an island that an invalid row cut off starts with no shock of its own
     take = lambda x: F.first(x).over(isle.rowsBetween(START, 0))
     step = step.withColumns(
         {
-            "_in": begun & F.coalesce(c(valid), F.lit(False)),
-            "_sc": take("close"), "_sh": take("high"), "_sl": take("low"), "_st": take(tr),
-            "_sd": take(F.signum(F.col("close") - F.col(prev_close))),
-            "_sm": take(F.abs(F.col("close") - F.col(prev_close))),
-            "_decay": F.avg(tr).over(isle.rowsBetween(-4, 0)),
+            "__in": begun & F.coalesce(c(valid), F.lit(False)),
+            "__sc": take("close"), "__sh": take("high"), "__sl": take("low"), "__st": take(tr),
+            "__sd": take(F.signum(F.col("close") - F.col(prev_close))),
+            "__decay": F.avg(tr).over(isle.rowsBetween(-4, 0)),
         }
     )
-    live = F.col("_in")
-    denom = shock_denominator(F.col("_sm"), F.col("_st"))
-    back = F.greatest(F.lit(0.0), (F.col("_sc") - F.col("close")) * F.col("_sd"))
-    on_ = F.greatest(F.lit(0.0), (F.col("close") - F.col("_sc")) * F.col("_sd"))
-    moved = live & (F.col("_sd") != 0) & (F.abs(denom) > 1e-12)
+    live, up = F.col("__in"), F.col("__sd") > 0
+    pick = lambda a, b: F.when(up, a).otherwise(b)
+    denom = shock_denominator(pick(F.col("__sc") - F.col("__sl"), F.col("__sh") - F.col("__sc")), F.col("__st"))
+    back = F.greatest(F.lit(0.0), (F.col("__sc") - F.col("close")) * F.col("__sd"))
+    further = F.greatest(F.lit(0.0), pick(F.col("high") - F.col("__sh"), F.col("__sl") - F.col("low")))
+    moved = live & (F.col("__sd") != 0) & (F.abs(denom) > 1e-12)
     return step.withColumns(
         {
             "post_shock_retrace_pct": F.when(moved, back / denom),
-            "post_shock_continuation_pct": F.when(moved, on_ / denom),
-            "post_shock_range_decay": F.when(live & (F.col("_st") > 1e-12), F.col("_decay") / F.col("_st")),
+            "post_shock_continuation_pct": F.when(moved, further / denom),
+            "post_shock_range_decay": F.when(live & (F.col("__sd") != 0) & (F.col("__st") > 1e-12), F.col("__decay") / F.col("__st")),
         }
-    ).drop("_on", "_run", "_shock", "_in", "_sc", "_sh", "_sl", "_st", "_sd", "_sm", "_decay")
+    ).drop("__on", "__run", "__shock", "__in", "__sc", "__sh", "__sl", "__st", "__sd", "__decay")
 
 
 def true_range(prev_close: Column | str, h="high", l="low") -> Column:  # noqa: E741

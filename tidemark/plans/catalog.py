@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import basic_queries, window_queries  # noqa: F401  registers
+from tidemark.plans import basic_queries, domain_queries, window_queries  # noqa: F401  registers
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -151,13 +151,14 @@ _SHOCK = f"""p as (select *, lag(close) over ({_SEG}) as pc from bars),
     f"""with {BARS}, {_SHOCK},
     i as (select *, sum(cast(not causal_valid as int)) over ({_SEG} rows between unbounded preceding and current row) as run, sum(cast(shock as int)) over ({_SEG} rows between unbounded preceding and current row) as sid from k),
     b as (select *, max(cast(shock as int)) over (partition by market, session_segment_id, run, sid) = 1 and causal_valid as live,
-          first_value(close) over w as sc, first_value(tr) over w as st, first_value(close - pc) over w as sm,
+          first_value(close) over w as sc, first_value(high) over w as sh, first_value(low) over w as sl, first_value(tr) over w as st, first_value(sign(close - pc)) over w as sd,
           avg(tr) over (partition by market, session_segment_id, run, sid order by ts rows between 4 preceding and current row) as decay
           from i window w as (partition by market, session_segment_id, run, sid order by ts)),
-    d as (select *, case when abs(sm) >= greatest(1e-12, st * 0.01) then abs(sm) else st end as denom from b)
-    select market, bar, {q('case when live and sm <> 0 and denom > 1e-12 then greatest(0, (sc - close) * sign(sm)) / denom end')} as retrace,
-           {q('case when live and sm <> 0 and denom > 1e-12 then greatest(0, (close - sc) * sign(sm)) / denom end')} as continuation,
-           {q('case when live and st > 1e-12 then decay / st end')} as decay from d""",
+    m as (select *, case when sd > 0 then sc - sl else sh - sc end as move from b),
+    d as (select *, case when move >= greatest(1e-12, st * 0.01) then move else st end as denom from m)
+    select market, bar, {q('case when live and sd <> 0 and denom > 1e-12 then greatest(0, (sc - close) * sd) / denom end')} as retrace,
+           {q('case when live and sd <> 0 and denom > 1e-12 then greatest(0, case when sd > 0 then high - sh else sl - low end) / denom end')} as continuation,
+           {q('case when live and sd <> 0 and st > 1e-12 then decay / st end')} as decay from d""",
 )
 def win_shock_state(spark, sf_dir):
     df = W.with_shock_state(shocked(tick_bars(spark, sf_dir)), "shock", "causal_valid")
