@@ -124,7 +124,8 @@ def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
     lines = F.split("text", "\n", -1)
     gone = lambda i: F.exists("_runs", lambda r: (i >= r["line"]) & (i < r["line"] + r["n"]))
     kept = F.filter(lines, lambda _, i: ~gone(i))
-    joined = docs.withColumn("_key", row_key("doc_id")).join(runs, "_key", "left")
+    # runs grow with the corpus: the plan is the same shuffle at every size
+    joined = docs.withColumn("_key", row_key("doc_id")).join(runs.hint("merge"), "_key", "left")
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     more = []
     if counts:
