@@ -21,9 +21,19 @@ class Bars:
     """Window helpers over one partitioning and order."""
 
     def __init__(self, by: tuple[str, ...] = ("market", "session_segment_id"), order: str = "ts"):
-        self.spec = Window.partitionBy(*by).orderBy(order)
-        self.run = self.spec.rowsBetween(START, 0)
-        self.whole = self.spec.rowsBetween(START, Window.unboundedFollowing)
+        self.by, self.order = by, order
+
+    @property
+    def spec(self) -> WindowSpec:
+        return Window.partitionBy(*self.by).orderBy(self.order)
+
+    @property
+    def run(self) -> WindowSpec:
+        return self.spec.rowsBetween(START, 0)
+
+    @property
+    def whole(self) -> WindowSpec:
+        return self.spec.rowsBetween(START, Window.unboundedFollowing)
 
     def back(self, n: int) -> WindowSpec:
         return self.spec.rowsBetween(-(n - 1), 0)

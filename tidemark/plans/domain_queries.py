@@ -55,27 +55,27 @@ cv as (select *, concat_ws('|', case when synth then 'raw_row_missing' end, case
                                  case when degraded then 'degraded_session' end, case when roll_window then 'roll_window' end, case when boundary then 'boundary_session' end) as why from cb)"""
 
 
-def _causal(name: str, sql: str, *cols) -> None:
+def _causal(name: str, sql: str, cols) -> None:
     @query(name, f"with {CAUSAL} select market, ts, {sql} from cv")
     def run(spark, sf_dir):
-        return base(spark, sf_dir).select("market", "ts", *cols)
+        return base(spark, sf_dir).select("market", "ts", *cols())
 
 
 _c = F.col
 _causal(
     "cb_session_metadata",
     f"inside, case when inside then day_ end as day, case when inside then sid end as session_id, case when inside then since_ end as since, case when inside then until_ end as until, {q('case when inside then since_ / (since_ + until_) end')} as progress, mod_ as minute, cast(isodow(cast(local as date)) - 1 as int) as dow",
-    _c("inside_session").alias("inside"), _c("session_date").alias("day"), "session_id", _c("minutes_since_session_open").alias("since"), _c("minutes_until_session_close").alias("until"), S.quantize("session_progress").alias("progress"), _c("minute_of_day").alias("minute"), _c("day_of_week").alias("dow"),
+    lambda: [_c("inside_session").alias("inside"), _c("session_date").alias("day"), "session_id", _c("minutes_since_session_open").alias("since"), _c("minutes_until_session_close").alias("until"), S.quantize("session_progress").alias("progress"), _c("minute_of_day").alias("minute"), _c("day_of_week").alias("dow")],
 )
-_causal("cb_gap_fill", f"synth, gap_id, gap_size, {q('close')} as close, volume", _c("is_synthetic").alias("synth"), _c("synthetic_gap_id").alias("gap_id"), _c("synthetic_gap_size_minutes").alias("gap_size"), S.quantize("close").alias("close"), "volume")
-_causal("cb_roll_flags", "roll", _c("roll_boundary_flag").alias("roll"))
-_causal("cb_roll_window", "cast(since_roll as bigint) as since, cast(until_roll as bigint) as until, roll_window", _c("bars_since_roll").cast("long").alias("since"), _c("bars_until_roll").cast("long").alias("until"), _c("roll_window_flag").alias("roll_window"))
-_causal("cb_segment_id", "seg_id", _c("session_segment_id").alias("seg_id"))
-_causal("cb_edge_flags", "is_open, is_close", _c("is_session_open").alias("is_open"), _c("is_session_close").alias("is_close"))
-_causal("cb_boundary_session", "boundary", _c("boundary_session_flag").alias("boundary"))
-_causal("cb_session_degraded", "degraded", _c("session_data_quality_degraded").alias("degraded"))
-_causal("cb_causal_valid", "why = '' as valid", _c("causal_valid").alias("valid"))
-_causal("cb_invalid_reason", "why", _c("causal_invalid_reason").alias("why"))
+_causal("cb_gap_fill", f"synth, gap_id, gap_size, {q('close')} as close, volume", lambda: [_c("is_synthetic").alias("synth"), _c("synthetic_gap_id").alias("gap_id"), _c("synthetic_gap_size_minutes").alias("gap_size"), S.quantize("close").alias("close"), "volume"])
+_causal("cb_roll_flags", "roll", lambda: [_c("roll_boundary_flag").alias("roll")])
+_causal("cb_roll_window", "cast(since_roll as bigint) as since, cast(until_roll as bigint) as until, roll_window", lambda: [_c("bars_since_roll").cast("long").alias("since"), _c("bars_until_roll").cast("long").alias("until"), _c("roll_window_flag").alias("roll_window")])
+_causal("cb_segment_id", "seg_id", lambda: [_c("session_segment_id").alias("seg_id")])
+_causal("cb_edge_flags", "is_open, is_close", lambda: [_c("is_session_open").alias("is_open"), _c("is_session_close").alias("is_close")])
+_causal("cb_boundary_session", "boundary", lambda: [_c("boundary_session_flag").alias("boundary")])
+_causal("cb_session_degraded", "degraded", lambda: [_c("session_data_quality_degraded").alias("degraded")])
+_causal("cb_causal_valid", "why = '' as valid", lambda: [_c("causal_valid").alias("valid")])
+_causal("cb_invalid_reason", "why", lambda: [_c("causal_invalid_reason").alias("why")])
 
 
 @query("cb_year_bleed", f"with {CAUSAL} select market, count(*) as n, count(*) filter (where why = '') as valid from cv where year(ts) = 2024 group by 1")
@@ -164,33 +164,33 @@ def labeled(spark, sf_dir) -> DataFrame:
     return labels.add_labels(minute_bars(spark, sf_dir))
 
 
-def _label(name: str, sql: str, *cols) -> None:
+def _label(name: str, sql: str, cols) -> None:
     @query(name, f"with {LABELS} select market, bar, {sql} from lab")
     def run(spark, sf_dir):
-        return labeled(spark, sf_dir).select("market", "bar", *cols)
+        return labeled(spark, sf_dir).select("market", "bar", *cols())
 
 
 def _on(x: str) -> str:
     return q(f"case when valid then {x} end")
 
 
-_label("target_valid", "valid", _c("target_valid").alias("valid"))
-_label("target_invalid_reason", "why", _c("target_invalid_reason").alias("why"))
-_label("target_entry_exit_ts", "case when valid then e_ts end as entry_ts, case when valid then x_ts end as exit_ts", _c("target_entry_ts").alias("entry_ts"), _c("target_exit_ts").alias("exit_ts"))
-_label("target_entry_exit_price", f"{_on('e')} as entry, {_on('x')} as exit", S.quantize("target_entry_price").alias("entry"), S.quantize("target_exit_price").alias("exit"))
-_label("target_horizon_bars", "case when valid then 15 end as bars", _c("target_horizon_bars").alias("bars"))
-_label("target_ret_15m", f"{_on('x / e - 1')} as v", S.quantize("target_ret_15m").alias("v"))
-_label("target_ret_ticks_dollars", f"{_on('g')} as ticks, {_on('g * tv')} as dollars", S.quantize("target_ret_ticks_15m").alias("ticks"), S.quantize("target_gross_dollars_15m").alias("dollars"))
-_label("target_estimated_cost", f"{_on('cost')} as ticks, {_on('cost * tv')} as dollars", S.quantize("target_estimated_cost_ticks").alias("ticks"), S.quantize("target_estimated_cost_dollars").alias("dollars"))
-_label("lb_target_net", f"{_on('net')} as ticks, {_on('net * tv')} as dollars", S.quantize("target_net_ticks_after_est_cost").alias("ticks"), S.quantize("target_net_dollars_after_est_cost").alias("dollars"))
-_label("target_sign_15m", "cast(coalesce(case when valid then sign(g) end, 0) as int) as v", _c("target_sign_15m").alias("v"))
-_label("target_sign_with_deadzone", "cast(coalesce(case when valid and abs(g) > cost + mp then sign(g) end, 0) as int) as v", _c("target_sign_with_deadzone").alias("v"))
-_label("target_tradeable_after_cost", "coalesce(valid and abs(g) > cost, false) as v", _c("target_tradeable_after_cost").alias("v"))
-_label("mae_mfe_ticks_15m", f"{_on('(lo15 - e) / tick')} as mae, {_on('(hi15 - e) / tick')} as mfe", S.quantize("mae_ticks_15m").alias("mae"), S.quantize("mfe_ticks_15m").alias("mfe"))
-_label("lb_fade_success", "fl as fade_long, fs as fade_short, fl or fs as fade_any", _c("fade_long_success_15m").alias("fade_long"), _c("fade_short_success_15m").alias("fade_short"), _c("target_fade_success_15m").alias("fade_any"))
-_label("lb_trend_danger", "up, down, up as long_side, up or down as any_side", _c("trend_danger_up_30m").alias("up"), _c("trend_danger_down_30m").alias("down"), _c("target_trend_danger_long_30m").alias("long_side"), _c("target_trend_danger_30m").alias("any_side"))
-_label("lb_revert_vwap", "coalesce(ok30 and ((e >= vwap and lo30 <= vwap) or (e < vwap and hi30 >= vwap)), false) as to_vwap, coalesce(ok30 and ((e >= mid and lo30 <= mid) or (e < mid and hi30 >= mid)), false) as to_mid", _c("revert_to_vwap_30m").alias("to_vwap"), _c("revert_to_session_mid_30m").alias("to_mid"))
-_label("label_semantics", f"'{labels.SEMANTICS}' as semantics, 'settings' as source, false as provisional", _c("label_semantics").alias("semantics"), _c("cost_source").alias("source"), _c("cost_provisional").alias("provisional"))
+_label("target_valid", "valid", lambda: [_c("target_valid").alias("valid")])
+_label("target_invalid_reason", "why", lambda: [_c("target_invalid_reason").alias("why")])
+_label("target_entry_exit_ts", "case when valid then e_ts end as entry_ts, case when valid then x_ts end as exit_ts", lambda: [_c("target_entry_ts").alias("entry_ts"), _c("target_exit_ts").alias("exit_ts")])
+_label("target_entry_exit_price", f"{_on('e')} as entry, {_on('x')} as exit", lambda: [S.quantize("target_entry_price").alias("entry"), S.quantize("target_exit_price").alias("exit")])
+_label("target_horizon_bars", "case when valid then 15 end as bars", lambda: [_c("target_horizon_bars").alias("bars")])
+_label("target_ret_15m", f"{_on('x / e - 1')} as v", lambda: [S.quantize("target_ret_15m").alias("v")])
+_label("target_ret_ticks_dollars", f"{_on('g')} as ticks, {_on('g * tv')} as dollars", lambda: [S.quantize("target_ret_ticks_15m").alias("ticks"), S.quantize("target_gross_dollars_15m").alias("dollars")])
+_label("target_estimated_cost", f"{_on('cost')} as ticks, {_on('cost * tv')} as dollars", lambda: [S.quantize("target_estimated_cost_ticks").alias("ticks"), S.quantize("target_estimated_cost_dollars").alias("dollars")])
+_label("lb_target_net", f"{_on('net')} as ticks, {_on('net * tv')} as dollars", lambda: [S.quantize("target_net_ticks_after_est_cost").alias("ticks"), S.quantize("target_net_dollars_after_est_cost").alias("dollars")])
+_label("target_sign_15m", "cast(coalesce(case when valid then sign(g) end, 0) as int) as v", lambda: [_c("target_sign_15m").alias("v")])
+_label("target_sign_with_deadzone", "cast(coalesce(case when valid and abs(g) > cost + mp then sign(g) end, 0) as int) as v", lambda: [_c("target_sign_with_deadzone").alias("v")])
+_label("target_tradeable_after_cost", "coalesce(valid and abs(g) > cost, false) as v", lambda: [_c("target_tradeable_after_cost").alias("v")])
+_label("mae_mfe_ticks_15m", f"{_on('(lo15 - e) / tick')} as mae, {_on('(hi15 - e) / tick')} as mfe", lambda: [S.quantize("mae_ticks_15m").alias("mae"), S.quantize("mfe_ticks_15m").alias("mfe")])
+_label("lb_fade_success", "fl as fade_long, fs as fade_short, fl or fs as fade_any", lambda: [_c("fade_long_success_15m").alias("fade_long"), _c("fade_short_success_15m").alias("fade_short"), _c("target_fade_success_15m").alias("fade_any")])
+_label("lb_trend_danger", "up, down, up as long_side, up or down as any_side", lambda: [_c("trend_danger_up_30m").alias("up"), _c("trend_danger_down_30m").alias("down"), _c("target_trend_danger_long_30m").alias("long_side"), _c("target_trend_danger_30m").alias("any_side")])
+_label("lb_revert_vwap", "coalesce(ok30 and ((e >= vwap and lo30 <= vwap) or (e < vwap and hi30 >= vwap)), false) as to_vwap, coalesce(ok30 and ((e >= mid and lo30 <= mid) or (e < mid and hi30 >= mid)), false) as to_mid", lambda: [_c("revert_to_vwap_30m").alias("to_vwap"), _c("revert_to_session_mid_30m").alias("to_mid")])
+_label("label_semantics", f"'{labels.SEMANTICS}' as semantics, 'settings' as source, false as provisional", lambda: [_c("label_semantics").alias("semantics"), _c("cost_source").alias("source"), _c("cost_provisional").alias("provisional")])
 
 
 @query("lb_path_checks_15m", f"with {LABELS} select market, count(*) filter (where cross15) as crossed, count(*) filter (where syn15) as synthetic, count(*) filter (where inv15) as invalid, count(*) filter (where bd15) as boundary, count(*) filter (where roll15) as roll from lab group by 1")

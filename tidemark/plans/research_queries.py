@@ -138,18 +138,18 @@ def frame(spark, sf_dir) -> DataFrame:
     return audits.with_side(policy.frame(preds(spark, sf_dir), costs(spark)))
 
 
-def _pol(name: str, sql: str, *cols) -> None:
+def _pol(name: str, sql: str, cols) -> None:
     @query(name, f"with {POLICY} select market, bar, {sql} from pf")
     def run(spark, sf_dir):
-        return frame(spark, sf_dir).select("market", "bar", *cols)
+        return frame(spark, sf_dir).select("market", "bar", *cols())
 
 
-_pol("pol_direction", "base", _c("base_position").alias("base"))
-_pol("pol_gates", "flat_ok, fade_ok, trend_block", "flat_ok", "fade_ok", "trend_block")
-_pol("pol_reason", "reason, position", "reason", "position")
-_pol("pol_costs", f"{q('cost')} as cost, {q('slip')} as slip, {q('commission')} as commission", S.quantize("cost").alias("cost"), S.quantize("slippage_cost").alias("slip"), S.quantize("commission_cost").alias("commission"))
-_pol("pol_pnl", f"{q('gross')} as gross, {q('net')} as net", S.quantize("gross").alias("gross"), S.quantize("net").alias("net"))
-_pol("pol_turnover", "turnover", "turnover")
+_pol("pol_direction", "base", lambda: [_c("base_position").alias("base")])
+_pol("pol_gates", "flat_ok, fade_ok, trend_block", lambda: ["flat_ok", "fade_ok", "trend_block"])
+_pol("pol_reason", "reason, position", lambda: ["reason", "position"])
+_pol("pol_costs", f"{q('cost')} as cost, {q('slip')} as slip, {q('commission')} as commission", lambda: [S.quantize("cost").alias("cost"), S.quantize("slippage_cost").alias("slip"), S.quantize("commission_cost").alias("commission")])
+_pol("pol_pnl", f"{q('gross')} as gross, {q('net')} as net", lambda: [S.quantize("gross").alias("gross"), S.quantize("net").alias("net")])
+_pol("pol_turnover", "turnover", lambda: ["turnover"])
 
 
 @query("pol_pivot", f"{_BP} select market, bar, {q('expected_return')} as er, {q('p_long')} as p_long, {q('p_short')} as p_short, {q('p_flat')} as p_flat, {q('p_fade')} as p_fade, {q('p_trend')} as p_trend from preds")

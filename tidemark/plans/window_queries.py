@@ -12,7 +12,11 @@ from tidemark.plans.registry import BARS, CLOCK, PREDS, clock_bars, out, preds,
 _SEG = "partition by market, session_segment_id order by ts"
 _MKT = "partition by market order by ts"
 _V = "(select *, case when causal_valid then close end as vc, case when causal_valid then high end as vh, case when causal_valid then volume end as vv, lag(close) over (%s) as pc from bars) b" % _SEG
-_VC = F.when(F.col("causal_valid"), F.col("close"))
+
+
+def _vc():
+    return F.when(F.col("causal_valid"), F.col("close"))
+
 
 
 def _frame(n: int) -> str:
@@ -38,14 +42,14 @@ def _simple(name: str, spark_expr, sql_expr: str) -> None:
 _simple("win_lag", lambda: SEG.lag("close", 3), f"lag(close, 3) over ({_SEG})")
 _simple("win_lead_ungrouped", lambda: MARKET.lead("open", 16), f"lead(open, 16) over ({_MKT})")
 for _name, _agg, _sql in (("sum", F.sum, "sum"), ("mean", F.avg, "avg"), ("std", F.stddev_pop, "stddev_pop"), ("max", F.max, "max"), ("min", F.min, "min")):
-    _simple(f"win_rolling_{_name}", lambda a=_agg: SEG.full(_VC, 20, a), _full("vc", 20, _sql))
+    _simple(f"win_rolling_{_name}", lambda a=_agg: SEG.full(_vc(), 20, a), _full("vc", 20, _sql))
 _simple("win_valid_mask", lambda: SEG.mask("causal_valid", 15).cast("int"), f"cast({_mask(15)} as int)")
 _simple("win_sum_full_valid", lambda: SEG.full_valid("volume", "causal_valid", 15, F.sum), f"case when {_mask(15)} then {_full('vv', 15, 'sum')} end")
 _simple("win_mean_full_valid", lambda: SEG.full_valid("close", "causal_valid", 30, F.avg), f"case when {_mask(30)} then {_full('vc', 30, 'avg')} end")
 _simple("win_ret_over", lambda: SEG.ret_over("close", "causal_valid", 5), f"case when {_mask(6)} then close / lag(close, 5) over ({_SEG}) - 1 end")
-_simple("win_cummax", lambda: SEG.running(_VC, F.max), f"case when vc is not null then max(vc) over ({_SEG} rows between unbounded preceding and current row) end")
-_simple("win_cummin", lambda: SEG.running(_VC, F.min), f"case when vc is not null then min(vc) over ({_SEG} rows between unbounded preceding and current row) end")
-_simple("win_cumsum", lambda: SEG.running(_VC * F.col("volume"), F.sum), f"case when vc is not null then sum(vc * volume) over ({_SEG} rows between unbounded preceding and current row) end")
+_simple("win_cummax", lambda: SEG.running(_vc(), F.max), f"case when vc is not null then max(vc) over ({_SEG} rows between unbounded preceding and current row) end")
+_simple("win_cummin", lambda: SEG.running(_vc(), F.min), f"case when vc is not null then min(vc) over ({_SEG} rows between unbounded preceding and current row) end")
+_simple("win_cumsum", lambda: SEG.running(_vc() * F.col("volume"), F.sum), f"case when vc is not null then sum(vc * volume) over ({_SEG} rows between unbounded preceding and current row) end")
 _simple("win_cumsum_dropna_false", lambda: F.sum(F.coalesce(F.when(F.col("causal_valid"), F.col("volume")), F.lit(0))).over(SEG.run), f"sum(coalesce(vv, 0)) over ({_SEG} rows between unbounded preceding and current row)")
 _simple("win_first_in_segment", lambda: SEG.first(F.when(F.col("causal_valid") & (F.col("bar") % 150 > 1), F.col("open"))), "first_value(case when causal_valid and bar % 150 > 1 then open end ignore nulls) over (partition by market, session_segment_id order by ts rows between unbounded preceding and unbounded following)")
 _simple("win_future_extreme", lambda: MARKET.future("high", 16, F.max) - MARKET.future("low", 16, F.min), f"max(high) over ({_MKT} rows between 1 following and 16 following) - min(low) over ({_MKT} rows between 1 following and 16 following)")
