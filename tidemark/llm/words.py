@@ -52,7 +52,8 @@ class Words:
         place = np.arange(int(size.sum())) - np.repeat(begin, size)
         values = _BYTE[self.data[inside]] * _PLACE[place & 4095]
         if int(size.max()) > 4096:
-            values = mix(values + (place >> 12).astype(np.uint64))
+            far = np.flatnonzero(place > 4095)  # only these, or hashes would depend on a word's company
+            values[far] = mix(values[far] + (place[far] >> 12).astype(np.uint64))
         return mix(np.add.reduceat(values, begin) + size.astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
