@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-ROUNDS, BLOCK, RADIX = 8, 72_900, 270
+#: A block of days is RADIX squared; a date that must keep a day over 12 moves on at most WALK times.
+ROUNDS, BLOCK, RADIX, WALK = 8, 72_900, 270, 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
@@ -113,15 +114,20 @@ def _date(x: str, key: str, reverse: bool) -> str:
     else:
         body = f"aggregate(sequence(1, {ROUNDS}), z, (s, i) -> named_struct('l', s.r, 'r', pmod(s.l + {step('s.r', 'i')}, {RADIX})), s -> s)"
     start = f"named_struct('l', cast(pmod(n, {BLOCK}) div {RADIX} as bigint), 'r', cast(pmod(pmod(n, {BLOCK}), {RADIX}) as bigint))"
-    moved = _let("z", start, _let("o", body, f"date_add(date'1900-01-01', cast(floor(n / {BLOCK}) * {BLOCK} + o.l * {RADIX} + o.r as int))"))
+    move = lambda n: _let("n", n, _let("z", start, _let("o", body, f"cast(floor(n / {BLOCK}) * {BLOCK} + o.l * {RADIX} + o.r as int)")))
     day = lambda iso: f"try_cast({iso} as date)"
+    date = lambda n: f"date_add(date'1900-01-01', {n})"
+    days = lambda iso: f"datediff({day(iso)}, date'1900-01-01')"
+    show = lambda n, form: _let("m", date(n), f"if(year(m) between 1 and 9999, date_format(m, '{form}'), {x})")
+    # only a day over 12 tells m/d/y from d/m/y, so those dates are moved on until they have one again
+    walk = f"if(day({date('w')}) > 12, w, {move('w')})"
+    walked = lambda iso: f"aggregate(sequence(1, {WALK}), {move(days(iso))}, (w, k) -> {walk})"
     mdy = f"concat(substring({x}, 7, 4), '-', substring({x}, 1, 2), '-', substring({x}, 4, 2))"
     dmy = f"concat(substring({x}, 7, 4), '-', substring({x}, 4, 2), '-', substring({x}, 1, 2))"
-    to = lambda iso, form: _let("n", f"datediff({day(iso)}, date'1900-01-01')", _let("m", moved, f"if(year(m) between 1 and 9999, date_format(m, '{form}'), {x})"))
     return (
-        f"case when {x} like '____-%' then coalesce(if({day(x)} is null, null, {to(x, 'yyyy-MM-dd')}), {x}) "
-        f"when {day(mdy)} is not null and substring({x}, 4, 2) > '12' then {to(mdy, 'MM/dd/yyyy')} "
-        f"when {day(dmy)} is not null then {to(dmy, 'dd/MM/yyyy')} else {x} end"
+        f"case when {x} like '____-%' then coalesce(if({day(x)} is null, null, {show(move(days(x)), 'yyyy-MM-dd')}), {x}) "
+        f"when {day(dmy)} is not null then {show(move(days(dmy)), 'dd/MM/yyyy')} "
+        f"when {day(mdy)} is not null then {show(walked(mdy), 'MM/dd/yyyy')} else {x} end"
     )
 
 
