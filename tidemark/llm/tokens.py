@@ -80,7 +80,12 @@ def _encode(path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if (path, pattern) not in _loaded:
             _loaded[path, pattern] = Counter(path, pattern)
+        last = None
         for batch, col in slices(batches):
+            # rows come sorted by digest: of rows that repeat, one is encoded
+            digests = batch.column("digest").to_pylist()
+            new = pa.array([d != e for d, e in zip(digests, [last, *digests[:-1]], strict=True)], pa.bool_())
+            last, batch, col = digests[-1], batch.filter(new), col.filter(new)
             yield pa.record_batch({"digest": batch.column("digest"), "n_tokens": pa.array(_loaded[path, pattern].counts(col.to_pylist()), pa.int64())})
 
     return run
@@ -105,7 +110,7 @@ def token_counts(docs: DataFrame, cache: str, path: str, pattern: str) -> DataFr
         known = spark.read.parquet(cache).where(F.col("version") == version).select("digest")
         wanted = wanted.join(known, "digest", "left_anti")
     texts = docs.select(digest.alias("digest"), ids.alias("rep"), "text")
-    counted = texts.join(wanted, ["digest", "rep"], "left_semi").select("digest", "text").mapInArrow(_encode(path, pattern), "digest binary, n_tokens long")
+    counted = texts.join(wanted.hint("merge"), ["digest", "rep"], "left_semi").select("digest", "text").mapInArrow(_encode(path, pattern), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
