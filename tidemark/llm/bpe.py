@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices, table
+from tidemark.llm.common import slices, table, tune
 
-KEEP_WORDS, LONG, STEP_WORDS = 1_000_000, 1024, 40_000
+KEEP_WORDS, LONG, STEP_WORDS = 400_000, 1024, 20_000
 _ENCODE = """
 with recursive state(k, id, nk, live) as (
     select k, id, k + 1, true from fresh
@@ -63,7 +63,7 @@ class Bpe:
         l, r, m = zip(*rows, strict=True)
         merges = pa.table({"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "m": pa.array(m, pa.int64())})
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [b.decode("latin-1") for b in self.ranks]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.db.register("merges_in", merges)
         self.db.register("vocab_in", vocab)
         self.db.execute("create table merges as select * from merges_in")
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch, col in slices(batches, most=2 << 20):
+        for batch, col in slices(batches, most=1 << 20):
             texts = col.to_pylist()
             ids = bpe.encode(texts)
             back = bpe.decode(ids)
@@ -175,6 +175,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [*batch.schema.names, "n_tokens", "token_ids", "round_trip"],
             )
 
+    tune(docs.sparkSession)
     if clash := {"n_tokens", "token_ids", "round_trip"} & {*docs.columns}:
         raise ValueError(f"columns exist: {sorted(clash)}")
     more = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
@@ -186,7 +187,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch, col in slices(batches, most=2 << 20):
+        for batch, col in slices(batches, most=1 << 20):
             ids = bpe.encode(col.to_pylist())
             back = bpe.decode(ids)
             yield pa.RecordBatch.from_arrays(

@@ -16,10 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text handled at once; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Arrow batches between the JVM and Python: rows of text are long, so fewer at a time than the defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def tune(spark: SparkSession) -> None:
+    """Bound the batches, unless the session has its own setting."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +51,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    tune(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,7 +113,6 @@ class Bitmap:
     @classmethod
     def build(cls, hashes: DataFrame, column: str, log2: int = 24) -> Bitmap:
         """OR the hashes of a column on the executors; blocks of 2**15 bits come to the driver, 2**log2 bits at most."""
-        spark = hashes.sparkSession
         bit = F.shiftrightunsigned(F.col(column), 64 - log2)
         rows = (
             hashes.select(bit.alias("bit"))
@@ -113,7 +123,6 @@ class Bitmap:
         bits = np.zeros(1 << (log2 - 3), np.uint8)
         for row in rows:
             bits[row.block * 4096 : row.block * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
-        del spark
         return cls(bits, log2)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
