@@ -26,11 +26,11 @@ def _finished(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query("stream_bars", f"with {CLOCK} select market, cast(epoch(ts) as bigint) as start, {q('open')} as open, {q('high')} as high, {q('low')} as low, {q('close')} as close, volume from clock_bars where ts + interval 1 hour <= (select max(ts) from events) - interval 2 hour")
+@query("stream_bars", f"with {CLOCK} select market, ts as start, {q('open')} as open, {q('high')} as high, {q('low')} as low, {q('close')} as close, volume from clock_bars where ts + interval 1 hour <= (select max(ts) from events) - interval 2 hour")
 def stream_bars(spark, sf_dir):
     """Bars that the watermark has closed by the end of the input."""
     out = _finished(spark, streams.bars(_ticks(spark, sf_dir)), "stream-bars")
-    return out.select("market", F.unix_seconds("start").alias("start"), *[quantize(x).alias(x) for x in ("open", "high", "low", "close")], "volume")
+    return out.select("market", F.col("start").cast("timestamp_ntz").alias("start"), *[quantize(x).alias(x) for x in ("open", "high", "low", "close")], "volume")
 
 
 @query("stream_gap_fill")
@@ -42,4 +42,4 @@ def stream_gap_fill(spark, sf_dir):
     clock_bars(spark, sf_dir).select("market", F.col("ts").cast("timestamp").alias("start"), "open", "high", "low", "close", "volume").coalesce(1).write.parquet(path)
     source = spark.readStream.schema(streams.BAR).parquet(path)
     out = _finished(spark, streams.filled(source), "stream-filled")
-    return out.select("market", F.unix_seconds("start").alias("start"), quantize("close").alias("close"), "volume", "is_synthetic")
+    return out.select("market", F.col("start").cast("timestamp_ntz").alias("start"), quantize("close").alias("close"), "volume", "is_synthetic")
