@@ -119,7 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, p
     y = rows["y"].to_numpy()[order]
     f, n = rows["f"].combine_chunks(), rows["n"].combine_chunks()
     at = [(f[int(i)].values.to_numpy(), n[int(i)].values.to_numpy()) for i in order]
-    return train(at, y, seed)
+    model = train(at, y, seed)
+    del rows, f, n, at
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
+    return model
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 1) -> Model:
