@@ -10,9 +10,10 @@ a text; a text with an empty coordinate is thrown again up to twice the rank.
 Texts of equal words are one node from the start, however many there are. Nodes that agree in all
 rows of a band share a bucket; there everyone is compared with one leader, drawn by hash and so another in most
 buckets, and similarities are exact, on whole sets. Components of the links found are joined by large and small stars.
-Where a bucket still holds several components, the pairs between them are compared too, but for those that the
-triangle inequality of Jaccard distances to the leader, or their sizes, rule out. So a group of n near copies costs
-about n comparisons a band, and no link that could change a class is skipped.
+Where a bucket still holds several components, its ``HUBS`` members of most links are compared with the others, and then
+the pairs between components are, but for those that exact bounds rule out: the triangle inequality of Jaccard distances to the leader and the hub, and
+the numbers of cells that a text has in common with those two and with any other such text. So a group of n near copies costs about n comparisons a band, and no link that could
+change a class is skipped.
 
 Nulls: null and empty texts have no words and are copies of each other. A null doc_id is a row like any other. Rows that
 repeat fall into one class. Class ids are the least doc_id of the class, null if it has none.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Bitmap, mix, row_key, slices, stage, table
 from tidemark.llm.words import Words
 
-SHINGLE, BANDS, ROWS, SIMILAR = 5, 20, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILAR, HUBS = 5, 20, 4, 0.8, 12
 _K = BANDS * ROWS
 _LEAST = 6  # the lowest rank region is [0, 2**-_LEAST)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -185,7 +186,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with their similarity."""
     a, b = (sets.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in "ab")
     both = F.size(F.array_intersect("cells_a", "cells_b"))
-    return pairs.join(b, "b").join(a, "a").select(*pairs.columns, (both / (F.size("cells_a") + F.size("cells_b") - both)).alias("sim"), F.size("cells_a").alias("n_a"), F.size("cells_b").alias("n_b"))
+    return pairs.join(b, "b").join(a, "a").select(*pairs.columns, (both / (F.size("cells_a") + F.size("cells_b") - both)).alias("sim"), both.alias("both"), F.size("cells_a").alias("n_a"), F.size("cells_b").alias("n_b"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -206,16 +207,42 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     roots = stage(components(links), "roots")
     # buckets of several components: what leaders could not decide
     root = F.coalesce("root", "b").alias("root")
-    placed = grouped.join(led.select("a", "b", "sim", F.col("n_b").alias("n")), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", "sim", "n", root)
+    placed = grouped.join(led.select("a", "b", "sim", "both", F.col("n_b").alias("n")), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", "sim", "both", "n", root)
     far = F.lit(1.0 - similar + 1e-9)
     lead = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    placed = placed.join(lead, "a", "left").select("bucket", "b", "sim", "n", "root", F.coalesce("root_a", "a").alias("root_a"))
+    placed = placed.join(lead, "a", "left").select("bucket", "a", "b", "sim", "both", "n", "root", F.coalesce("root_a", "a").alias("root_a"))
     torn = placed.where("root <> root_a").select("bucket").distinct()
     placed = stage(placed.join(torn, "bucket", "left_semi"), "torn")
-    x, y = (placed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "sim", "n", "root")]) for s in "xy")
+    # a cell that no other such text has is in no intersection: m bounds what a text can share with any other
+    texts = placed.select("b").unionByName(placed.select(F.col("a").alias("b"))).distinct()
+    cells = texts.join(sets.withColumnRenamed("node", "b"), "b").select("b", F.explode("cells").alias("cell"))
+    alone = cells.groupBy("cell").agg(F.count("*").alias("k"), F.first("b").alias("b")).where("k = 1").groupBy("b").agg(F.count("*").alias("own"))
+    placed = stage(placed.join(alone, "b", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))), "bounded")
+    # members with most links are the next leaders: they join most of what is left
+    linked = links.select(F.explode(F.array("a", "b")).alias("b")).groupBy("b").agg(F.count("*").alias("degree"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc_nulls_last("degree"), "b"))
+    hubs = placed.join(linked, "b", "left").withColumn("nth", nth).where(F.col("nth") <= HUBS)
+    hubs = hubs.select("bucket", "nth", *[F.col(c).alias(f"{c}_h") for c in ("b", "root", "n", "m")])
+    near = F.least("m", "m_h") >= (F.col("n") + F.col("n_h")) * (similar / (1 + similar)) - 1e-6
+    ahead = (F.col("nth") == 1) | ((F.col("root") != F.col("root_h")) & near)
+    tried = placed.join(hubs, "bucket").where((F.col("b") != F.col("b_h")) & ahead).select(F.col("b_h").alias("a"), "b").distinct()
+    tried = stage(_compared(tried, sets).select("a", "b", "sim", "both"), "hubs")
+    second = tried.where(F.col("sim") >= similar).select("a", "b")
+    links = links.unionByName(second)
+    roots = stage(components(links), "roots")
+    placed = placed.drop("root").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    first = hubs.where("nth = 1").select("bucket", F.col("b_h").alias("hub"))
+    seen = tried.select(F.col("a").alias("hub"), "b", F.col("sim").alias("sim_hub"), F.col("both").alias("both_hub"))
+    placed = placed.join(first, "bucket").join(seen, ["hub", "b"], "left").withColumns({"sim_hub": F.coalesce("sim_hub", F.lit(1.0)), "both_hub": F.coalesce("both_hub", "n")})
+    x, y = (placed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "sim", "both", "sim_hub", "both_hub", "n", "m", "root")]) for s in "xy")
+    # what two texts share is shared with a third as well, or lies among what each has in common with others beyond it
+    beyond = lambda both: F.least(f"{both}_x", f"{both}_y") + F.least(F.col("m_x") - F.col(f"{both}_x"), F.col("m_y") - F.col(f"{both}_y"))
+    shared = F.least(F.least("m_x", "m_y"), beyond("both"), beyond("both_hub"))
+    reach = shared >= (F.col("n_x") + F.col("n_y")) * (similar / (1 + similar)) - 1e-6
+    close = (F.abs(F.col("sim_x") - F.col("sim_y")) <= far) & (F.abs(F.col("sim_hub_x") - F.col("sim_hub_y")) <= far)
     rest = (
         x.join(y, "bucket")
-        .where((F.col("b_x") < F.col("b_y")) & (F.col("root_x") != F.col("root_y")) & (F.abs(F.col("sim_x") - F.col("sim_y")) <= far) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * (similar - 1e-9)))
+        .where((F.col("b_x") < F.col("b_y")) & (F.col("root_x") != F.col("root_y")) & reach & close)
         .select(F.col("b_x").alias("a"), F.col("b_y").alias("b"))
         .distinct()
     )
