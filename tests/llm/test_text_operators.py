@@ -106,6 +106,30 @@ def test_lines_keeps_single_shared_lines_and_all_content(spark):
     assert before == {x for r in out for x in r.text.split("\n")} | {""}
 
 
+def _without_runs(rows):
+    """Brute force over texts of distinct ids: a run of two lines, or a line of 50 words, goes where it stands at a lesser place."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        part = t.split("\n")
+        gone = set()
+        for n in (2, 1):
+            for j in range(len(part) - n + 1):
+                run = tuple(part[j : j + n])
+                if n > 1 or len(run[0].split()) >= 50:
+                    gone |= {*range(j, j + n)} if run in seen else set()
+                    seen.add(run)
+        out[i] = "\n".join(x for j, x in enumerate(part) if j not in gone)
+    return out
+
+
+def test_lines_equal_brute_force_on_random_passages(spark):
+    r = random.Random(17)
+    passages = ["\n".join(prose(r.choice([3, 12, 60]), 5000 + 10 * i + j) for j in range(1 + i % 5)) for i in range(60)]
+    common = ["Heading", "", "A line that many texts share"]
+    rows = [(i, "\n".join(r.choice([r.choice(passages), r.choice(passages), r.choice(common), prose(8, 9000 + 20 * i + j)]) for j in range(r.randint(1, 7)))) for i in range(120)]
+    assert {x.doc_id: x.text for x in lines.dedup(frame(spark, rows)).collect()} == _without_runs(rows)
+
+
 def test_lines_on_awkward_and_empty(spark, awkward, empty):
     out = lines.dedup(awkward).collect()
     assert out[0].asDict().keys() == awkward.first().asDict().keys()
