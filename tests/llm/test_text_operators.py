@@ -130,6 +130,15 @@ def test_lines_equal_brute_force_on_random_passages(spark):
     assert {x.doc_id: x.text for x in lines.dedup(frame(spark, rows)).collect()} == _without_runs(rows)
 
 
+def test_lines_find_runs_through_a_line_whose_first_place_is_elsewhere(spark):
+    rows = []
+    for i in range(20):
+        heading, shared = prose(2, 7000 + i), prose(5, 7100 + i)
+        rows += [(3 * i, f"{heading}\nalone {i}"), (3 * i + 1, f"before {i}\n{heading}\n{shared}\nbehind {i}"), (3 * i + 2, f"other {i}\n{heading}\n{shared}\nlast {i}")]
+    out = {x.doc_id: x.text for x in lines.dedup(frame(spark, rows)).collect()}
+    assert out == {i: t if i % 3 < 2 else f"other {i // 3}\nlast {i // 3}" for i, t in rows}
+
+
 def test_lines_on_awkward_and_empty(spark, awkward, empty):
     out = lines.dedup(awkward).collect()
     assert out[0].asDict().keys() == awkward.first().asDict().keys()
