@@ -1,6 +1,7 @@
 """Nearest neighbours by brute force; the pipeline's stages and contract."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann
@@ -40,6 +41,22 @@ def test_ann_many_blocks_agree_with_one(spark, monkeypatch):
     assert {tuple(r)[:3] for r in ann.search(df, df.where("vec_id % 20 = 0"), 5).collect()} == {r[:3] for r in one}
 
 
+def test_ann_copies_of_a_vector_push_out_no_other():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x[1::3] = 1.3 * x[1]
+    book = ann.Codebook.fit(x)
+    codes = pa.array([c.tobytes() for c in book.pack(book.encode(x))], pa.binary())
+    data = pa.table({"vec_id": pa.array(np.arange(len(x))), "v": pa.array(list(x)), "code": codes})
+    got = ann._meet(book, 20)(None, data, data.select(["vec_id", "v"]).take(np.arange(0, len(x), 5))).to_pydict()
+    for i in range(0, len(x), 5):
+        s = x @ x[i]
+        s[1::3] = s[1]
+        s[i] = -np.inf
+        true = set(np.lexsort((np.arange(len(x)), -s))[:20].tolist())
+        assert len(true & {v for q, v in zip(got["query_id"], got["vec_id"], strict=True) if q == i}) >= 19, i
+
+
 def test_ann_ties_bad_vectors_and_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (8, [float("inf"), 1.0], 1), (9, [1.0], 1), (None, [1.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")

@@ -6,8 +6,9 @@ that part is what shifts large inner products. Codebooks are fitted on at most `
 lowest; every vector is coded.
 
 Rows are dealt into blocks by a hash of their id, queries likewise, and each pair of blocks meets in one task: per query a table of 16
-entries for each piece is summed over the codes of the block, the ``RERANK`` best are scored in double precision on
-the original vectors, and the block's ``k`` best go on to a top-k per query. No task holds more than a block of each.
+entries for each piece is summed over the codes of the block's distinct vectors, the ``RERANK`` best of them are scored in double
+precision on the original vectors, their rows of least ids take their scores, and the block's ``k`` best go on to a top-k per query: so
+copies of a vector take one place of ``RERANK``. No task holds more than a block of each.
 
 Vectors that are null, zero, of another length than the most frequent one, or that hold a null or non-finite component
 take no part, nor do rows without an id. Rows of the query's own id are not its neighbours. Ties go
@@ -104,6 +105,15 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
+def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows come sorted by id. Group of each row; by group in order of least ids: its first row; all rows by group; where each begins, and the end."""
+    rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
+    _, first, group = np.unique(rows, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    group = np.argsort(order)[group.ravel()]
+    return group, first[order], np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group))])
+
+
 def _meet(book: Codebook, k: int):
     def run(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
         if not data.num_rows or not queries.num_rows:
@@ -111,25 +121,32 @@ def _meet(book: Codebook, k: int):
         data = data.sort_by("vec_id")
         ids, x = data["vec_id"].to_numpy(), _matrix(data["v"], book.dim)
         packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        group, first, members, begin = _distinct(ids, x)
+        packed, x = packed[first], x[first]
+        # the k least ids of a group, and room for the query's own
+        take = np.minimum(np.diff(begin), k + np.unique(ids, return_counts=True)[1].max())
         qids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"], book.dim)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(qids), 128):
             tables = book.tables(q[at : at + 128])
-            sums = np.zeros((len(tables), len(ids)), np.float32)
+            sums = np.zeros((len(tables), len(x)), np.float32)
             for m in range(packed.shape[1]):
                 sums += tables[:, m, :][:, packed[:, m]]
             for i, s in enumerate(sums):
-                s[ids == qids[at + i]] = -np.inf
+                own, n = np.unique(group[slice(*(np.searchsorted(ids, qids[at + i], x) for x in ("left", "right")))], return_counts=True)
+                s[own[n == np.diff(begin)[own]]] = -np.inf
                 if len(s) > RERANK:
                     edge = np.partition(s, len(s) - RERANK)[len(s) - RERANK]
                     best = np.flatnonzero(s > edge)
                     best = np.concatenate([best, np.flatnonzero(s == edge)[: RERANK - len(best)]])
                 else:
                     best = np.arange(len(s))
-                best = best[ids[best] != qids[at + i]]
-                score = x[best] @ q[at + i]
-                order = np.lexsort((ids[best], -score))[:k]
-                out.append((np.full(len(order), qids[at + i]), ids[best][order], score[order]))
+                each = take[best]
+                row = members[np.repeat(begin[best] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                score = np.repeat(x[best] @ q[at + i], each)
+                row, score = row[ids[row] != qids[at + i]], score[ids[row] != qids[at + i]]
+                order = np.lexsort((ids[row], -score))[:k]
+                out.append((np.full(len(order), qids[at + i]), ids[row][order], score[order]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
