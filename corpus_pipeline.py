@@ -1,7 +1,8 @@
 """Documents to training tokens: quality, line dedup, near dedup, decontamination, byte-level BPE.
 
 Each stage reads what the one before it kept. The first four return the columns of documents; the last adds
-n_tokens, token_ids and whether decoding the ids gave the text back.
+n_tokens, token_ids and whether decoding the ids gave the text back (round_trip). Columns of documents are never renamed or
+replaced: where one has such a name, the added column is called n_tokens_2 and so on.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, contamination, lines, neardup, quality
-from tidemark.llm.common import stage, table
+from tidemark.llm.common import free_name, stage, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids."""
-    return bpe.encode(docs, *bpe.default_files())
+    return bpe.encode(docs, *bpe.default_files(), names=tuple(free_name(n, docs.columns) for n in bpe.COLUMNS))
 
 
 STAGES = [("quality", good_quality), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("decontamination", decontaminate), ("byte_bpe", tokenize)]

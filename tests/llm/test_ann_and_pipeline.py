@@ -108,6 +108,21 @@ def test_pipeline_stages_take_empty_tables(spark, tmp_path):
         assert docs.count() == 0 and docs.columns[:5] == none.columns
 
 
+def test_columns_that_clash_stay_and_do_not_crash(spark, tmp_path):
+    import corpus_pipeline as p
+
+    shared = "one line of a passage\nand the one behind it"
+    rows = [(1, shared, "k1", "r1", 7, "t", True), (2, f"own\n{shared}", "k2", "r2", 8, "u", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _runs string, n_tokens long, Token_Ids string, round_trip boolean")
+    kept = p.dedup_lines(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], (2, "own", *rows[1][2:])]
+    out = p.tokenize(spark, kept, str(tmp_path))
+    assert out.columns == [*docs.columns, "n_tokens_2", "token_ids_2", "round_trip_2"]
+    found = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [tuple(r)[2:7] for r in found] == [r[2:] for r in rows]
+    assert all(r.round_trip_2 and r.n_tokens_2 == len(r.token_ids_2) > 0 for r in found)
+
+
 def test_registered_queries_of_operators(spark, sf_dir):
     import __spark_entry__ as e
 

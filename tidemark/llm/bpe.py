@@ -159,8 +159,12 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with n_tokens, token_ids, and whether decoding them gives the text's bytes back."""
+#: What ``encode`` adds.
+COLUMNS = ("n_tokens", "token_ids", "round_trip")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, names: tuple[str, str, str] = COLUMNS) -> DataFrame:
+    """``docs`` with n_tokens, token_ids, and whether decoding them gives the text's bytes back; ``names`` of these must be free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -172,13 +176,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([a.encode() == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
-                [*batch.schema.names, "n_tokens", "token_ids", "round_trip"],
+                [*batch.schema.names, *names],
             )
 
     tune(docs.sparkSession)
-    if clash := {"n_tokens", "token_ids", "round_trip"} & {*docs.columns}:
+    if clash := {x.lower() for x in names} & {x.lower() for x in docs.columns}:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    more = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    more = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 

@@ -62,6 +62,13 @@ def row_key(*cols: str, text: str = "text"):
     return F.concat_ws("|", *parts, F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or the first of name_2, name_3 ... that no column has; Spark does not tell case apart."""
+    taken = {c.lower() for c in columns}
+    names = (name if i == 1 else f"{name}_{i}" for i in range(1, len(taken) + 2))
+    return next(n for n in names if n.lower() not in taken)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column as large_string without nulls (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, row_key, slices, stage, table
+from tidemark.llm.common import Bitmap, free_name, row_key, slices, stage, table
 
 WINDOW, EVERY, MAX_LINES, MIN_LINES, MIN_WORDS = 1, 2, 32, 2, 50
 _M64 = (1 << 64) - 1
@@ -150,17 +150,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` without the repeated runs; with ``counts`` also _lines and _removed. A text that loses every line becomes empty."""
-    runs = repeated_runs(docs).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("line", "n")).alias("_runs"))
+    key, own = free_name("_key", docs.columns), free_name("_runs", docs.columns)
+    runs = repeated_runs(docs).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("line", "n")).alias(own))
     lines = F.split("text", "\n", -1)
-    gone = lambda i: F.exists("_runs", lambda r: (i >= r["line"]) & (i < r["line"] + r["n"]))
+    gone = lambda i: F.exists(own, lambda r: (i >= r["line"]) & (i < r["line"] + r["n"]))
     kept = F.filter(lines, lambda _, i: ~gone(i))
     # runs grow with the corpus: the plan is the same shuffle at every size
-    joined = docs.withColumn("_key", row_key("doc_id")).join(runs.hint("merge"), "_key", "left")
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = docs.withColumn(key, row_key("doc_id")).join(runs.hint("merge"), key, "left")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     more = []
     if counts:
         before = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
-        gone_n = F.when(F.col("_runs").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+        gone_n = F.when(F.col(own).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
         more = [before.alias("_lines"), gone_n.alias("_removed")]
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
 
