@@ -69,6 +69,15 @@ def free_name(name: str, columns: list[str]) -> str:
     return next(n for n in names if n.lower() not in taken)
 
 
+def own_columns(docs: DataFrame) -> list:
+    """The columns of ``docs`` by their whole names, which may hold dots."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column as large_string without nulls (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())

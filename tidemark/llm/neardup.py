@@ -9,11 +9,15 @@ a text; a text with an empty coordinate is thrown again up to twice the rank.
 
 Texts of equal words are one node from the start, however many there are. Nodes that agree in all
 rows of a band share a bucket; there everyone is compared with one leader, drawn by hash and so another in most
-buckets, and similarities are exact, on whole sets. Components of the links found are joined by large and small stars.
-Where a bucket still holds several components, its ``HUBS`` members of most links are compared with the others, and then
-the pairs between components are, but for those that exact bounds rule out: the triangle inequality of Jaccard distances to the leader and the hub, and
-the numbers of cells that a text has in common with those two and with any other such text. So a group of n near copies costs about n comparisons a band, and no link that could
-change a class is skipped.
+buckets. Similarities are of whole sets, whose cells are told apart by 32 bits of their hashes. Components of the links
+found are joined by large and small stars.
+
+Buckets that still hold several components are looked at again. A cell that no other text of such buckets has is in no
+intersection, so a text of which more than a fifth are such cells has no link there and leaves. Of the rest, each
+bucket's pivot (first the member with the fewest cells of its own, then others by hash) is compared with all
+members of other components, round by round, until few pairs are left; then the members outside the pivot's component are compared with the
+others, but for pairs that exact bounds rule out. So a group of n near copies costs about n comparisons a band, and
+no link that could change a class is skipped.
 
 Nulls: null and empty texts have no words and are copies of each other. A null doc_id is a row like any other. Rows that
 repeat fall into one class. Class ids are the least doc_id of the class, null if it has none.
@@ -25,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, mix, row_key, slices, stage, table
+from tidemark.llm.common import Bitmap, free_name, mix, own_columns, row_key, slices, stage, table
 from tidemark.llm.words import Words
 
-SHINGLE, BANDS, ROWS, SIMILAR, HUBS = 5, 20, 4, 0.8, 12
+SHINGLE, BANDS, ROWS, SIMILAR, ROUNDS = 5, 20, 4, 0.8, 8
+#: Pairs left for each member of an open bucket at which rounds of pivots end.
+FEW = 4
 _K = BANDS * ROWS
 _LEAST = 6  # the lowest rank region is [0, 2**-_LEAST)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -167,12 +173,12 @@ def _sets(bitmap: Bitmap):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component, by alternating large and small stars."""
+    """(node, root): the least node of each connected component, by alternating large and small stars; roots are left out."""
     edges, before = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
         edges = stage(small.where("u <> v").distinct(), "stars")
@@ -186,7 +192,67 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with their similarity."""
     a, b = (sets.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in "ab")
     both = F.size(F.array_intersect("cells_a", "cells_b"))
-    return pairs.join(b, "b").join(a, "a").select(*pairs.columns, (both / (F.size("cells_a") + F.size("cells_b") - both)).alias("sim"), both.alias("both"), F.size("cells_a").alias("n_a"), F.size("cells_b").alias("n_b"))
+    return pairs.join(b, "b").join(a, "a").select(*pairs.columns, (both / (F.size("cells_a") + F.size("cells_b") - both)).alias("sim"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, at: str, name: str) -> DataFrame:
+    """``rows`` with the root of node ``at`` as ``name``; a node that is not in ``roots`` is its own."""
+    found = roots.select(F.col("node").alias(at), F.col("root").alias("_root"))
+    return rows.join(found, at, "left").withColumn(name, F.coalesce("_root", at)).drop("_root")
+
+
+def _open(grouped: DataFrame, roots: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(bucket, b, root, n, m) of members that may have links to other components of their bucket; n: cells, m: those that others have too."""
+    placed = _rooted(grouped.select("bucket", "b"), roots, "b", "root")
+    torn = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    placed = stage(placed.join(torn, "bucket", "left_semi"), "torn")
+    cells = placed.select("b").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
+    common = cells.groupBy("cell").agg(F.count("*").alias("k"), F.first("b").alias("b"), F.first("n").alias("n"))
+    # m of a text of common cells only is n, and no row here speaks of it
+    own = common.where("k = 1").groupBy("b").agg(F.count("*").alias("own"), F.first("n").alias("of"))
+    size = sets.select(F.col("node").alias("b"), F.size("cells").alias("n"))
+    own = stage(own, "own")
+    lone = own.where(F.col("own") > F.col("of") * (1 - similar) + 1e-6).select("b")
+    few = placed.join(lone, "b", "left_anti")
+    left = few.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    few = few.join(left, "bucket", "left_semi").join(size, "b").join(own.select("b", "own"), "b", "left")
+    return stage(few.select("bucket", "b", "root", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")), "open")
+
+
+def _may(similar: float, x: str, y: str):
+    """Whether two texts can be similar by what they have in common with any."""
+    return F.least(f"m{x}", f"m{y}") >= (F.col(f"n{x}") + F.col(f"n{y}")) * (similar / (1 + similar)) - 1e-6
+
+
+def _late_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
+    """(a, b): roots that links between members of open buckets join; None if there are none."""
+    links, merged = None, None
+    most = FEW * members.count()
+    for nth in range(ROUNDS + 1 if most else 0):
+        rows = _rooted(members, merged, "root", "now") if merged is not None else members.withColumn("now", F.col("root"))
+        rank = F.col("m") / F.col("n") if nth == 0 else F.lit(0.0)
+        draw = F.struct(rank.alias("rank"), F.xxhash64("bucket", "b", F.lit(nth)).alias("draw"), *[F.col(c).alias(f"{c}_p") for c in ("b", "root", "now", "n", "m")])
+        pivots = rows.groupBy("bucket").agg(F.max(draw).alias("p"), F.count("*").alias("size"), F.min("now").alias("lo"), F.max("now").alias("hi"))
+        apart = stage(rows.join(pivots.where("lo <> hi").select("bucket", "size", "p.*"), "bucket").where("now <> now_p"), "apart")
+        n, left = apart.agg(F.count("*"), F.sum("size")).first()
+        if not n:
+            break
+        last = nth == ROUNDS or left <= most
+        if last:
+            side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "now", "n", "m")]
+            x, y = apart.select("bucket", F.col("now_p").alias("main"), *side("x")), rows.select("bucket", *side("y"))
+            once = (F.col("now_x") != F.col("now_y")) & ((F.col("now_y") == F.col("main")) | (F.col("b_x") < F.col("b_y")))
+            pairs = x.join(y, "bucket").where(once & _may(similar, "_x", "_y")).select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), "root_x", "root_y")
+        else:
+            pairs = apart.where(_may(similar, "", "_p")).select(F.col("b_p").alias("a"), "b", F.col("root_p").alias("root_x"), F.col("root").alias("root_y"))
+        found = _compared(pairs.distinct(), sets).where(F.col("sim") >= similar)
+        found = stage(found.select(F.col("root_x").alias("a"), F.col("root_y").alias("b")).distinct(), "late-links")
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            merged = merged if last else stage(components(links), "merged")
+        if last:
+            break
+    return links
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -199,60 +265,22 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     drawn = F.struct(F.xxhash64("bucket", "node"), "node")
     leaders = members.groupBy("bucket").agg(F.min(drawn).alias("d"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("d.node").alias("a"))
     grouped = stage(members.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b")), "buckets")
-    pairs = grouped.where("a <> b").select("a", "b").distinct()
     bitmap = Bitmap.build(grouped.select(_head("b").alias("h")), "h")
     sets = stage(keyed.mapInArrow(_sets(bitmap), "node binary, cells array<int>").groupBy("node").agg(F.first("cells").alias("cells")), "sets")
-    led = stage(_compared(pairs, sets), "led")
-    links = led.where(F.col("sim") >= similar).select("a", "b")
-    roots = stage(components(links), "roots")
-    # buckets of several components: what leaders could not decide
-    root = F.coalesce("root", "b").alias("root")
-    placed = grouped.join(led.select("a", "b", "sim", "both", F.col("n_b").alias("n")), ["a", "b"]).join(roots.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", "sim", "both", "n", root)
-    far = F.lit(1.0 - similar + 1e-9)
-    lead = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    placed = placed.join(lead, "a", "left").select("bucket", "a", "b", "sim", "both", "n", "root", F.coalesce("root_a", "a").alias("root_a"))
-    torn = placed.where("root <> root_a").select("bucket").distinct()
-    placed = stage(placed.join(torn, "bucket", "left_semi"), "torn")
-    # a cell that no other such text has is in no intersection: m bounds what a text can share with any other
-    texts = placed.select("b").unionByName(placed.select(F.col("a").alias("b"))).distinct()
-    cells = texts.join(sets.withColumnRenamed("node", "b"), "b").select("b", F.explode("cells").alias("cell"))
-    alone = cells.groupBy("cell").agg(F.count("*").alias("k"), F.first("b").alias("b")).where("k = 1").groupBy("b").agg(F.count("*").alias("own"))
-    placed = stage(placed.join(alone, "b", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))), "bounded")
-    # members with most links are the next leaders: they join most of what is left
-    linked = links.select(F.explode(F.array("a", "b")).alias("b")).groupBy("b").agg(F.count("*").alias("degree"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc_nulls_last("degree"), "b"))
-    hubs = placed.join(linked, "b", "left").withColumn("nth", nth).where(F.col("nth") <= HUBS)
-    hubs = hubs.select("bucket", "nth", *[F.col(c).alias(f"{c}_h") for c in ("b", "root", "n", "m")])
-    near = F.least("m", "m_h") >= (F.col("n") + F.col("n_h")) * (similar / (1 + similar)) - 1e-6
-    ahead = (F.col("nth") == 1) | ((F.col("root") != F.col("root_h")) & near)
-    tried = placed.join(hubs, "bucket").where((F.col("b") != F.col("b_h")) & ahead).select(F.col("b_h").alias("a"), "b").distinct()
-    tried = stage(_compared(tried, sets).select("a", "b", "sim", "both"), "hubs")
-    second = tried.where(F.col("sim") >= similar).select("a", "b")
-    links = links.unionByName(second)
-    roots = stage(components(links), "roots")
-    placed = placed.drop("root").join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    first = hubs.where("nth = 1").select("bucket", F.col("b_h").alias("hub"))
-    seen = tried.select(F.col("a").alias("hub"), "b", F.col("sim").alias("sim_hub"), F.col("both").alias("both_hub"))
-    placed = placed.join(first, "bucket").join(seen, ["hub", "b"], "left").withColumns({"sim_hub": F.coalesce("sim_hub", F.lit(1.0)), "both_hub": F.coalesce("both_hub", "n")})
-    x, y = (placed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "sim", "both", "sim_hub", "both_hub", "n", "m", "root")]) for s in "xy")
-    # what two texts share is shared with a third as well, or lies among what each has in common with others beyond it
-    beyond = lambda both: F.least(f"{both}_x", f"{both}_y") + F.least(F.col("m_x") - F.col(f"{both}_x"), F.col("m_y") - F.col(f"{both}_y"))
-    shared = F.least(F.least("m_x", "m_y"), beyond("both"), beyond("both_hub"))
-    reach = shared >= (F.col("n_x") + F.col("n_y")) * (similar / (1 + similar)) - 1e-6
-    close = (F.abs(F.col("sim_x") - F.col("sim_y")) <= far) & (F.abs(F.col("sim_hub_x") - F.col("sim_hub_y")) <= far)
-    rest = (
-        x.join(y, "bucket")
-        .where((F.col("b_x") < F.col("b_y")) & (F.col("root_x") != F.col("root_y")) & reach & close)
-        .select(F.col("b_x").alias("a"), F.col("b_y").alias("b"))
-        .distinct()
-    )
-    more = stage(_compared(rest, sets).where(F.col("sim") >= similar).select("a", "b"), "more-links")
-    if more.limit(1).count():
-        roots = stage(components(links.unionByName(more)), "roots")
-    placed = signed.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
-    # nulls last: a class is named by an id if it has one
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
-    return placed.join(first, "root").select("key", "doc_id", F.col("f.key").alias("class_key"), F.col("f.doc_id").alias("class_id"))
+    pairs = grouped.where("a <> b").select("a", "b").distinct()
+    led = stage(_compared(pairs, sets).where(F.col("sim") >= similar).select("a", "b"), "led")
+    roots = stage(components(led), "roots")
+    late = _late_links(_open(grouped, roots, sets, similar), sets, similar)
+    # texts that repeat meet by node first, so that only one row of each node goes on
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")  # nulls last: a class is named by an id if it has one
+    named = _rooted(signed.groupBy("node").agg(F.min(row).alias("f")), roots, "node", "root")
+    if late is not None:
+        merged = components(late).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        named = named.join(merged, "root", "left").select("node", "f", F.coalesce("new", "root").alias("root"))
+    named = stage(named, "named")
+    first = stage(named.groupBy("root").agg(F.min("f").alias("f")), "first")
+    named = named.select("node", "root").join(first, "root")
+    return signed.select("key", "doc_id", "node").join(named, "node").select("key", "doc_id", F.col("f.key").alias("class_key"), F.col("f.doc_id").alias("class_id"))
 
 
 def _head(node: str):
@@ -261,11 +289,12 @@ def _head(node: str):
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with one row of each class, of least doc_id."""
-    kept = classes(docs, similar).select(F.col("class_key").alias("_tidemark_key")).distinct()
-    once = Window.partitionBy("_tidemark_key").orderBy(F.lit(1))
-    joined = docs.withColumn("_tidemark_key", row_key("doc_id")).join(kept, "_tidemark_key")
-    return joined.withColumn("_tidemark_nth", F.row_number().over(once)).where("_tidemark_nth = 1").select(*docs.columns)
+    """``docs`` with one row of each class, of least doc_id; of rows of equal id and text, any one."""
+    key = free_name("_key", docs.columns)
+    kept = classes(docs, similar).select(F.col("class_key").alias(key)).distinct()
+    # rows that repeat are dropped before the shuffle as well as behind it
+    once = docs.withColumn(key, row_key("doc_id")).dropDuplicates([key])
+    return once.join(kept, key, "left_semi").select(*own_columns(docs))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
