@@ -8,16 +8,16 @@ coordinate with the probability of their weighted Jaccard similarity. Ranks are
 a text; a text with an empty coordinate is thrown again up to twice the rank.
 
 Texts of equal words are one node from the start, however many there are. Nodes that agree in all
-rows of a band share a bucket; there everyone is compared with one leader, drawn by hash and so another in most
-buckets. Similarities are of whole sets, whose cells are told apart by 32 bits of their hashes. Components of the links
+rows of a band share a bucket; there everyone is compared with one leader, the member whose own buckets are the fullest: a text
+at the middle of its group, if there is one. Similarities are of whole sets, whose cells are told apart by 32 bits of their hashes. Components of the links
 found are joined by large and small stars.
 
-Buckets that still hold several components are looked at again. A cell that no other text of such buckets has is in no
-intersection, so a text of which more than a fifth are such cells has no link there and leaves. Of the rest, each
-bucket's pivot (first the member with the fewest cells of its own, then others by hash) is compared with all
-members of other components, round by round, until few pairs are left; then the members outside the pivot's component are compared with the
-others, but for pairs that exact bounds rule out. So a group of n near copies costs about n comparisons a band, and
-no link that could change a class is skipped.
+Buckets that still hold several components are looked at again, by an exact prefix filter over the texts in them. Cells are ordered:
+first those of one component alone, which no pair of two components shares, then by how many of these texts have them. Two
+texts of similarity 0.8 share one of the first fifth of their cells in this order, so texts of different components meet on such cells and
+``MORE`` others only, and those of the component that has most texts of a cell do not meet each other. What two texts share beyond
+these cells is at most what one of them has left, so most pairs are ruled out before they are compared. So a group of n near
+copies costs about n comparisons a band, and no link between members of a bucket that could change a class is skipped.
 
 Nulls: null and empty texts have no words and are copies of each other. A null doc_id is a row like any other. Rows that
 repeat fall into one class. Class ids are the least doc_id of the class, null if it has none.
@@ -35,9 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Bitmap, free_name, mix, own_columns, row_key, slices, stage, table
 from tidemark.llm.words import Words
 
-SHINGLE, BANDS, ROWS, SIMILAR, ROUNDS = 5, 20, 4, 0.8, 8
-#: Pairs left for each member of an open bucket at which rounds of pivots end.
-FEW = 4
+SHINGLE, BANDS, ROWS, SIMILAR, MORE = 5, 20, 4, 0.8, 4
 _K = BANDS * ROWS
 _LEAST = 6  # the lowest rank region is [0, 2**-_LEAST)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -172,16 +170,25 @@ def _sets(bitmap: Bitmap):
     return run
 
 
+def _star(edges: DataFrame) -> DataFrame:
+    """One turn of large and small stars over edges (u, v), u > v; what was connected stays so, and nothing else gets so."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
+    return stage(small.where("u <> v").distinct(), "stars")
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each connected component, by alternating large and small stars; roots are left out."""
-    edges, before = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    """(node, root): the least node of each connected component of links (a, b), by alternating large and small stars; roots are left out."""
+    edges, before = _edges(links), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
-        edges = stage(small.where("u <> v").distinct(), "stars")
+        edges = _star(edges)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -201,58 +208,32 @@ def _rooted(rows: DataFrame, roots: DataFrame, at: str, name: str) -> DataFrame:
     return rows.join(found, at, "left").withColumn(name, F.coalesce("_root", at)).drop("_root")
 
 
-def _open(grouped: DataFrame, roots: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(bucket, b, root, n, m) of members that may have links to other components of their bucket; n: cells, m: those that others have too."""
+def _late_links(grouped: DataFrame, roots: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): similar texts of different components that are both in buckets of several components."""
     placed = _rooted(grouped.select("bucket", "b"), roots, "b", "root")
     torn = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    placed = stage(placed.join(torn, "bucket", "left_semi"), "torn")
-    cells = placed.select("b").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", F.size("cells").alias("n"), F.explode("cells").alias("cell"))
-    common = cells.groupBy("cell").agg(F.count("*").alias("k"), F.first("b").alias("b"), F.first("n").alias("n"))
-    # m of a text of common cells only is n, and no row here speaks of it
-    own = common.where("k = 1").groupBy("b").agg(F.count("*").alias("own"), F.first("n").alias("of"))
-    size = sets.select(F.col("node").alias("b"), F.size("cells").alias("n"))
-    own = stage(own, "own")
-    lone = own.where(F.col("own") > F.col("of") * (1 - similar) + 1e-6).select("b")
-    few = placed.join(lone, "b", "left_anti")
-    left = few.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    few = few.join(left, "bucket", "left_semi").join(size, "b").join(own.select("b", "own"), "b", "left")
-    return stage(few.select("bucket", "b", "root", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")), "open")
-
-
-def _may(similar: float, x: str, y: str):
-    """Whether two texts can be similar by what they have in common with any."""
-    return F.least(f"m{x}", f"m{y}") >= (F.col(f"n{x}") + F.col(f"n{y}")) * (similar / (1 + similar)) - 1e-6
-
-
-def _late_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
-    """(a, b): roots that links between members of open buckets join; None if there are none."""
-    links, merged = None, None
-    most = FEW * members.count()
-    for nth in range(ROUNDS + 1 if most else 0):
-        rows = _rooted(members, merged, "root", "now") if merged is not None else members.withColumn("now", F.col("root"))
-        rank = F.col("m") / F.col("n") if nth == 0 else F.lit(0.0)
-        draw = F.struct(rank.alias("rank"), F.xxhash64("bucket", "b", F.lit(nth)).alias("draw"), *[F.col(c).alias(f"{c}_p") for c in ("b", "root", "now", "n", "m")])
-        pivots = rows.groupBy("bucket").agg(F.max(draw).alias("p"), F.count("*").alias("size"), F.min("now").alias("lo"), F.max("now").alias("hi"))
-        apart = stage(rows.join(pivots.where("lo <> hi").select("bucket", "size", "p.*"), "bucket").where("now <> now_p"), "apart")
-        n, left = apart.agg(F.count("*"), F.sum("size")).first()
-        if not n:
-            break
-        last = nth == ROUNDS or left <= most
-        if last:
-            side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "now", "n", "m")]
-            x, y = apart.select("bucket", F.col("now_p").alias("main"), *side("x")), rows.select("bucket", *side("y"))
-            once = (F.col("now_x") != F.col("now_y")) & ((F.col("now_y") == F.col("main")) | (F.col("b_x") < F.col("b_y")))
-            pairs = x.join(y, "bucket").where(once & _may(similar, "_x", "_y")).select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), "root_x", "root_y")
-        else:
-            pairs = apart.where(_may(similar, "", "_p")).select(F.col("b_p").alias("a"), "b", F.col("root_p").alias("root_x"), F.col("root").alias("root_y"))
-        found = _compared(pairs.distinct(), sets).where(F.col("sim") >= similar)
-        found = stage(found.select(F.col("root_x").alias("a"), F.col("root_y").alias("b")).distinct(), "late-links")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            merged = merged if last else stage(components(links), "merged")
-        if last:
-            break
-    return links
+    texts = stage(placed.join(torn, "bucket", "left_semi").groupBy("b").agg(F.first("root").alias("root")), "torn")
+    cells = texts.join(sets.withColumnRenamed("node", "b"), "b").select("b", "root", F.explode("cells").alias("cell"))
+    often = cells.groupBy("cell").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    often = often.select("cell", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("k")).alias("k"))
+    # a list is as long as its text
+    ordered = cells.join(often, "cell").groupBy("b").agg(F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("k", "cell"))).alias("cells"))
+    n = F.size("cells")
+    ahead = F.least(n, n - F.ceil(n * similar - 1e-6).cast("int") + 1 + MORE)
+    head = F.filter(F.slice("cells", 1, ahead), lambda c: c["k"] > 0)
+    heads = ordered.select("b", "root", n.alias("n"), (n - ahead).alias("rest"), F.explode(head).alias("c")).select("b", "root", "n", "rest", "c.cell")
+    heads = stage(heads, "heads")
+    each = heads.groupBy("cell", "root").agg(F.count("*").alias("k"))
+    main = each.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("cell", F.col("m.root").alias("main"))
+    heads = stage(heads.join(main, "cell"), "heads-main")
+    x, y = (heads.select("cell", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "n", "rest")]) for s in "xy")
+    once = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("b_x") < F.col("b_y")))
+    alike = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similar - 1e-6
+    met = x.where("root_x <> main").join(y.drop("main"), "cell").where(once & alike)
+    # in the order of cells, one of the two heads ends first: up to there all that both have is met, beyond it lies that text's rest
+    need = (F.first(F.col("n_x") + F.col("n_y")) * (similar / (1 + similar)) - F.first(F.greatest("rest_x", "rest_y")) - 1e-6).alias("need")
+    pairs = met.groupBy(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).agg(F.count("*").alias("k"), need).where("k >= need").select("a", "b")
+    return stage(_compared(pairs, sets).where(F.col("sim") >= similar).select("a", "b"), "late-links")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -262,21 +243,24 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = stage(keyed.mapInArrow(_signed, f"key string, doc_id {kind}, node binary, bands array<long>"), "signatures")
     nodes = signed.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    drawn = F.struct(F.xxhash64("bucket", "node"), "node")
-    leaders = members.groupBy("bucket").agg(F.min(drawn).alias("d"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("d.node").alias("a"))
-    grouped = stage(members.join(leaders, "bucket").select("bucket", "a", F.col("node").alias("b")), "buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stage(members.join(shared, "bucket").select("bucket", F.col("node").alias("b"), "n"), "shared-buckets")
+    # rows of a node are as many as bands, at most
+    fullness = shared.groupBy("b").agg(F.sum("n").alias("fullness"))
+    ranked = shared.select("bucket", "b").join(fullness, "b")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("fullness", "b")).alias("lead")).select("bucket", F.col("lead.b").alias("a"))
+    grouped = stage(ranked.join(leaders, "bucket").select("bucket", "a", "b"), "buckets")
     bitmap = Bitmap.build(grouped.select(_head("b").alias("h")), "h")
     sets = stage(keyed.mapInArrow(_sets(bitmap), "node binary, cells array<int>").groupBy("node").agg(F.first("cells").alias("cells")), "sets")
     pairs = grouped.where("a <> b").select("a", "b").distinct()
     led = stage(_compared(pairs, sets).where(F.col("sim") >= similar).select("a", "b"), "led")
-    roots = stage(components(led), "roots")
-    late = _late_links(_open(grouped, roots, sets, similar), sets, similar)
+    stars = _star(_star(_edges(led)))
+    connected = stars.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    late = _late_links(grouped, connected, sets, similar)
+    roots = components(stars.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(late))
     # texts that repeat meet by node first, so that only one row of each node goes on
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")  # nulls last: a class is named by an id if it has one
     named = _rooted(signed.groupBy("node").agg(F.min(row).alias("f")), roots, "node", "root")
-    if late is not None:
-        merged = components(late).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        named = named.join(merged, "root", "left").select("node", "f", F.coalesce("new", "root").alias("root"))
     named = stage(named, "named")
     first = stage(named.groupBy("root").agg(F.min("f").alias("f")), "first")
     named = named.select("node", "root").join(first, "root")
