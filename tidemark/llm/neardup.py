@@ -14,9 +14,9 @@ found are joined by large and small stars.
 
 Buckets that still hold several components are looked at again, by an exact prefix filter over the texts in them. Cells are ordered:
 first those of one component alone, which no pair of two components shares, then by how many of these texts have them. Two
-texts of similarity 0.8 share one of the first fifth of their cells in this order, so texts of different components meet on such cells and
-``MORE`` others only, and those of the component that has most texts of a cell do not meet each other. What two texts share beyond
-these cells is at most what one of them has left, so most pairs are ruled out before they are compared. So a group of n near
+texts that can be similar have a number of cells in common that follows from their sizes, so they share one of the few first cells of
+each. Texts of different components meet on such cells only, and those of the component that has most texts of a cell do not
+meet each other. So a group of n near
 copies costs about n comparisons a band, and no link between members of a bucket that could change a class is skipped.
 
 Nulls: null and empty texts have no words and are copies of each other. A null doc_id is a row like any other. Rows that
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Bitmap, free_name, mix, own_columns, row_key, slices, stage, table
 from tidemark.llm.words import Words
 
-SHINGLE, BANDS, ROWS, SIMILAR, MORE = 5, 20, 4, 0.8, 4
+SHINGLE, BANDS, ROWS, SIMILAR = 5, 20, 4, 0.8
 _K = BANDS * ROWS
 _LEAST = 6  # the lowest rank region is [0, 2**-_LEAST)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -219,20 +219,18 @@ def _late_links(grouped: DataFrame, roots: DataFrame, sets: DataFrame, similar:
     # a list is as long as its text
     ordered = cells.join(often, "cell").groupBy("b").agg(F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("k", "cell"))).alias("cells"))
     n = F.size("cells")
-    ahead = F.least(n, n - F.ceil(n * similar - 1e-6).cast("int") + 1 + MORE)
-    head = F.filter(F.slice("cells", 1, ahead), lambda c: c["k"] > 0)
-    heads = ordered.select("b", "root", n.alias("n"), (n - ahead).alias("rest"), F.explode(head).alias("c")).select("b", "root", "n", "rest", "c.cell")
+    ahead = F.least(n, n - F.ceil(n * similar - 1e-6).cast("int") + 1)
+    heads = ordered.select("b", "root", n.alias("n"), F.posexplode(F.slice("cells", 1, ahead)).alias("at", "c")).where("c.k > 0").select("b", "root", "n", "at", "c.cell")
     heads = stage(heads, "heads")
     each = heads.groupBy("cell", "root").agg(F.count("*").alias("k"))
     main = each.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("cell", F.col("m.root").alias("main"))
     heads = stage(heads.join(main, "cell"), "heads-main")
-    x, y = (heads.select("cell", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "n", "rest")]) for s in "xy")
+    x, y = (heads.select("cell", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "n", "at")]) for s in "xy")
     once = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("b_x") < F.col("b_y")))
-    alike = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similar - 1e-6
-    met = x.where("root_x <> main").join(y.drop("main"), "cell").where(once & alike)
-    # in the order of cells, one of the two heads ends first: up to there all that both have is met, beyond it lies that text's rest
-    need = (F.first(F.col("n_x") + F.col("n_y")) * (similar / (1 + similar)) - F.first(F.greatest("rest_x", "rest_y")) - 1e-6).alias("need")
-    pairs = met.groupBy(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).agg(F.count("*").alias("k"), need).where("k >= need").select("a", "b")
+    least = F.ceil((F.col("n_x") + F.col("n_y")) * (similar / (1 + similar)) - 1e-6)  # cells that both must have
+    early = (F.col("at_x") <= F.col("n_x") - least) & (F.col("at_y") <= F.col("n_y") - least)
+    met = x.where("root_x <> main").join(y.drop("main"), "cell").where(once & early)
+    pairs = met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     return stage(_compared(pairs, sets).where(F.col("sim") >= similar).select("a", "b"), "late-links")
 
 
