@@ -443,6 +443,18 @@ def test_quality_without_labels_and_on_awkward_rows(spark, awkward, empty):
     assert collections.Counter((r.doc_id, r.text) for r in quality.keep_good(awkward, model).collect()) == collections.Counter(AWKWARD)
 
 
+def test_classifiers_take_text_ids_and_one_text_of_each(spark):
+    rows = [(f"id{i}", prose(20, i) + (" idiot scum" if i % 2 else " fine calm"), None) for i in range(200)] + [("id1", f"{prose(10, 1)} idiot", None)] * 3000
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(f"id{i}", i % 2, i % 2) for i in range(200)], "doc_id string, quality int, toxic int")
+    assert quality.training_rows(df, labels, "quality").count() == 200
+    model, chain = quality.fit(df, labels), toxicity.fit(df, labels)
+    good = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    bad = {r.doc_id: r.toxic for r in toxicity.score(df, chain).collect()}
+    middle = np.median(list(good.values()))
+    assert np.mean([(good[f"id{i}"] > middle) == (i % 2 == 1) for i in range(200)]) > 0.9 and np.mean([bad[f"id{i}"] == i % 2 for i in range(200)]) > 0.95
+
+
 def test_quality_is_the_same_for_any_batches():
     texts = [t or "" for _, t in AWKWARD] + [prose(50, i) for i in range(20)]
     model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.LOG2), 0.1)

@@ -5,11 +5,12 @@ and whether a word repeats the one before it. A softmax layer on that mean gives
 by plain stochastic gradient descent in numpy. Since the layer is linear, scoring needs one number per
 bucket, the bucket's vector times the difference of the class weights.
 
-Training takes at most ``PER_CLASS`` labelled rows of each class, those whose ids hash lowest, so the choice
-does not depend on the partitions; each row comes to the driver as counts over ``1 << LOG2`` buckets, not as text.
+Training takes at most ``PER_CLASS`` labelled ids of each class, those that hash lowest, one text of each (of least hash), and stops
+at ``MOST_PIECES`` counts, so the choice does not depend on the partitions. Texts become counts over ``1 << LOG2`` buckets
+where they are; one task takes them in the order of the hashes and trains, and the driver gets the score of each bucket.
 
-Nulls: a null text counts as empty; an empty text has no pieces and gets the class prior. Rows without a
-usable label do not train. Repeated rows are scored alike. Ids and other columns are never features.
+Nulls: a null text counts as empty; an empty text has no pieces and gets the layer's bias alone. Rows without a
+usable label do not train. Repeated rows are scored alike. Ids, of any type, and other columns are never features.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import mix, slices, text_buffers
 from tidemark.llm.words import Words
 
-LOG2, DIM, PER_CLASS, EPOCHS, RATE = 15, 8, 1500, 6, 0.5
+LOG2, DIM, PER_CLASS, EPOCHS, RATE, MOST_PIECES = 15, 8, 1500, 6, 0.5, 16_000_000
 THRESHOLD = 0.3
 _MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
@@ -71,7 +72,7 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model:
-    """score: one number per bucket; prior: log odds of label 1 for a text without pieces."""
+    """score: one number per bucket; bias: log odds of label 1 for a text without pieces."""
 
     def __init__(self, score: np.ndarray, bias: float):
         self.score, self.bias = score, bias
@@ -89,40 +90,60 @@ def _hash_order():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, keep=None) -> DataFrame:
-    """(text, y) of at most ``per_class`` labelled rows of each class; only their ids are broadcast, twice ``per_class`` at most."""
+    """(nth, text, y): one text of at most ``per_class`` labelled ids of each class; only these ids are broadcast. nth: a hash of the id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if keep is not None:
         known = known.where(keep)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(*_hash_order()).limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    text = F.coalesce("text", F.lit(""))
+    # rows of one id meet as one row of each task
+    one = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select(_hash_order()[0].alias("nth"), F.col("t.text").alias("text"), "y")
+
+
+def in_one_task(rows: DataFrame, work, schema: str) -> list:
+    """What ``work`` makes of the rows (nth, y, ...), in their order, in one task; for samples of bounded size. Nothing of no rows."""
+    return rows.repartition(1).sortWithinPartitions(*rows.columns[:2]).mapInArrow(work, schema).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, per_class: int = PER_CLASS, seed: int = 1) -> Model:
-    """Train on a bounded sample; without rows of both classes the score is the constant prior."""
+    """Train on a bounded sample; without rows of both classes the score is a constant."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in slices(batches):
             found = features(col)
             yield pa.record_batch(
                 {
-                    "doc_id": batch.column("doc_id").cast(pa.int64()),
+                    "nth": batch.column("nth"),
                     "y": batch.column("y").cast(pa.int32()),
                     "f": pa.array([f.astype(np.int32) for f, _ in found], pa.list_(pa.int32())),
                     "n": pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32())),
                 }
             )
 
-    rows = training_rows(docs, labels, label, per_class, keep).mapInArrow(counted, "doc_id long, y int, f array<int>, n array<int>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    y = rows["y"].to_numpy()[order]
-    f, n = rows["f"].combine_chunks(), rows["n"].combine_chunks()
-    at = [(f[int(i)].values.to_numpy(), n[int(i)].values.to_numpy()) for i in order]
-    model = train(at, y, seed)
-    del rows, f, n, at
-    pa.default_memory_pool().release_unused()  # the driver goes on to other work
-    return model
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y, pieces = [], [], 0
+        for batch in batches:
+            f, n = (lists(batch.column(batch.schema.get_field_index(x))) for x in "fn")
+            for own, counts, label in zip(f, n, batch.column("y").to_pylist(), strict=True):
+                pieces += len(own)
+                if pieces <= MOST_PIECES:
+                    rows.append((own, counts))
+                    y.append(label)
+        model = train(rows, np.array(y, np.int64), seed)
+        yield pa.record_batch({"score": pa.array([model.score.astype("<f8").tobytes()], pa.binary()), "bias": pa.array([model.bias])})
+
+    rows = training_rows(docs, labels, label, per_class, keep).mapInArrow(counted, "nth long, y int, f array<int>, n array<int>")
+    found = in_one_task(rows, trained, "score binary, bias double")
+    return Model(np.frombuffer(found[0].score, "<f8"), found[0].bias) if found else train([], np.empty(0), seed)
+
+
+def lists(col: pa.Array) -> list[np.ndarray]:
+    """Copies of a list column's rows, so that their batch can go."""
+    at, values = col.offsets.to_numpy(), col.values.to_numpy()
+    return [values[a:b].copy() for a, b in zip(at, at[1:])]  # noqa: B905
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 1) -> Model:
@@ -152,8 +173,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
             layer -= rate * np.outer(hidden, p)
             bias -= rate * p
             emb[buckets] -= (rate * len(buckets) ** 0.5 * w)[:, None] * back[None, :]
-    # classes were weighted alike in training; put the sample's odds back
-    return Model((emb @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0] + np.log(share[1] / share[0]) * 0.0))
+    # classes are weighted alike in training, and so in the score
+    return Model((emb @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -186,9 +207,10 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def _scores(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in slices(batches):
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "score": pa.array(model.predict(col))})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.predict(col))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

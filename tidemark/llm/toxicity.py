@@ -3,13 +3,13 @@
 Categories are predicted one after another; each model sees the presence of selected words and word beginnings
 (of ``PREFIXES`` bytes, for languages that inflect) and the
 probabilities of the categories before it, and the last link is the label ``toxic`` itself. In training those earlier
-probabilities are out-of-fold: from models that never saw the row. The labels have one toxic mark only, so
-the earlier categories are marked weakly: a row labelled toxic that holds one of the category's seed words.
+probabilities are out-of-fold: words are selected and models fitted without the row they are asked for. The labels have one toxic mark only, so
+the earlier categories are kinds of toxic texts learned from the toxic rows: clusters by the marked words that they use.
 
-Training takes at most ``PER_CLASS`` labelled rows of each class, as sets of hashed words; words are selected by chi-square and
-models fitted by Newton steps in numpy. A category without positives in the sample predicts its prior.
+Training takes at most ``PER_CLASS`` labelled ids of each class, one text of each, as sets of hashed words and up to ``MOST_PIECES`` of them;
+words are selected by chi-square and models fitted by Newton steps in numpy, in one task. A category without positives in the sample predicts its prior.
 
-Nulls: a null text counts as empty. Rows without a usable label do not train. Every row is scored by
+Nulls: a null text counts as empty. Rows without a usable label do not train. Ids may be of any type. Every row is scored by
 itself: repeated rows and null ids keep their own results.
 """
 
@@ -23,18 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, slices, table
-from tidemark.llm.quality import held_out, training_rows
+from tidemark.llm.quality import held_out, in_one_task, lists, training_rows
 from tidemark.llm.words import Words
 
-LOG2, PER_CLASS, SELECT, FOLDS, RIDGE, THRESHOLD = 20, 3000, 600, 5, 0.1, 0.5
+LOG2, PER_CLASS, SELECT, FOLDS, RIDGE, THRESHOLD, KINDS, MOST_PIECES = 20, 3000, 600, 5, 0.1, 0.5, 3, 8_000_000
 PREFIXES = (4, 5, 6, 7, 8)
-#: Seed words of the weakly marked categories.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "imbecile"],
-    "degradation": ["scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "filth", "vermin"],
-    "threat": ["kill", "murder", "destroy", "hurt", "attack", "threaten"],
-}
-CHAIN = [*SEEDS, "toxicity"]
+CHAIN = [*(f"kind_{i + 1}" for i in range(KINDS)), "toxicity"]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -98,35 +92,67 @@ class Chain:
         return out
 
 
+def _select(at: np.ndarray, doc: np.ndarray, toxic: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Buckets (as indices below ``size``) that tell the toxic among ``rows`` (a mask) best, in order."""
+    own = rows[doc]
+    both = np.bincount(at[own], minlength=size).astype(float)
+    pos = np.bincount(at[own], weights=toxic[doc[own]], minlength=size)
+    n, n1 = rows.sum(), toxic[rows].sum()
+    expect = both * n1 / max(n, 1)
+    chi2 = np.where((both >= 4) & (pos > expect), (pos - expect) ** 2 / np.maximum(expect * (1 - n1 / max(n, 1)) * (1 - both / max(n, 1)), 1e-9), 0)
+    best = np.sort(np.argsort(-chi2, kind="stable")[:SELECT])
+    return best[chi2[best] > 10]
+
+
+def _matrix(at: np.ndarray, doc: np.ndarray, chosen: np.ndarray, n: int, size: int) -> np.ndarray:
+    where = np.full(size, -1)
+    where[chosen] = np.arange(len(chosen))
+    keep = where[at] >= 0
+    x = np.zeros((n, len(chosen)))
+    x[doc[keep], where[at[keep]]] = 1
+    return x
+
+
+def _kinds(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Cluster of each toxic row by cosine k-means from rows far apart, -1 for others."""
+    out, own = np.full(len(x), -1), np.flatnonzero((toxic == 1) & x.any(axis=1))
+    if not len(own):
+        return out
+    unit = x[own] / np.linalg.norm(x[own], axis=1, keepdims=True)
+    centers = unit[:1]
+    while len(centers) < min(KINDS, len(own)):
+        centers = np.vstack([centers, unit[[(unit @ centers.T).max(axis=1).argmin()]]])
+    for _ in range(20):
+        kind = (unit @ centers.T).argmax(axis=1)
+        sums = np.stack([unit[kind == k].sum(axis=0) if (kind == k).any() else centers[k] for k in range(len(centers))])
+        centers = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    out[own] = kind
+    return out
+
+
 def train(rows: list[np.ndarray], toxic: np.ndarray) -> Chain:
     """rows: distinct buckets of each text; toxic: 0 or 1."""
     if not len(rows):
         return Chain(np.empty(0, np.int64), [np.concatenate([np.zeros(j), [-5.0]]) for j in range(len(CHAIN))])
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     bucket, at = np.unique(np.concatenate(rows), return_inverse=True)
-    both, pos = np.bincount(at, minlength=len(bucket)).astype(float), np.bincount(at, weights=toxic[doc], minlength=len(bucket))
-    n, n1 = len(rows), toxic.sum()
-    expect = both * n1 / n
-    chi2 = np.where((both >= 4) & (pos > expect), (pos - expect) ** 2 / np.maximum(expect * (1 - n1 / n) * (1 - both / n), 1e-9), 0)
-    best = np.sort(np.argsort(-chi2, kind="stable")[:SELECT])
-    best = best[chi2[best] > 10]
-    x = np.zeros((n, len(best)))
-    where = np.full(len(bucket), -1)
-    where[best] = np.arange(len(best))
-    keep = where[at] >= 0
-    x[doc[keep], where[at[keep]]] = 1
-    seeds = {c: _bucket(Words(pa.array([" ".join(s)], pa.large_string())).hash) for c, s in SEEDS.items()}
+    n, size = len(rows), len(bucket)
+    best = _select(at, doc, toxic, np.ones(n, bool), size)
+    x = _matrix(at, doc, best, n, size)
+    kinds = _kinds(x, toxic)
     fold = np.arange(n) % FOLDS
-    links = []
-    for category in CHAIN:
-        y = toxic.astype(float)
-        if category in seeds:
-            y = y * np.array([np.isin(seeds[category], r, assume_unique=False).any() for r in rows])
-        links.append(_fit(x, y))
+    apart = [_matrix(at, doc, _select(at, doc, toxic, fold != f, size), n, size) for f in range(FOLDS)]
+    links, earlier = [], np.zeros((n, 0))
+    for j, category in enumerate(CHAIN):
+        y = (toxic if category == CHAIN[-1] else kinds == j).astype(float)
+        links.append(_fit(np.hstack([x, earlier]), y))
+        if category == CHAIN[-1]:
+            break
         own = np.zeros(n)
         for f in range(FOLDS):
-            own[fold == f] = _prob(x[fold == f], _fit(x[fold != f], y[fold != f]))
-        x = np.hstack([x, own[:, None]])
+            a = np.hstack([apart[f], earlier])
+            own[fold == f] = _prob(a[fold == f], _fit(a[fold != f], y[fold != f]))
+        earlier = np.hstack([earlier, own[:, None]])
     return Chain(bucket[best], links)
 
 
@@ -138,12 +164,26 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, per_class: int = PER_CLAS
             pairs = np.unique(text.astype(np.int64) << LOG2 | b)
             cuts = np.searchsorted(pairs >> LOG2, np.arange(1, len(col)))
             found = np.split((pairs & ((1 << LOG2) - 1)).astype(np.int32), cuts)
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "y": batch.column("y").cast(pa.int32()), "b": pa.array(found, pa.list_(pa.int32()))})
-
-    rows = training_rows(docs, labels, "toxic", per_class, keep).mapInArrow(counted, "doc_id long, y int, b array<int>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    b = rows["b"].combine_chunks()
-    return train([b[int(i)].values.to_numpy().astype(np.int64) for i in order], rows["y"].to_numpy()[order])
+            yield pa.record_batch({"nth": batch.column("nth"), "y": batch.column("y").cast(pa.int32()), "b": pa.array(found, pa.list_(pa.int32()))})
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y, pieces = [], [], 0
+        for batch in batches:
+            for own, label in zip(lists(batch.column("b")), batch.column("y").to_pylist(), strict=True):
+                pieces += len(own)
+                if pieces <= MOST_PIECES:
+                    rows.append(own.astype(np.int64))
+                    y.append(label)
+        chain = train(rows, np.array(y, np.int64))
+        parts = [chain.buckets.astype("<i8").tobytes(), *(w.astype("<f8").tobytes() for w in chain.links)]
+        yield pa.record_batch({"parts": pa.array([parts], pa.list_(pa.binary()))})
+
+    rows = training_rows(docs, labels, "toxic", per_class, keep).mapInArrow(counted, "nth long, y int, b array<int>")
+    found = in_one_task(rows, trained, "parts array<binary>")
+    if not found:
+        return train([], np.empty(0))
+    buckets, *links = found[0].parts
+    return Chain(np.frombuffer(buckets, "<i8"), [np.frombuffer(w, "<f8") for w in links])
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
