@@ -272,6 +272,35 @@ def test_pii_links_equal_values_and_leaves_invalid_ones(spark):
     assert r[2].text == rows[2][1] and r[3].text == rows[3][1]
 
 
+def test_pii_finds_what_is_valid_and_no_more(spark):
+    """Against a finder that tries every span of a text."""
+    good = ["4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005", "3782 822463 10005", "123-45-6789", "212-555-0100", "(212) 555-0100", "2024-02-29", "31/12/1999"]
+    bad = ["4111111111111112", "1234567890123", "000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000", "112-555-0100", "212-155-0100", "000-000-0000", "2023-02-29", "31/31/1999"]
+
+    def brute(t):
+        cut = [t[i:j] for i in range(len(t)) for j in range(i + 10, min(len(t), i + 23) + 1) if (i == 0 or t[i - 1] == " ") and (j == len(t) or t[j] == " ")]
+        ssn = lambda x: re.fullmatch(r"\d{3}-\d\d-\d{4}", x) and x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000"
+        phone = lambda x: re.fullmatch(r"(\(\d{3}\) |\d{3}-)\d{3}-\d{4}", x) and len(d := re.sub(r"\D", "", x)) == 10 and d[0] > "1" and d[3] > "1"
+        card = lambda x: re.fullmatch(r"\d{13,19}|(\d{4}[ -]){3}\d{4}|\d{4} \d{6} \d{5}", x) and luhn(re.sub(r"\D", "", x))
+
+        def date(x):
+            y, m, d = (x[:4], x[5:7], x[8:]) if "-" in x else (x[6:], x[3:5], x[:2])
+            return re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}", x) and np.isin(int(m), range(1, 13)) and 0 < int(d) <= [31, 28 + (int(y) % 4 == 0), 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][int(m) - 1]
+
+        return sum(bool(ssn(x) or phone(x) or card(x) or date(x)) for x in cut)
+
+    rows = [(i, f"see {x} there") for i, x in enumerate(good + bad)] + [(90, "4451718024887799 27 and 4111111111111111 1")]
+    df = frame(spark, rows).withColumn("_found", F.lit("own")).withColumn("_spans", F.lit(1)).withColumn("a.b", F.lit(2))
+    out = pii.pseudonymise(df, "k")
+    assert out.columns == [*df.columns, "_found_2"] and {(r._found, r._spans, r["a.b"]) for r in out.collect()} == {("own", 1, 2)}
+    got = {r.doc_id: (r._found_2, r.text) for r in out.collect()}
+    for i, t in rows:
+        n = brute(t)
+        assert got[i][0] == n and (got[i][1] != t) == (n > 0) and brute(got[i][1]) == n, (t, got[i])
+    back = pii.pseudonymise(out.drop("_found_2"), "k", reverse=True).collect()
+    assert [(r.doc_id, r.text) for r in back] == rows
+
+
 def test_pii_permutes_all_short_values(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     out = df.select(F.expr(pii.feistel("v", "0123456789", "k", "t")).alias("o")).distinct()

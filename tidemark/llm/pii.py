@@ -8,16 +8,17 @@ permutation of all values of that length; ``reverse`` undoes it with the key.
 ===========  =============================================  ======================================
 found        validated                                      permuted
 ===========  =============================================  ======================================
-card         13 to 19 digits, single blanks or hyphens      digits; with a right Luhn digit, the rest, and it is made anew
-phone        NANP forms, with or without a country code     the last ten digits
-ssn          3-2-4 digits with hyphens                      nine digits
+card         13 to 19 digits, plain or in groups; Luhn      digits but the last, which is the new Luhn digit
+phone        NANP forms; area and exchange from 2 on        the last ten digits, to such ones
+ssn          3-2-4 digits; area not 000, 666 or 9xx, no 0s  nine digits, to such ones
 ipv4         four numbers up to 255                         32 bits
 date         a day of the calendar, y-m-d or m/d/y, d/m/y   days within its block of 72,900 (from 1900-01-01)
 email        a local part of up to 64 and a dotted domain   letters and digits of the local part and the domain's first label
 secret       32 to 64 hexadecimal digits                    those digits
 ===========  =============================================  ======================================
 
-Separators, and what fails validation, stay as they are. One regular expression finds all; the text is split at its matches and
+Where not every value of a length is valid, a pseudonym is permuted again until it is (up to ``WALK`` times; one that is not by then has a chance
+below 1e-20), so it stays a permutation of the valid ones. A date whose block of days leaves the years 1 to 9999 stays. Separators, and what fails validation, stay as they are and count as no finding. One regular expression finds all; the text is split at its matches and
 joined again, so every other byte is kept. Nulls: a null text stays null, with no findings. Rows are
 taken one by one, there is no shuffle, and other columns pass unchanged.
 """
@@ -27,20 +28,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import free_name, quoted, table
 
-#: A block of days is RADIX squared; a date that must keep a day over 12 moves on at most WALK times.
+#: A block of days is RADIX squared; what leaves the valid values moves on at most WALK times.
 ROUNDS, BLOCK, RADIX, WALK = 8, 72_900, 270, 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
+    "card": CARD,
     "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
 }
+#: Nine and ten digits that can be a number.
+SSN, PHONE = r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$", r"^[2-9]\d{2}[2-9]\d{6}$"
 #: Alternatives in order; each begins with what the lookahead allows, so most places fail at once.
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -87,16 +91,21 @@ def _luhn(digits: str, upto: str) -> str:
     return f"aggregate(sequence(1, {upto}), 0, (a, k) -> a + {doubled})"
 
 
+def _luhn_valid(d: str) -> str:
+    return f"({_luhn(d, f'length({d}) - 1')} + cast(substring({d}, length({d}), 1) as int)) % 10 = 0"
+
+
 def _card(x: str, key: str, reverse: bool) -> str:
-    check = lambda b: f"concat(b, cast(pmod(10 - {_luhn('b', 'length(b)')} % 10, 10) as string))".replace("b,", f"{b},")
-    body = feistel("substring(d, 1, length(d) - 1)", "0123456789", key, "card", reverse)
-    valid = f"({_luhn('d', 'length(d) - 1')} + cast(substring(d, length(d), 1) as int)) % 10 = 0"
-    new = f"case when {valid} then {_let('b', body, check('b'))} else {feistel('d', '0123456789', key, 'number', reverse)} end"
-    return _refill(x, _let("d", f"regexp_replace({x}, '[^0-9]', '')", new), "[^0-9]")
+    check = f"concat(b, cast(pmod(10 - {_luhn('b', 'length(b)')} % 10, 10) as string))"
+    new = _let("b", feistel("substring(d, 1, length(d) - 1)", "0123456789", key, "card", reverse), check)
+    return _refill(x, _let("d", f"regexp_replace({x}, '[^0-9]', '')", f"if({_luhn_valid('d')}, {new}, d)"), "[^0-9]")
 
 
-def _digits(x: str, key: str, kind: str, last: int, reverse: bool) -> str:
-    new = _let("d", f"regexp_replace({x}, '[^0-9]', '')", f"concat(substring(d, 1, length(d) - {last}), {feistel(f'substring(d, length(d) - {last - 1})', '0123456789', key, kind, reverse)})")
+def _digits(x: str, key: str, kind: str, last: int, valid: str, reverse: bool) -> str:
+    """The last digits, permuted until they match ``valid``."""
+    turn = lambda d: feistel(d, "0123456789", key, kind, reverse)
+    walked = f"aggregate(sequence(1, {WALK}), {turn(f'substring(d, length(d) - {last - 1})')}, (w, k) -> if(rlike(w, {_q(valid)}), w, {turn('w')}))"
+    new = _let("d", f"regexp_replace({x}, '[^0-9]', '')", f"concat(substring(d, 1, length(d) - {last}), {walked})")
     return _refill(x, new, "[^0-9]")
 
 
@@ -145,19 +154,31 @@ def pseudonym(x: str, key: str, reverse: bool = False) -> str:
     secret = _let("d", f"lower({x})", feistel("d", "0123456789abcdef", key, "secret", reverse))
     return (
         f"case when locate('@', {x}) > 0 then {_email(x, key, reverse)} when {is_kind('ipv4')} then {_ipv4(x, key, reverse)} when {is_kind('date')} then {_date(x, key, reverse)} "
-        f"when {is_kind('ssn')} then {_digits(x, key, 'ssn', 9, reverse)} when {is_kind('phone')} then {_digits(x, key, 'phone', 10, reverse)} "
+        f"when {is_kind('ssn')} then {_digits(x, key, 'ssn', 9, SSN, reverse)} when {is_kind('phone')} then {_digits(x, key, 'phone', 10, PHONE, reverse)} "
         f"when {is_kind('card')} then {_card(x, key, reverse)} else {secret} end"
     )
 
 
+def _is_valid(x: str) -> str:
+    """SQL for what the patterns alone don't tell: days of the calendar and Luhn digits."""
+    day = lambda y, m, d: f"try_cast(concat(substring({x}, {y}, 4), '-', substring({x}, {m}, 2), '-', substring({x}, {d}, 2)) as date) is not null"
+    is_ = lambda pattern: f"rlike({x}, {_q(f'^(?:{pattern})$')})"
+    digits = f"regexp_replace({x}, '[^0-9]', '')"
+    return (
+        f"case when {is_(r'[0-9]{4}-[0-9]{2}-[0-9]{2}')} then {day(1, 6, 9)} when {is_(r'[0-9]{2}/[0-9]{2}/[0-9]{4}')} then {day(7, 4, 1)} or {day(7, 1, 4)} "
+        f"when {is_(CARD)} then {_let('d', digits, _luhn_valid('d'))} else true end"
+    )
+
+
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", found: str = "_found", reverse: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``column``, and the number of findings as ``found``."""
-    c = f"`{column}`"
+    """``docs`` with pseudonyms in ``column``, and the number of findings as ``found``, which gets a number if it is taken."""
+    c, own, found = quoted(column), free_name("_spans", docs.columns), free_name(found, docs.columns)
     spans = f"if({c} is null or not rlike({c}, '[0-9][0-9./ -]|@|[0-9a-fA-F]{{32}}'), cast(array() as array<string>), regexp_extract_all({c}, {_q(PATTERN)}, 0))"
-    marked = docs.withColumn("_tidemark_spans", F.expr(spans))
-    new = f"transform(_tidemark_spans, x -> {pseudonym('x', key, reverse)})"
-    joined = f"if(size(_tidemark_spans) = 0, {c}, array_join(zip_with(split({c}, {_q(PATTERN)}, -1), {new}, (a, b) -> concat(a, coalesce(b, ''))), ''))"
-    return marked.select(*[F.expr(joined).alias(column) if x == column else F.col(f"`{x}`") for x in docs.columns], F.size("_tidemark_spans").cast("long").alias(found))
+    marked = docs.withColumn(own, F.expr(spans))
+    new = f"transform({own}, x -> if({_is_valid('x')}, {pseudonym('x', key, reverse)}, x))"
+    joined = f"if(size({own}) = 0, {c}, array_join(zip_with(split({c}, {_q(PATTERN)}, -1), {new}, (a, b) -> concat(a, coalesce(b, ''))), ''))"
+    n = F.expr(f"cast(size(filter({own}, x -> {_is_valid('x')})) as long)")
+    return marked.select(*[F.expr(joined).alias(x) if x == column else F.col(quoted(x)) for x in docs.columns], n.alias(found))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
