@@ -123,6 +123,21 @@ def test_columns_that_clash_stay_and_do_not_crash(spark, tmp_path):
     assert all(r.round_trip_2 and r.n_tokens_2 == len(r.token_ids_2) > 0 for r in found)
 
 
+def test_every_stage_takes_clashing_and_dotted_names(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = ["_key", "_runs", "_lines", "_removed", "a.b", "key", "node", "root", "bucket", "nth", "score", "n_tokens", "token_ids", "round_trip"]
+    rows = [(i, f"text {i % 2} of a few words that say nothing of note here") for i in range(4)] + [(None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in p.STAGES:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert {tuple(r)[2 : len(docs.columns)] for r in out.collect()} <= {tuple(names)}, name
+
+
 def test_registered_queries_of_operators(spark, sf_dir):
     import __spark_entry__ as e
 

@@ -34,12 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a folder of this machine, in local mode only."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 

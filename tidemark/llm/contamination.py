@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, row_key, slices, stage, table
+from tidemark.llm.common import Bitmap, free_name, own_columns, row_key, slices, stage, table
 from tidemark.llm.words import Words
 
 K, W = 6, 5
@@ -155,8 +155,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any test window, with their columns as they were."""
     _, spans, _ = hits(docs, benchmark)
-    bad = spans.select(F.col("key").alias("_tidemark_key")).distinct()
-    return docs.withColumn("_tidemark_key", row_key("doc_id")).join(bad, "_tidemark_key", "left_anti").select(*docs.columns)
+    key = free_name("_key", docs.columns)
+    bad = spans.select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id")).join(bad, key, "left_anti").select(*own_columns(docs))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

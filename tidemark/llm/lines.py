@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Bitmap, free_name, row_key, slices, stage, table
+from tidemark.llm.common import Bitmap, free_name, quoted, row_key, slices, stage, table
 
 WINDOW, EVERY, MAX_LINES, MIN_LINES, MIN_WORDS = 1, 2, 32, 2, 50
 _M64 = (1 << 64) - 1
@@ -149,7 +149,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` without the repeated runs; with ``counts`` also _lines and _removed. A text that loses every line becomes empty."""
+    """``docs`` without the repeated runs; with ``counts`` also _lines and _removed, with a number where a column has such a name. A text that loses every line becomes empty."""
     key, own = free_name("_key", docs.columns), free_name("_runs", docs.columns)
     runs = repeated_runs(docs).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("line", "n")).alias(own))
     lines = F.split("text", "\n", -1)
@@ -162,8 +162,8 @@ def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
     if counts:
         before = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
         gone_n = F.when(F.col(own).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
-        more = [before.alias("_lines"), gone_n.alias("_removed")]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *more)
+        more = [before.alias(free_name("_lines", docs.columns)), gone_n.alias(free_name("_removed", docs.columns))]
+    return joined.select(*[text.alias("text") if c == "text" else F.col(quoted(c)) for c in docs.columns], *more)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
