@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, slices, table, tune
+from tidemark.llm.common import free_name, map_rows, slices, table, tune
 
 KEEP_WORDS, CUT, STEP_BYTES, MEMORY_MB = 400_000, 32, 250_000, 250
 #: One place a word and step; shifted by 32 bits, the word's number stands before the place in k.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     tune(docs.sparkSession)
     more = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return map_rows(docs, run, T.StructType([*docs.schema.fields, *more]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

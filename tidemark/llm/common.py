@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most bytes of text handled at once; a longer text makes a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -80,6 +81,18 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def map_rows(docs: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """``docs.mapInArrow``, which does not take names with dots: ``work`` sees them as _column_0, _column_1 ..."""
+    odd: dict[str, str] = {}
+    for c in schema.names:
+        if "." in c or "`" in c:
+            odd[c] = free_name(f"_column_{len(odd)}", [*schema.names, *odd.values()])
+    if not odd:
+        return docs.mapInArrow(work, schema)
+    plain = T.StructType([T.StructField(odd.get(f.name, f.name), f.dataType) for f in schema])
+    return docs.toDF(*[odd.get(c, c) for c in docs.columns]).mapInArrow(work, plain).toDF(*schema.names)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column as large_string without nulls (null: empty)."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, slices, text_buffers
+from tidemark.llm.common import map_rows, mix, slices, text_buffers
 from tidemark.llm.words import Words
 
 LOG2, DIM, PER_CLASS, EPOCHS, RATE, MOST_PIECES = 15, 8, 1500, 6, 0.5, 16_000_000
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for batch, col in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.predict(col))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_rows(docs, scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -220,4 +220,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch, col in slices(batches):
             yield batch.filter(pa.array(model.predict(col) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_rows(docs, kept, docs.schema)
