@@ -5,7 +5,7 @@ as words joined by blanks, and each rule whose own keyword is there runs its pat
 then length, then place and rule; one that lies inside an accepted match is dropped. The labels of what
 stays join the base labels.
 
-Rules are made from families, versions and phrasings, in order; ``RULES`` has several hundred.
+The rules stand in ``license_rules``, by hand and in order: names, versions, notices, license texts, SPDX identifiers and addresses.
 
 Nulls: a null text counts as empty: no words, no labels, score 0. Rows are taken one by one.
 """
@@ -13,6 +13,7 @@ Nulls: a null text counts as empty: no words, no labels, score 0. Rows are taken
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import slices, table
+from tidemark.llm.license_rules import RULES_TEXT
 from tidemark.llm.words import Words
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -34,116 +36,42 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: label, names it goes by, versions it has
-_FAMILIES = [
-    ("gpl", ["gnu general public license", "gnu gpl", "gpl"], ["1", "2", "3"]),
-    ("lgpl", ["gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"], ["2", "2 1", "3"]),
-    ("agpl", ["gnu affero general public license", "affero general public license", "gnu agpl", "agpl"], ["1", "3"]),
-    ("fdl", ["gnu free documentation license", "gfdl"], ["1 1", "1 2", "1 3"]),
-    ("apache", ["apache license", "apache software license", "apache licence"], ["1 0", "1 1", "2 0"]),
-    ("mpl", ["mozilla public license", "mpl"], ["1 0", "1 1", "2 0"]),
-    ("epl", ["eclipse public license", "epl"], ["1 0", "2 0"]),
-    ("cddl", ["common development and distribution license", "cddl"], ["1 0", "1 1"]),
-    ("eupl", ["european union public licence", "european union public license", "eupl"], ["1 0", "1 1", "1 2"]),
-    ("artistic", ["artistic license"], ["1 0", "2 0"]),
-    ("ofl", ["sil open font license", "open font license"], ["1 0", "1 1"]),
-    ("osl", ["open software license"], ["1 0", "1 1", "2 0", "2 1", "3 0"]),
-    ("afl", ["academic free license"], ["1 1", "1 2", "2 0", "2 1", "3 0"]),
-    ("boost", ["boost software license"], ["1 0"]),
-    ("cecill", ["cecill license", "cecill free software license agreement"], ["1 0", "1 1", "2 0", "2 1"]),
-    ("cpl", ["common public license"], ["0 5", "1 0"]),
-    ("php", ["php license"], ["3 0", "3 01"]),
-    ("python", ["python software foundation license", "psf license"], ["2"]),
-    ("zpl", ["zope public license"], ["1 1", "2 0", "2 1"]),
-    ("ms-pl", ["microsoft public license"], []),
-    ("ms-rl", ["microsoft reciprocal license"], []),
-    ("isc", ["isc license"], []),
-    ("mit", ["mit license", "mit licence", "expat license", "x11 license"], []),
-    ("zlib", ["zlib license", "zlib libpng license"], []),
-    ("unlicense", ["the unlicense", "unlicense org"], []),
-    ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], []),
-    ("postgresql", ["postgresql license"], []),
-    ("beerware", ["beerware license", "beer ware license"], []),
-    ("bsd", ["bsd license", "bsd licence", "berkeley software distribution license"], []),
-    ("public-domain", ["public domain dedication", "dedicated to the public domain"], []),
-]
-_CC = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
-#: phrase of a license's own text, its label
-_TEXTS = [
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions", "mit"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("neither the name of", "bsd"),
-    ("this program is free software you can redistribute it and or modify it under the terms of", "gpl"),
-    ("this library is free software you can redistribute it and or modify it under the terms of", "lgpl"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("this software is provided as is without any express or implied warranty", "zlib"),
-    ("all rights reserved", "all-rights-reserved"),
-]
-
-
-def build_rules() -> list[Rule]:
-    """The rules in order: of equal priority and length, an earlier rule goes first."""
-    out: list[Rule] = []
-    add = lambda *x: out.append(Rule(*x))
-    for label, names, versions in _FAMILIES:
-        for name in names:
-            key, stated = name.split()[-1] if "license" not in name and "licence" not in name else name, re.escape(name).replace(r"\ ", " ")
-            for v in versions:
-                add(label, 90, 1.0, key, rf"\b{stated}(?: as published by the free software foundation)?(?: either)? (?:version |v )?{v} or (?:at your option )?(?:any )?later\b")
-                add(label, 80, 0.95, key, rf"\b{stated}(?: version| v)? {v}\b")
-                add(label, 80, 0.95, key, rf"\b{stated} v{v}\b")
-            add(label, 60, 0.9, key, rf"\b(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{stated}\b")
-            add(label, 40, 0.7, key, rf"\b{stated}\b")
-        for v in versions:
-            add(label, 95, 1.0, "spdx", rf"\bspdx license identifier {label} {v}(?: only| or later)?\b")
-        add(label, 94, 1.0, "spdx", rf"\bspdx license identifier {label}\b")
-    for short, long in _CC.items():
-        label = f"cc-{short.replace(' ', '-')}"
-        for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            add(label, 85, 1.0, "cc", rf"\bcc {short} {v}\b")
-            add(label, 84, 1.0, "creative commons", rf"\bcreative commons {long} (?:{v}|version {v})\b")
-            add(label, 83, 1.0, "creativecommons", rf"\bcreativecommons org licenses {short} {v}\b")
-        add(label, 50, 0.8, "cc", rf"\bcc {short}\b")
-        add(label, 50, 0.8, "creative commons", rf"\bcreative commons {long}\b")
-    add("cc0", 85, 1.0, "cc0", r"\bcc0 1 0\b")
-    add("cc0", 50, 0.8, "cc0", r"\bcc0\b")
-    for n, word in (("0", "zero"), ("2", "two"), ("3", "three"), ("4", "four")):
-        add("bsd", 85, 1.0, "clause", rf"\b(?:{n}|{word}) clause bsd(?: license)?\b")
-        add("bsd", 85, 1.0, "clause", rf"\bbsd {n} clause(?: license)?\b")
-    for text, label in _TEXTS:
-        add(label, 70, 0.9 if len(text.split()) > 4 else 0.4, " ".join(text.split()[:3]), rf"\b{text}\b")
-    return out
+def build_rules(text: str = RULES_TEXT) -> list[Rule]:
+    """The rules in order: of equal priority and length, an earlier rule goes first. What is more certain has more priority, so the score follows it."""
+    parts = [line.split(" ", 3) for line in text.strip().split("\n")]
+    return [Rule(label, int(priority), min(1.0, int(priority) / 90), keyword, rf"\b(?:{pattern})\b") for label, priority, keyword, pattern in parts]
 
 
 RULES = build_rules()
 
 
+def accepted(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, rule) in order of place, of matches (priority, start, end, rule): by priority, then length, place and rule, but none inside an accepted one."""
+    starts: list[int] = []  # accepted matches that lie in no other; their ends rise with their starts
+    ends: list[int] = []
+    kept = []
+    for _, _, start, rule, end in sorted((-p, a - b, a, r, b) for p, a, b, r in found):
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        at, to = bisect_left(starts, start), bisect_right(ends, end)
+        starts[at : max(at, to)], ends[at : max(at, to)] = [start], [end]
+    return sorted(kept)
+
+
 class Scanner:
     def __init__(self, rules: list[Rule] = RULES):
-        import ahocorasick
-
         self.rules = [(r, re.compile(r.pattern)) for r in rules]
-        self.gate = ahocorasick.Automaton()
-        by: dict[str, list[int]] = {}
+        self.by: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
-            by.setdefault(r.keyword, []).append(i)
-        for keyword, own in by.items():
-            self.gate.add_word(keyword, own)
-        self.gate.make_automaton()
+            self.by.setdefault(r.keyword, []).append(i)
 
     def scan(self, text: str) -> list[tuple[int, int, Rule]]:
         """Accepted matches in ``text``, words joined by blanks: (start, end, rule) in order of place."""
-        run = sorted({i for _, own in self.gate.iter(text) for i in own})
-        found = [(-r.priority, m.start() - m.end(), m.start(), i, m.end()) for i in run for r, p in [self.rules[i]] for m in p.finditer(text)]
-        kept: list[tuple[int, int, Rule]] = []
-        for _, _, start, i, end in sorted(found):
-            if not any(a <= start and end <= b for a, b, _ in kept):
-                kept.append((start, end, self.rules[i][0]))
-        return sorted(kept, key=lambda x: x[:2])
+        run = sorted(i for word in self.by.keys() & set(text.split(" ")) for i in self.by[word])
+        found = [(r.priority, m.start(), m.end(), i) for i in run for r, p in [self.rules[i]] for m in p.finditer(text)]
+        return [(a, b, self.rules[i][0]) for a, b, i in accepted(found)]
 
 
 _scanner: list[Scanner] = []
@@ -157,9 +85,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _scanner:
         _scanner.append(Scanner())
     scanner, phrases = _scanner[0], _phrase_hashes()
-    # a keyword of several words may be parted by anything in the raw text, so its first word gates
-    heads = sorted({r.keyword.split()[0].encode() for r in RULES})
-    pattern = re.compile(b"|".join(map(re.escape, heads)))
+    pattern = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, (k.encode() for k in scanner.by)))) + rb")(?![0-9a-z\x80-\xff])")
     for batch, col in slices(batches):
         words, n = Words(col), len(col)
         n_base, first, last = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
