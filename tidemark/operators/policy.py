@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import last_match, reasons
+from tidemark.operators.joins import lookup
 from tidemark.operators.metrics import by_scopes, summary, with_drawdown
 
 
@@ -72,7 +73,7 @@ def apply(df: DataFrame, p: Policy = Policy()) -> DataFrame:
 
 def economics(df: DataFrame, costs: DataFrame) -> DataFrame:
     """Costs of traded rows, gross and net profit, and turnover within market and fold. ``costs`` is one row a market."""
-    df = df.join(F.broadcast(costs), "market", "left")
+    df = lookup(df, costs, "market")
     traded = (F.col("position") != 0).cast("double")
     cost = traded * F.col("cost_ticks") * F.col("tick_value")
     slip = F.least(cost, traded * 2 * F.col("slippage_ticks") * F.col("tick_value"))

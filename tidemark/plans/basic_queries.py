@@ -311,9 +311,9 @@ def topk_gaps(spark, sf_dir):
     return df.where("gap > 60").orderBy(F.desc("gap"), "market", "ts").limit(10)
 
 
-@query("lim_sample_head", f"with {BARS} select market, bar from bars where causal_valid order by bar, market limit 200")
+@query("lim_sample_head", f"with {BARS} select market, bar from bars where causal_valid order by bar, market limit 200000")
 def lim_head(spark, sf_dir):
-    return tick_bars(spark, sf_dir).where("causal_valid").select("market", "bar").orderBy("bar", "market").limit(200)
+    return tick_bars(spark, sf_dir).where("causal_valid").select("market", "bar").orderBy("bar", "market").limit(200_000)
 
 
 @query("lim_max_folds", f"with {BARS}, {PREDS} select market, fold_id from (select distinct market, fold_id from preds) where fold_id < 3")
@@ -369,16 +369,16 @@ def set_dups(spark, sf_dir):
     return tick_bars(spark, sf_dir).groupBy("market").agg((F.count("*") - F.count_distinct(F.struct("seg", "volume"))).alias("duplicates"))
 
 
-@query("set_except", f"with {BARS} select distinct market, bar % 50 as k from bars where bar < 200 except select market, bar % 50 from bars where volume > 200")
+@query("set_except", f"with {BARS} select distinct market, bar % 50 as k from bars except select market, bar % 50 from bars where volume > 200")
 def set_except(spark, sf_dir):
     k = tick_bars(spark, sf_dir).withColumn("k", F.col("bar") % 50)
-    return k.where("bar < 200").select("market", "k").subtract(k.where("volume > 200").select("market", "k"))
+    return k.select("market", "k").subtract(k.where("volume > 200").select("market", "k"))
 
 
-@query("set_intersect", f"with {BARS} select market, bar % 50 as k from bars where bar < 200 intersect select market, bar % 50 from bars where volume > 250")
+@query("set_intersect", f"with {BARS} select market, bar % 50 as k from bars intersect select market, bar % 50 from bars where volume > 250")
 def set_intersect(spark, sf_dir):
     k = tick_bars(spark, sf_dir).withColumn("k", F.col("bar") % 50)
-    return k.where("bar < 200").select("market", "k").intersect(k.where("volume > 250").select("market", "k"))
+    return k.select("market", "k").intersect(k.where("volume > 250").select("market", "k"))
 
 
 # scalar functions

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import degraded
+from tidemark.operators.joins import lookup
 
 
 def read_columns(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
@@ -87,15 +88,15 @@ def chunk_ranges(df: DataFrame, start: str, end: str, unit: str) -> DataFrame:
 
 
 def task_plan(products: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every product with every chunk, from the day the product is available."""
-    out = products.crossJoin(F.broadcast(chunks)).withColumn("chunk_start", F.greatest("chunk_start", "available_start"))
+    """Every product with every chunk, from the day the product is available; a plan is as long as that, and Spark picks the side to send."""
+    out = products.crossJoin(chunks).withColumn("chunk_start", F.greatest("chunk_start", "available_start"))
     return out.where("chunk_start < chunk_end")
 
 
 def with_quality(bars: DataFrame, conditions: DataFrame, ts: str = "ts") -> DataFrame:
     """Status of the bar's UTC date, available where none is stated, and whether it counts as degraded."""
     day = conditions.select(F.col("date").alias("_date"), F.col("status").alias("_status"))
-    out = bars.withColumn("_date", F.to_date(ts)).join(F.broadcast(day), "_date", "left")
+    out = lookup(bars.withColumn("_date", F.to_date(ts)), day, "_date")
     out = out.withColumn("data_quality_status", F.coalesce("_status", F.lit("available"))).drop("_date", "_status")
     return out.withColumn("data_quality_degraded", degraded("data_quality_status"))
 
@@ -128,7 +129,7 @@ def write_checked(df: DataFrame, path: str, bad_rows) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -136,8 +137,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of a small report."""
-    rows = df.limit(most).collect()
+    """A table of a small report; one of more than ``most`` rows is no report."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
