@@ -70,26 +70,72 @@ def pearson(a: Column | str, b: Column | str) -> Column:
 
 
 def summary() -> dict[str, Column]:
-    """Aggregates of a policy frame: counts, sums, rates."""
+    """Aggregates of a policy frame: counts, sums, means, rates, costs by kind, and what each gate stopped."""
     n = F.count(F.lit(1))
     traded = F.col("position") != 0
+    on = F.col("base_position") != 0
+    count = lambda x: F.sum(x.cast("int")).cast("long")
     trades = F.sum(traded.cast("int"))
     gross, cost, net = (F.sum(default(x, 0.0)) for x in ("gross", "cost", "net"))
     return {
         "n_rows": n.cast("long"),
         "trade_count": trades.cast("long"),
-        "long_count": F.sum((F.col("position") > 0).cast("int")).cast("long"),
-        "short_count": F.sum((F.col("position") < 0).cast("int")).cast("long"),
+        "long_count": count(F.col("position") > 0),
+        "short_count": count(F.col("position") < 0),
+        "flat_count": count(F.col("position") == 0),
         "gross_sum": gross,
         "cost_sum": cost,
         "net_sum": net,
+        "gross_mean": F.avg("gross"),
+        "net_mean": F.avg("net"),
         "net_per_trade": net / F.when(trades > 0, trades),
+        "gross_sharpe": sharpe_like("gross"),
         "sharpe_like": sharpe_like("net"),
         "cost_drag": cost / F.when(F.abs(gross) > 1e-12, F.abs(gross)),
+        "position_changes": F.sum("turnover").cast("double"),
         "turnover_per_bar": F.sum("turnover") / n,
+        "slippage_sum": F.sum(default("slippage_cost", 0.0)),
+        "commission_sum": F.sum(default("commission_cost", 0.0)),
+        "round_turns_per_bar": trades / n,
         "win_rate": F.sum((traded & (F.col("net") > 0)).cast("int")) / F.when(trades > 0, trades),
-        "trend_blocks": F.sum((F.col("reason") == "trend_danger_block").cast("int")).cast("long"),
-        "fade_blocks": F.sum((F.col("reason") == "fade_filter_block").cast("int")).cast("long"),
+        "trend_blocks": count(on & F.col("trend_block")),
+        "fade_blocks": count(on & ~F.col("fade_ok")),
+        "flat_blocks": count(on & ~F.col("flat_ok")),
+        "no_direction": count(~on),
+    }
+
+
+def trade_measures() -> dict[str, Column]:
+    """What a slice of a policy frame traded, by sums, means and medians of a trade."""
+    n = F.count(F.lit(1))
+    traded = F.col("position") != 0
+    of = lambda x: F.when(traded, F.col(x))
+    count = lambda x: F.sum(x.cast("int")).cast("long")
+    won = lambda x: F.avg(F.when(traded, (F.col(x) > 0).cast("double")))
+    right = F.when(traded & F.col("y_sign").isin(-1, 0, 1), (F.col("position") == F.col("y_sign")).cast("double"))
+    return {
+        "n_rows": n.cast("long"),
+        "trade_count": count(traded),
+        "long_count": count(F.col("position") > 0),
+        "short_count": count(F.col("position") < 0),
+        "flat_count": count(~traded),
+        "gross_sum": F.sum(default("gross", 0.0)),
+        "slippage_sum": F.sum(default("slippage_cost", 0.0)),
+        "commission_sum": F.sum(default("commission_cost", 0.0)),
+        "cost_sum": F.sum(default("cost", 0.0)),
+        "net_sum": F.sum(default("net", 0.0)),
+        "gross_mean": F.avg(of("gross")),
+        "gross_median": F.percentile(of("gross"), F.lit(0.5)),
+        "net_mean": F.avg(of("net")),
+        "net_median": F.percentile(of("net"), F.lit(0.5)),
+        "gross_win_rate": won("gross"),
+        "net_win_rate": won("net"),
+        "cost_mean": F.avg(of("cost")),
+        "slippage_mean": F.avg(of("slippage_cost")),
+        "commission_mean": F.avg(of("commission_cost")),
+        "direction_accuracy": F.avg(right),
+        "gross_positive": F.sum(default("gross", 0.0)) > 0,
+        "net_positive": F.sum(default("net", 0.0)) > 0,
     }
 
 
@@ -103,3 +149,30 @@ def by_scopes(df: DataFrame, scopes: dict[str, list[str]], aggs: dict[str, Colum
     for name, cols in scopes.items():
         label = F.when(gid == mask(cols), name) if label is None else label.when(gid == mask(cols), name)
     return sets.agg(label.alias("scope"), *[a.alias(k) for k, a in aggs.items()])
+
+
+def drawdown_by_scopes(df: DataFrame, x: str, scopes: dict[str, list[str]], parts: Sequence[str], ts: str = "ts", name: str = "max_drawdown") -> DataFrame:
+    """Least drawdown of the running sum of ``x`` in each group of each scope, rows in the order ``parts``, then ``ts``.
+
+    Rows meet only within a month of one combination of ``parts``. Each month leaves four numbers (sum, highest and lowest
+    running sum, least drawdown), which chain: a scope's value follows from its months in order.
+    """
+    df = df.withColumn("_month", F.date_trunc("month", ts))
+    by_extra: dict[tuple[str, ...], dict[str, list[str]]] = {}
+    for scope, cols in scopes.items():
+        by_extra.setdefault(tuple(k for k in cols if k not in parts), {})[scope] = cols
+    out = None
+    for extra, some in by_extra.items():
+        month = [*extra, *parts, "_month"]
+        w = Window.partitionBy(*month).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.withColumn("_cum", F.sum(F.coalesce(c(x), F.lit(0.0))).over(w))
+        rows = rows.withColumn("_dd", F.col("_cum") - F.max("_cum").over(w))
+        ends = rows.groupBy(*month).agg(F.sum(F.coalesce(c(x), F.lit(0.0))).alias("_sum"), F.max("_cum").alias("_hi"), F.min("_cum").alias("_lo"), F.min("_dd").alias("_dd"))
+        ends = ends.withColumn("_m", F.struct(*parts, "_month", "_sum", "_hi", "_lo", "_dd"))
+        none = F.lit(None).cast("double")
+        start = F.struct(F.lit(0.0).alias("cum"), none.alias("top"), none.alias("dd"))
+        step = lambda s, m: F.struct((s["cum"] + m["_sum"]).alias("cum"), F.greatest(s["top"], s["cum"] + m["_hi"]).alias("top"), F.least(s["dd"], m["_dd"], s["cum"] + m["_lo"] - s["top"]).alias("dd"))
+        one = by_scopes(ends, some, {"_months": F.array_sort(F.collect_list("_m"))})
+        one = one.withColumn(name, F.aggregate("_months", start, step, lambda s: s["dd"])).drop("_months")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

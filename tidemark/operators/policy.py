@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import last_match, reasons
-from tidemark.operators.joins import lookup
-from tidemark.operators.metrics import by_scopes, summary, with_drawdown
+from tidemark.operators.joins import lookup, nullsafe_left
+from tidemark.operators.metrics import by_scopes, drawdown_by_scopes, summary
 
 
 @dataclass(frozen=True)
@@ -97,12 +97,16 @@ SCOPES = {"overall": [], "market": ["market"], "fold": ["fold_id"], "market_fold
 
 
 def metrics(df: DataFrame, scopes: dict[str, list[str]] | None = None) -> DataFrame:
-    return by_scopes(df, scopes or SCOPES, summary())
+    """The whole summary of each group of each scope, with its drawdown in the order market, fold, time."""
+    scopes = scopes or SCOPES
+    keys = sorted({k for cols in scopes.values() for k in cols})
+    falls = drawdown_by_scopes(df, "net", scopes, ["market", "fold_id"])
+    return nullsafe_left(by_scopes(df, scopes, summary()), falls, ["scope", *keys])
 
 
 def max_drawdown(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Least drawdown of the running net in the order market, fold, time."""
-    return with_drawdown(df, "net", by, ["market", "fold_id", "ts"]).groupBy(*by).agg(F.min("drawdown").alias("max_drawdown"))
+    return drawdown_by_scopes(df, "net", {"one": list(by)}, ["market", "fold_id"]).drop("scope")
 
 
 def promotion_gate(df: DataFrame, min_net: float = 0.0, max_turnover: float = 0.10, min_trades: int = 1, max_cost_drag: float = 1.0) -> DataFrame:

@@ -158,32 +158,78 @@ def pol_pivot(spark, sf_dir):
     return wide.select(*out("market", "bar", er=_c("expected_return"), p_long=_c("p_long"), p_short=_c("p_short"), p_flat=_c("p_flat"), p_fade=_c("p_fade"), p_trend=_c("p_trend")))
 
 
-_SUMMARY = f"""count(*) as n_rows, cast(sum(cast(position <> 0 as int)) as bigint) as trade_count, cast(sum(cast(position > 0 as int)) as bigint) as long_count, cast(sum(cast(position < 0 as int)) as bigint) as short_count,
-    {q('sum(gross)')} as gross_sum, {q('sum(cost)')} as cost_sum, {q('sum(net)')} as net_sum, {q('sum(net) / nullif(sum(cast(position <> 0 as int)), 0)')} as net_per_trade,
-    {q('case when stddev_pop(net) > 1e-15 then avg(net) / stddev_pop(net) * sqrt(count(*)) end')} as sharpe_like, {q('case when abs(sum(gross)) > 1e-12 then sum(cost) / abs(sum(gross)) end')} as cost_drag,
-    {q('sum(turnover) / count(*)')} as turnover_per_bar, {q('sum(cast(position <> 0 and net > 0 as int)) / nullif(sum(cast(position <> 0 as int)), 0)')} as win_rate,
-    cast(sum(cast(reason = 'trend_danger_block' as int)) as bigint) as trend_blocks, cast(sum(cast(reason = 'fade_filter_block' as int)) as bigint) as fade_blocks"""
-_FLOATS = ["gross_sum", "cost_sum", "net_sum", "net_per_trade", "sharpe_like", "cost_drag", "turnover_per_bar", "win_rate"]
+_TRADES = "sum(cast(position <> 0 as int))"
+
+
+def _long(condition: str) -> str:
+    return f"cast(sum(cast({condition} as int)) as bigint)"
+
+
+def _sharpe_sql(x: str) -> str:
+    return f"case when stddev_pop({x}) > 1e-15 then avg({x}) / stddev_pop({x}) * sqrt(count(*)) end"
+
+
+_SUMMARY_FLOATS = {
+    "gross_sum": "sum(gross)",
+    "cost_sum": "sum(cost)",
+    "net_sum": "sum(net)",
+    "gross_mean": "avg(gross)",
+    "net_mean": "avg(net)",
+    "net_per_trade": f"sum(net) / nullif({_TRADES}, 0)",
+    "gross_sharpe": _sharpe_sql("gross"),
+    "sharpe_like": _sharpe_sql("net"),
+    "cost_drag": "case when abs(sum(gross)) > 1e-12 then sum(cost) / abs(sum(gross)) end",
+    "position_changes": "sum(turnover)",
+    "turnover_per_bar": "sum(turnover) / count(*)",
+    "slippage_sum": "sum(slip)",
+    "commission_sum": "sum(commission)",
+    "round_turns_per_bar": f"{_TRADES} / count(*)",
+    "win_rate": f"sum(cast(position <> 0 and net > 0 as int)) / nullif({_TRADES}, 0)",
+}
+_SUMMARY_COUNTS = {
+    "trade_count": "position <> 0",
+    "long_count": "position > 0",
+    "short_count": "position < 0",
+    "flat_count": "position = 0",
+    "trend_blocks": "base <> 0 and trend_block",
+    "fade_blocks": "base <> 0 and not fade_ok",
+    "flat_blocks": "base <> 0 and not flat_ok",
+    "no_direction": "base = 0",
+}
+_SUMMARY = ", ".join(["count(*) as n_rows", *[f"{_long(x)} as {n}" for n, x in _SUMMARY_COUNTS.items()], *[f"{q(x)} as {n}" for n, x in _SUMMARY_FLOATS.items()]])
+_FLOATS = list(_SUMMARY_FLOATS)
 
 
 def _quantized(df, names):
     return df.withColumns({n: S.quantize(n) for n in names})
 
 
-@query("agg_policy_summary", f"with {POLICY} select {_SUMMARY} from pf")
+def _scoped_sql(scopes: dict[str, list[str]]) -> str:
+    """Summary and drawdown of every scope, each over its own grouping."""
+    keys = sorted({k for cols in scopes.values() for k in cols})
+    parts = []
+    for name, cols in scopes.items():
+        group = f"group by {', '.join(cols)}" if cols else ""
+        by = f"partition by {', '.join(cols)} " if cols else ""
+        w = f"over ({by}order by market, fold_id, ts rows between unbounded preceding and current row)"
+        show = ", ".join(k if k in cols else f"null as {k}" for k in keys)
+        same = " and ".join(f"a.{k} is not distinct from b.{k}" for k in cols) or "true"
+        falls = f"select {', '.join([*cols, 'min(cum - top) as fall'])} from (select *, max(cum) {w} as top from (select *, sum(net) {w} as cum from pf)) {group}"
+        parts.append(f"select a.*, {q('b.fall')} as max_drawdown from (select '{name}' as scope, {show + ', ' if keys else ''}{_SUMMARY} from pf {group}) a join ({falls}) b on {same}")
+    return f"with {POLICY} " + " union all ".join(parts)
+
+
+@query("agg_policy_summary", _scoped_sql({"overall": []}))
 def agg_summary(spark, sf_dir):
-    return _quantized(frame(spark, sf_dir).agg(*[a.alias(k) for k, a in metrics.summary().items()]), _FLOATS)
+    return _quantized(policy.metrics(frame(spark, sf_dir), {"overall": []}), [*_FLOATS, "max_drawdown"])
 
 
-_SCOPED = f"""with {POLICY} select case when grouping(market) = 1 and grouping(fold_id) = 1 and grouping(reason) = 1 then 'overall' when grouping(reason) = 0 then 'reason' when grouping(fold_id) = 1 then 'market' when grouping(market) = 1 then 'fold' else 'market_fold' end as scope,
-    market, fold_id, reason, {_SUMMARY.replace("reason = '", "reason_ = '")} from (select *, reason as reason_ from pf) group by grouping sets ((), (market), (fold_id), (market, fold_id), (reason))"""
+_SCOPED = _scoped_sql(policy.SCOPES)
 
 
 @query("agg_multi_scope", _SCOPED)
 def agg_scopes(spark, sf_dir):
-    df = frame(spark, sf_dir)
-    scopes = {"overall": [], "market": ["market"], "fold": ["fold_id"], "market_fold": ["market", "fold_id"], "reason": ["reason_key"]}
-    return _quantized(metrics.by_scopes(df.withColumn("reason_key", _c("reason")), scopes, metrics.summary()).withColumnRenamed("reason_key", "reason"), _FLOATS)
+    return _quantized(policy.metrics(frame(spark, sf_dir)), [*_FLOATS, "max_drawdown"])
 
 
 @query("pol_metrics", _SCOPED)
@@ -234,14 +280,20 @@ def _slice(spark, sf_dir, keys, df=None):
 
 
 _SL = f"count(*) as n, count(*) filter (where position <> 0) as trades, {q('sum(gross)')} as gross, {q('sum(cost)')} as cost, {q('sum(net)')} as net, {q('avg(case when position <> 0 then cast(net > 0 as double) end)')} as win_rate"
-_STAB = {"overall": [], "market": ["market"], "fold": ["fold_id"], "side": ["side"], "market_side": ["market", "side"], "fold_side": ["fold_id", "side"], "market_fold": ["market", "fold_id"], "session": ["session_id"], "market_session": ["market", "session_id"], "hour": ["hour"], "market_hour": ["market", "hour"]}
+_STAB = {"overall": [], "market": ["market"], "fold": ["fold_id"], "side": ["side"], "year": ["year"], "month": ["month"], "hour": ["hour"], "market_side": ["market", "side"], "market_fold": ["market", "fold_id"], "side_hour": ["side", "hour"], "market_month": ["market", "month"]}
 _STAB_KEYS = sorted({k for v in _STAB.values() for k in v})
+_TM_FLOATS = {"gross_sum": "sum(gross)", "slippage_sum": "sum(slip)", "commission_sum": "sum(commission)", "cost_sum": "sum(cost)", "net_sum": "sum(net)"}
+_TM_FLOATS |= {f"{n}_mean": f"avg({x}) filter (where position <> 0)" for n, x in (("gross", "gross"), ("net", "net"), ("cost", "cost"), ("slippage", "slip"), ("commission", "commission"))}
+_TM_FLOATS |= {f"{n}_median": f"quantile_cont({n}, 0.5) filter (where position <> 0)" for n in ("gross", "net")}
+_TM_FLOATS |= {f"{n}_win_rate": f"avg(cast({n} > 0 as int)) filter (where position <> 0)" for n in ("gross", "net")}
+_TM_FLOATS |= {"direction_accuracy": "avg(cast(position = y_sign as int)) filter (where position <> 0)"}
+_TM = ", ".join(["count(*) as n_rows", *[f"{_long(_SUMMARY_COUNTS[n])} as {n}" for n in ("trade_count", "long_count", "short_count", "flat_count")], *[f"{q(x)} as {n}" for n, x in _TM_FLOATS.items()], "sum(gross) > 0 as gross_positive", "sum(net) > 0 as net_positive"])
 
 
-@query("agg_stability_scopes", f"with {POLICY}, h as (select *, cast(hour(ts) as int) as hour from pf) " + " union all ".join(f"select '{n}' as scope, " + ", ".join(k if k in ks else f"null as {k}" for k in _STAB_KEYS) + f", count(*) as n_rows, {q('sum(net)')} as net_sum from h " + (f"group by {', '.join(ks)}" if ks else "") for n, ks in _STAB.items()))
+@query("agg_stability_scopes", f"with {POLICY}, h as (select *, cast(hour(ts) as int) as hour, cast(year(ts) as int) as year, strftime(ts, '%Y-%m') as month from pf) " + " union all ".join(f"select '{n}' as scope, " + ", ".join(k if k in ks else f"null as {k}" for k in _STAB_KEYS) + f", {_TM} from h " + (f"group by {', '.join(ks)}" if ks else "") for n, ks in _STAB.items()))
 def agg_stability(spark, sf_dir):
-    df = frame(spark, sf_dir).withColumn("hour", F.hour("ts"))
-    return _quantized(metrics.by_scopes(df, _STAB, {"n_rows": F.count("*"), "net_sum": F.sum("net")}), ["net_sum"])
+    df = frame(spark, sf_dir).withColumns({"hour": F.hour("ts"), "year": F.year("ts"), "month": F.date_format("ts", "yyyy-MM")})
+    return _quantized(metrics.by_scopes(df, _STAB, metrics.trade_measures()), list(_TM_FLOATS))
 
 
 @query("agg_scale_scopes", f"{_BP} select market, fold_id, case when grouping(market) = 1 and grouping(fold_id) = 1 then 'overall' when grouping(fold_id) = 1 then 'market' when grouping(market) = 1 then 'fold' else 'market_fold' end as scope, {q('stddev_pop(expected_return)')} as pred_std, {q('avg(abs(exit_price / entry_price - 1))')} as actual_abs from preds group by grouping sets ((), (market), (fold_id), (market, fold_id))")
