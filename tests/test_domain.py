@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,67 @@ def test_logistic_is_at_its_optimum(spark):
     assert np.abs(a.T @ (p - (y[key == "b"] > 0)) + np.array([1, 1, 1, 0]) * w["b"]).max() < 1e-5
 
 
+def test_softmax_is_at_its_optimum(spark):
+    key, x, y, df = model_frame(spark)
+    df = df.withColumn("y", F.when(F.abs("y") < 0.8, 0).otherwise(F.signum("y")).cast("double"))
+    w, ok = models.softmax(df, 3)
+    assert ok
+    for k in "ab":
+        a = np.hstack([x[key == k], np.ones(((key == k).sum(), 1))])
+        t = np.where(np.abs(y[key == k]) < 0.8, 0, np.sign(y[key == k]))
+        p = np.exp(a @ w[k].T)
+        p /= p.sum(axis=1, keepdims=True)
+        grad = (p - (t[:, None] == np.array([-1, 0, 1]))).T @ a + np.array([1, 1, 1, 0]) * w[k]
+        assert np.abs(grad).max() < 1e-5
+        assert np.abs(w[k][:, :3].sum(axis=0)).max() < 1e-6
+
+
+def test_classifier_knows_the_classes_of_each_fold(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(v)], float(y)) for k, ys in (("one", [1]), ("two", [-1, 1]), ("three", [-1, 0, 1])) for v in rng.normal(size=60) for y in [ys[int(abs(v * 10)) % len(ys)]]]
+    df = spark.createDataFrame(rows, "key string, x array<double>, y double")
+    w, ok = models.classifier(df, 1)
+    assert ok
+    out = {k: [r for r in models.predict_classes(df, w).collect() if r.key == k] for k in ("one", "two", "three")}
+    assert all((r.p_short, r.p_flat, r.p_long) == (None, None, 1.0) for r in out["one"])
+    assert all(r.p_flat is None and r.p_short + r.p_long == pytest.approx(1) for r in out["two"])
+    assert all(r.p_flat + r.p_short + r.p_long == pytest.approx(1) for r in out["three"])
+    two, _ = models.logistic(df.where("key = 'two'").withColumn("y", (F.col("y") == 1).cast("double")), 1)
+    r = out["two"][0]
+    assert r.p_long == pytest.approx(1 / (1 + np.exp(-(two["two"][0] * r.x[0] + two["two"][1]))))
+
+
+def test_drawdown_by_scopes_equals_a_running_sum(spark):
+    rng = np.random.default_rng(5)
+    days = pd.date_range("2024-01-01", periods=120, freq="1D")
+    rows = [(m, f, str(rng.integers(2)), d.to_pydatetime(), None if rng.random() < 0.1 else float(rng.integers(-9, 9))) for m in ("A", "B") for f in (0, 1) for d in days[f * 50 : f * 50 + 70]]
+    pdf = pd.DataFrame(rows, columns=["market", "fold_id", "reason", "ts", "net"]).sort_values(["market", "fold_id", "ts"])
+    df = spark.createDataFrame(rows, "market string, fold_id int, reason string, ts timestamp_ntz, net double")
+    scopes = {"all": [], "market": ["market"], "fold": ["fold_id"], "reason": ["reason"], "market_reason": ["market", "reason"]}
+    got = metrics.drawdown_by_scopes(df, "net", scopes, ["market", "fold_id"]).collect()
+    for scope, cols in scopes.items():
+        groups = pdf.groupby(cols) if cols else [((), pdf)]
+        for k, g in groups:
+            k = k if isinstance(k, tuple) else (k,)
+            cum = g["net"].fillna(0).cumsum()
+            (mine,) = [r for r in got if r.scope == scope and all(r[c] == v for c, v in zip(cols, k, strict=True))]
+            assert mine.max_drawdown == pytest.approx((cum - cum.cummax()).min())
+
+
+def test_fitted_predictions_reach_the_policy(spark, sf_dir):
+    from tidemark.operators import walkforward
+    from tidemark.plans import research_queries as r
+
+    table = r.fitted_predictions(spark, sf_dir, hours=6).cache()
+    assert len(table.columns) == 30 and table.count() > 0
+    assert table.groupBy(*walkforward.KEYS, "model_id").count().where("count > 1").isEmpty()
+    wide = walkforward.to_policy(table)
+    assert wide.count() == table.select(*walkforward.KEYS).distinct().count()
+    probs = F.coalesce("p_long", F.lit(0.0)) + F.coalesce("p_short", F.lit(0.0)) + F.coalesce("p_flat", F.lit(0.0))
+    assert wide.where(F.abs(probs - 1) > 1e-9).isEmpty()
+    assert table.where("model_family = 'logistic' and not y_pred_raw between -1 and 1").isEmpty()
+
+
 def test_scaling_fills_and_survives_constants(spark):
     df = spark.createDataFrame([("a", 1.0, None, 2.0), ("a", 3.0, None, 2.0), ("a", None, None, 2.0)], "key string, f double, g double, h double")
     out = models.scaled(df, models.scaling(df, ["f", "g", "h"], ["key"]), ["f", "g", "h"], ["key"]).collect()

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import cut, default, last_match
+from tidemark.functions.scalars import argmax3, cut, default, last_match
+from tidemark.operators.joins import nullsafe_left
 from tidemark.operators.policy import base_direction
 
 #: scenario, share of commission, share of slippage
@@ -63,16 +64,146 @@ def threshold_grid(df: DataFrame, margins: Sequence[float], fades: Sequence[floa
     return df.select(pnl.alias("pnl"), F.explode(passes).alias("g")).groupBy("g.margin", "g.fade", "g.trend").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net"))
 
 
-def edge_scenarios(df: DataFrame, edges: Sequence[float]) -> DataFrame:
-    """Three ways to demand an edge: by margin, by the side's own probability, by its lead over flat."""
-    best = F.greatest("p_long", "p_short")
-    modes = {"margin": F.abs(F.col("p_long") - F.col("p_short")), "side": best, "over_flat": best - F.col("p_flat")}
-    side = F.when(F.col("p_long") >= F.col("p_short"), 1).otherwise(-1)
-    tries = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(e).alias("edge"), x.alias("value")) for m, x in modes.items() for e in edges])
-    kept = F.filter(tries, lambda t: t["value"] >= t["edge"])
-    pnl = side * (F.col("exit_price") - F.col("entry_price")) * F.col("point_value") - F.col("cost_ticks") * F.col("tick_value")
-    right = (side == F.col("y_sign")).cast("double")
-    return df.select(pnl.alias("pnl"), right.alias("right"), F.explode(kept).alias("t")).groupBy("t.mode", "t.edge").agg(F.count("*").alias("trades"), F.sum("pnl").alias("net"), F.avg("right").alias("accuracy"))
+#: margin and, where the mode has them, the least lead over flat and the most flat probability
+EDGE_SCENARIOS = [
+    spec
+    for m in (0.05, 0.10, 0.15, 0.20, 0.30)
+    for spec in [("current_margin", m, None, x) for x in (None, 0.35, 0.45, 0.55)] + [("direction_beats_flat", m, x, None) for x in (0.0, 0.05, 0.10, 0.20)] + [("argmax_nonflat", m, None, None)]
+]
+
+
+def edge_scenarios(df: DataFrame, specs: Sequence[tuple] = EDGE_SCENARIOS) -> DataFrame:
+    """Counts, profit and accuracy under every way to demand an edge, behind the fade and trend gates.
+
+    A scenario is a struct in an array literal, and only the scenarios that a row trades in are exploded, so the partial
+    aggregation of the scan does the work. A scenario without trades keeps its row of zeros.
+    """
+    num = lambda v: F.lit(v).cast("double")
+    literal = [F.struct(F.lit(mode).alias("mode"), num(m).alias("margin"), num(f).alias("flat_margin"), num(x).alias("max_flat")) for mode, m, f, x in specs]
+    long_, short, flat = F.col("p_long"), F.col("p_short"), F.col("p_flat")
+    diff = long_ - short
+    top = argmax3("p_short", "p_flat", "p_long")
+
+    def side(s: Column) -> Column:
+        by_margin = F.when(diff >= s["margin"], 1).when(diff <= -s["margin"], -1)
+        by_flat = F.when((diff >= s["margin"]) & (long_ - flat >= s["flat_margin"]), 1).when((short - long_ >= s["margin"]) & (short - flat >= s["flat_margin"]), -1)
+        by_top = F.when((top == 1) & (diff >= s["margin"]), 1).when((top == -1) & (diff <= -s["margin"]), -1)
+        pos = F.when(s["mode"] == "current_margin", by_margin).when(s["mode"] == "direction_beats_flat", by_flat).otherwise(by_top)
+        return F.when(s["max_flat"].isNull() | (flat <= s["max_flat"]), pos)
+
+    taken = F.filter(F.transform(F.array(*literal), lambda s: F.struct(s.alias("s"), side(s).alias("side"))), lambda t: t["side"].isNotNull())
+    gate = F.col("fade_ok") & ~F.col("trend_block")
+    move = F.coalesce(F.col("exit_price") - F.col("entry_price"), F.lit(0.0))
+    rows = df.select(
+        F.explode(F.when(gate, taken)).alias("t"),
+        (move * F.coalesce("point_value", F.lit(0.0))).alias("pnl"),
+        F.coalesce(F.col("cost_ticks") * F.col("tick_value"), F.lit(0.0)).alias("cost"),
+        *["y_sign", flat.alias("flat"), F.abs(diff).alias("abs_margin"), (F.greatest("p_long", "p_short") - flat).alias("lead")],
+        F.signum(F.col("exit_price") - F.col("entry_price")).cast("int").alias("came"),
+    )
+    pos = F.col("t.side")
+    hit = lambda x: F.avg(F.when(F.col(x).isin(-1, 0, 1), (pos == F.col(x)).cast("double")))
+    sums = rows.groupBy("t.s").agg(
+        F.count("*").alias("trades"),
+        F.count_if(pos == 1).alias("longs"),
+        F.count_if(pos == -1).alias("shorts"),
+        F.sum(pos * F.col("pnl")).alias("gross"),
+        F.sum("cost").alias("cost"),
+        F.sum(pos * F.col("pnl") - F.col("cost")).alias("net"),
+        hit("y_sign").alias("target_accuracy"),
+        hit("came").alias("realized_accuracy"),
+        F.avg("flat").alias("mean_flat"),
+        F.avg("abs_margin").alias("mean_margin"),
+        F.avg("lead").alias("mean_lead"),
+    )
+    every = df.sparkSession.range(1).select(F.explode(F.array(*literal)).alias("s")).select("s.*")
+    sums = sums.select("s.*", *[x for x in sums.columns if x != "s"])
+    zero = ["trades", "longs", "shorts", "gross", "cost", "net"]
+    return nullsafe_left(every, sums, ["mode", "margin", "flat_margin", "max_flat"]).fillna(0, zero)
+
+
+#: buckets of the signals by whose side an alignment is read
+SIGNAL_BUCKETS = {"margin": [0.05, 0.10, 0.20, 0.40], "p_long": [0.25, 0.40, 0.55, 0.70, 0.85], "p_short": [0.25, 0.40, 0.55, 0.70, 0.85], "p_fade": [0.50, 0.70, 0.85, 0.95], "p_trend": [0.10, 0.25, 0.50, 0.75]}
+
+
+def with_alignment(df: DataFrame) -> DataFrame:
+    """Buckets of every signal, the gate that decided, what came, and what base and inverted positions would have earned."""
+    on = F.col("base_position") != 0
+    move = F.coalesce((F.col("exit_price") - F.col("entry_price")) * F.col("point_value"), F.lit(0.0))
+    cost = F.coalesce(F.col("cost_ticks") * F.col("tick_value"), F.lit(0.0))
+    df = df.withColumns({"margin": F.abs(F.col("p_long") - F.col("p_short")), "came": F.signum(F.col("exit_price") - F.col("entry_price")).cast("int")})
+    gate = last_match("other", (F.col("position") != 0, "traded"), (~on, "no_direction"), (on & ~F.col("fade_ok"), "fade_filter_block"), (on & F.col("trend_block"), "trend_danger_block"))
+    return df.withColumns(
+        {
+            **{f"{x}_bucket": cut(x, edges) for x, edges in SIGNAL_BUCKETS.items()},
+            "gate": gate,
+            "base_side": F.when(F.col("base_position") > 0, "long").when(F.col("base_position") < 0, "short").otherwise("flat"),
+            "base_gross": F.col("base_position") * move,
+            "base_net": F.col("base_position") * move - F.when(on, cost).otherwise(0.0),
+            "inverted_gross": -F.col("position") * move,
+            "inverted_net": F.when(F.col("position") != 0, -F.col("position") * move - cost).otherwise(0.0),
+            "top": argmax3("p_short", "p_flat", "p_long"),
+        }
+    )
+
+
+def _agree(position: Column, actual: str, where: Column, sign: int = 1, among: tuple = (-1, 0, 1)) -> Column:
+    return F.avg(F.when(where & (position != 0) & F.col(actual).isin(*among), (position == sign * F.col(actual)).cast("double")))
+
+
+def alignment_measures() -> dict[str, Column]:
+    """How positions and base signals agree with targets and with what came; for ``with_alignment`` rows."""
+    pos, base_ = F.col("position"), F.col("base_position")
+    traded, on = pos != 0, base_ != 0
+    every = F.lit(True)
+    trades = F.count_if(traded)
+    net, base_net = F.sum(default("net", 0.0)), F.sum("base_net")
+    mean = lambda x: F.avg(F.when(traded, F.col(x)))
+    top_right = lambda where: F.avg(F.when(where & F.col("y_sign").isin(-1, 0, 1), (F.col("top") == F.col("y_sign")).cast("double")))
+    return {
+        "n_rows": F.count(F.lit(1)),
+        "base_signals": F.count_if(on),
+        "trades": trades,
+        "blocked": F.count_if(on & ~traded),
+        "longs": F.count_if(pos == 1),
+        "shorts": F.count_if(pos == -1),
+        "mismatches": F.count_if(traded & (pos != base_)),
+        "gross": F.sum(default("gross", 0.0)),
+        "cost": F.sum(default("cost", 0.0)),
+        "net": net,
+        "base_gross": F.sum("base_gross"),
+        "base_net": base_net,
+        "gate_delta": net - base_net,
+        "trade_rate": trades / F.when(F.count_if(on) > 0, F.count_if(on)),
+        "target_accuracy": _agree(pos, "y_sign", every),
+        "realized_accuracy": _agree(pos, "came", every),
+        "target_inverted": _agree(pos, "y_sign", every, -1, (-1, 1)),
+        "realized_inverted": _agree(pos, "came", every, -1, (-1, 1)),
+        "base_accuracy": _agree(base_, "y_sign", every),
+        "blocked_accuracy": _agree(base_, "y_sign", ~traded),
+        "top_accuracy_traded": top_right(traded),
+        "top_accuracy": top_right(every),
+        "mean_margin": mean("margin"),
+        "mean_p_long": mean("p_long"),
+        "mean_p_short": mean("p_short"),
+        "mean_p_fade": mean("p_fade"),
+        "mean_p_trend": mean("p_trend"),
+    }
+
+
+def inversion(df: DataFrame) -> DataFrame:
+    """One row: traded positions against the same positions turned round."""
+    t = df.where("position <> 0")
+    pos, every = F.col("position"), F.lit(True)
+    return t.agg(
+        F.count("*").alias("trades"),
+        *[F.sum(x).alias(x) for x in ("gross", "net", "inverted_gross", "inverted_net")],
+        (F.sum("inverted_net") - F.sum("net")).alias("delta"),
+        _agree(pos, "y_sign", every).alias("target_accuracy"),
+        _agree(-pos, "y_sign", every).alias("target_accuracy_inverted"),
+        _agree(pos, "came", every).alias("realized_accuracy"),
+        _agree(-pos, "came", every).alias("realized_accuracy_inverted"),
+    )
 
 
 def block_category(df: DataFrame) -> Column:

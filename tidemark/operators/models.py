@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CLASSES = (-1, 0, 1)
+
+
 def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Exact medians, then mean and population deviation after filling; a column without values fills with 0, one without spread scales by 1."""
     med = train.groupBy(*by).agg(*[F.coalesce(F.percentile(f, F.lit(0.5)), F.lit(0.0)).alias(f"{f}__med") for f in features])
@@ -32,18 +35,21 @@ def scaled(rows: DataFrame, stats: DataFrame, features: Sequence[str], by: Seque
 
 
 def _by_fold(df: DataFrame, part, width: int) -> dict[str, np.ndarray]:
-    """Sum over batches of ``part(x, y) -> flat array``, by fold key; what comes back is one small array a fold."""
+    """Sum over batches of ``part(key, x, y) -> flat array``, by fold key: one array a fold leaves each task, and one comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             keys = np.array(batch.column("key").to_pylist(), object)
             if not len(keys):
                 continue
             y = batch.column("y").to_numpy(zero_copy_only=False)
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-            names = sorted(set(keys))
-            sums = [part(k, x[keys == k], y[keys == k]) for k in names]
-            yield pa.record_batch({"key": names, "s": pa.array([list(s) for s in sums], pa.list_(pa.float64()))})
+            for k in set(keys):
+                s = part(k, x[keys == k], y[keys == k])
+                sums[k] = sums[k] + s if k in sums else s
+        for k, s in sums.items():
+            yield pa.record_batch({"key": [k], "s": pa.array([s], pa.list_(pa.float64()))})
 
     rows = df.select("key", "x", F.col("y").cast("double").alias("y")).mapInArrow(run, "key string, s array<double>")
     total = rows.groupBy("key").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]) if width <= 64 else None
@@ -94,6 +100,88 @@ def logistic(train: DataFrame, n_features: int, c: float = 1.0, most: int = 12,
     return weights, False
 
 
+def softmax(train: DataFrame, n_features: int, c: float = 1.0, most: int = 30, tolerance: float = 1e-8) -> tuple[dict[str, np.ndarray], bool]:
+    """Logistic regression of three classes (y is -1, 0 or 1) with L2 strength 1/c on all but the intercepts.
+
+    Newton steps for all folds at once, a step halved where it does not lower the loss; (class x weight arrays, intercept last, whether all converged).
+    """
+    d = n_features + 1
+    k = len(CLASSES)
+    trial: dict[str, np.ndarray] = {}
+    best: dict[str, tuple[np.ndarray, float]] = {}
+    done: set[str] = set()
+    # a shift of all intercepts changes no probability: their sum is held at 0, or the system would be singular
+    bias = np.tile([0.0] * n_features + [1.0], k)
+    penalty = np.diag(np.tile([1.0 / c] * n_features + [0.0], k)) + np.outer(bias, bias)
+
+    def part(key: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a = np.hstack([x, np.ones((len(x), 1))])
+        z = a @ trial.get(key, np.zeros((k, d))).T
+        z = z - z.max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        hot = y[:, None] == np.array(CLASSES)
+        loss = -(np.log(np.maximum(p, 1e-300)) * hot).sum()
+        blocks = [[(a * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ a for j in range(k)] for i in range(k)]
+        return np.concatenate([[loss], ((p - hot).T @ a).ravel(), np.block(blocks).ravel()])
+
+    for _ in range(most):
+        left = train.where(~F.col("key").isin(sorted(done))) if done else train
+        sums = _by_fold(left, part, 1 + k * d + (k * d) ** 2)
+        for key, s in sums.items():
+            w = trial.get(key, np.zeros((k, d)))
+            loss = s[0] + 0.5 * float(w.ravel() @ penalty @ w.ravel())
+            if key in best and loss > best[key][1] * (1 + 1e-12) + 1e-12:
+                trial[key] = (best[key][0] + w) / 2
+                change = float(np.abs(trial[key] - w).max())
+            else:
+                best[key] = (w, loss)
+                step = np.linalg.solve(s[1 + k * d :].reshape(k * d, k * d) + penalty, s[1 : 1 + k * d] + penalty @ w.ravel())
+                trial[key] = w - step.reshape(k, d)
+                change = float(np.abs(step).max())
+            if change < tolerance:
+                done.add(key)
+        if done >= set(sums):
+            return trial, True
+    return {key: w for key, (w, _) in best.items()}, False
+
+
+def classifier(train: DataFrame, n_features: int, c: float = 1.0) -> tuple[dict[str, list[np.ndarray | None]], bool]:
+    """Weights of each class of each fold, None for a class the fold never saw; ``train`` has key, x (scaled) and y in -1, 0, 1.
+
+    Three classes are fitted by ``softmax``, two by ``logistic`` (the lesser class has weights of zero), and a fold of one
+    class has weights of zero for it, so that it is always predicted.
+    """
+    seen = {r["key"]: sorted(r["ys"]) for r in train.groupBy("key").agg(F.collect_set(F.col("y").cast("int")).alias("ys")).collect()}
+    of = lambda n: sorted(k for k, ys in seen.items() if len(ys) == n)
+    zero = np.zeros(n_features + 1)
+    out: dict[str, list[np.ndarray | None]] = {k: [zero if y in ys else None for y in CLASSES] for k, ys in seen.items()}
+    ok = True
+    if of(3):
+        w, ok = softmax(train.where(F.col("key").isin(of(3))), n_features, c)
+        out |= {k: list(v) for k, v in w.items()}
+    if of(2):
+        two = train.where(F.col("key").isin(of(2)))
+        most = two.groupBy("key").agg(F.max("y").alias("_most"))
+        w, fine = logistic(two.join(most, "key").withColumn("y", (F.col("y") == F.col("_most")).cast("double")), n_features, c)
+        for k, v in w.items():
+            out[k][CLASSES.index(seen[k][1])] = v
+        ok = ok and fine
+    return out, ok
+
+
+def predict_classes(rows: DataFrame, weights: dict[str, list[np.ndarray | None]]) -> DataFrame:
+    """``rows`` (key, x) with p_short, p_flat and p_long; NULL for a class that the fold never saw."""
+    plain = [(k, *[None if v is None else [float(u) for u in v] for v in ws]) for k, ws in weights.items()]
+    table = rows.sparkSession.createDataFrame(plain, "key string, " + ", ".join(f"_w{i} array<double>" for i in range(len(CLASSES))))
+    z = [F.aggregate(F.zip_with("x", F.slice(f"_w{i}", 1, F.size("x")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at(f"_w{i}", -1) for i in range(len(CLASSES))]
+    rows = rows.join(table, "key").withColumns({f"_z{i}": x for i, x in enumerate(z)})
+    top = F.greatest(*[f"_z{i}" for i in range(len(CLASSES))])
+    e = [F.exp(F.col(f"_z{i}") - top) for i in range(len(CLASSES))]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in e[1:]), F.coalesce(e[0], F.lit(0.0)))
+    names = ("p_short", "p_flat", "p_long")
+    return rows.withColumns({n: x / total for n, x in zip(names, e, strict=True)}).drop(*[f"_{a}{i}" for a in "wz" for i in range(len(CLASSES))])
+
+
 def predict(rows: DataFrame, weights: dict[str, np.ndarray], logit: bool = False) -> DataFrame:
     """``rows`` (key, x) with y_pred; weights are a row per fold."""
     spark = rows.sparkSession

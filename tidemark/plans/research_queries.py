@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audits, backtest, joins, metrics, models, policy, splits, validation
-from tidemark.plans.domain_queries import CAUSAL, LABELS, base, labeled
+from tidemark.operators import audits, backtest, joins, metrics, models, policy, splits, validation, walkforward
+from tidemark.plans.domain_queries import CAUSAL, LABELS, base, feature_frame, labeled
 from tidemark.plans.registry import BARS, CLOCK, COSTS, PREDS, clock_bars, costs, out, preds, q, query, tick_bars
 from tidemark.sources.bars import events
+from tidemark.sources.staging import stage
 
 _c = F.col
 _BP = f"with {BARS}, {PREDS}"
@@ -671,16 +672,56 @@ def ml_ridge_1d(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).select("key", "market", "n", "bar", "role", *_XS, "y")
+    """Scaled rows of every fold, written once: each step of a fit reads them again."""
+    rows = stage(model_rows(spark, sf_dir).select("key", "market", "n", "bar", "role", *_XS, "y"), "model-rows")
     stats = models.scaling(rows.where("role = 'train'"), _XS, ["key"])
-    return models.scaled(rows, stats, _XS, ["key"])
+    return stage(models.scaled(rows, stats, _XS, ["key"]), "scaled-rows")
 
 
-@query("ml_ridge")
+#: the normal equations of three scaled features by Cramer's rule; scaled training features have mean 0, so the intercept is the mean of y
+_RIDGE = f"""{_X}, rm as (select key, {', '.join(f'coalesce(quantile_cont({x}, 0.5), 0) as m{i}' for i, x in enumerate(_XS, 1))} from xt where role = 'train' group by 1),
+rf as (select key, market, n, bar, role, y, {', '.join(f'coalesce({x}, m{i}) as f{i}' for i, x in enumerate(_XS, 1))} from xt join rm using (key)),
+rs as (select key, {', '.join(f'avg(f{i}) as a{i}, case when stddev_pop(f{i}) > 1e-12 then stddev_pop(f{i}) else 1 end as s{i}' for i in (1, 2, 3))} from rf where role = 'train' group by 1),
+rz as (select key, market, n, bar, role, y, {', '.join(f'(f{i} - a{i}) / s{i} as z{i}' for i in (1, 2, 3))} from rf join rs using (key)),
+rg as (select key, avg(y) as ym, {', '.join(f'sum(z{i} * y) as b{i}, sum(z{i} * z{i}) + 1 as g{i}{i}' for i in (1, 2, 3))}, sum(z1 * z2) as g12, sum(z1 * z3) as g13, sum(z2 * z3) as g23 from rz where role = 'train' group by 1),
+rd as (select *, g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g23 * g13) + g13 * (g12 * g23 - g22 * g13) as det from rg),
+rw as (select key, ym, (b1 * (g22 * g33 - g23 * g23) - g12 * (b2 * g33 - g23 * b3) + g13 * (b2 * g23 - g22 * b3)) / det as w1, (g11 * (b2 * g33 - g23 * b3) - b1 * (g12 * g33 - g23 * g13) + g13 * (g12 * b3 - b2 * g13)) / det as w2,
+    (g11 * (g22 * b3 - b2 * g23) - g12 * (g12 * b3 - b2 * g13) + b1 * (g12 * g23 - g22 * g13)) / det as w3 from rd)"""
+
+
+@query("ml_ridge", f"with {_RIDGE} select market, cast(n as int) as n, bar, {q('ym + w1 * z1 + w2 * z2 + w3 * z3')} as y_pred from rz join rw using (key) where role = 'test'")
 def ml_ridge(spark, sf_dir):
     rows = _fitted(spark, sf_dir)
     w = models.ridge(rows.where("role = 'train'"), len(_XS))
-    return models.predict(rows.where("role = 'test'"), w).select("market", "n", "bar", "y_pred")
+    return models.predict(rows.where("role = 'test'"), w).select("market", "n", "bar", S.quantize("y_pred").alias("y_pred"))
+
+
+@query("ml_softmax")
+def ml_softmax(spark, sf_dir):
+    rows = _fitted(spark, sf_dir).withColumn("y", F.when(F.abs("y") <= 0.001, 0).otherwise(F.signum("y")).cast("double"))
+    w, _ = models.classifier(rows.where("role = 'train'"), len(_XS))
+    return models.predict_classes(rows.where("role = 'test'"), w).select("market", "n", "bar", "p_short", "p_flat", "p_long")
+
+
+#: features of the registered fits; a fit takes any of the 122
+FIT_FEATURES = [f"feature_{x}" for x in ("ret_1", "ret_5", "range_norm", "volume_z_20", "session_vwap_dist", "efficiency_ratio_15")]
+
+
+def fitted_predictions(spark, sf_dir, hours: int = 1) -> DataFrame:
+    """Features and labels of minute bars, some hours of the fold clock for each bar so that folds of days fit."""
+    df = feature_frame(spark, sf_dir).withColumn("ts", F.timestamp_add("HOUR", _c("bar") * hours, F.lit("2024-01-01").cast("timestamp_ntz")))
+    return walkforward.predictions(splits.assign(splits.eligible(df), _W), FIT_FEATURES)
+
+
+@query("ml_fitted_frame")
+def ml_fitted_frame(spark, sf_dir):
+    return fitted_predictions(spark, sf_dir)
+
+
+@query("wf_fitted_policy")
+def wf_fitted_policy(spark, sf_dir):
+    wide = walkforward.to_policy(fitted_predictions(spark, sf_dir))
+    return policy.metrics(policy.frame(wide, costs(spark)))
 
 
 @query("ml_logistic")
@@ -783,7 +824,6 @@ _aud("aud_policy_failure", ["market", "fold_id", "position", "reason"])
 _aud("aud_trade_drilldown", ["market", "side", "hour"], "market, side, cast(hour(ts) as int) as hour", lambda d: d.withColumn("hour", F.hour("ts")), "position <> 0")
 _aud("aud_signal_quality", ["market", "side", "confidence"], f"market, side, {_CONF} as confidence", audits.with_confidence, "position <> 0")
 _aud("aud_long_failure", ["market", "fold_id", "confidence"], f"market, fold_id, {_CONF} as confidence", audits.with_confidence, "position > 0")
-_aud("aud_signal_alignment", ["side", "fade_bucket"], "side, case when p_fade is null then 'nan' when p_fade <= 0.25 then '<=0.25' when p_fade <= 0.5 then '(0.25,0.5]' else '>0.5' end as fade_bucket", lambda d: d.withColumn("fade_bucket", S.cut("p_fade", [0.25, 0.5], "nan")))
 _aud("aud_threshold_sanity", ["fold_id", "side"])
 
 
@@ -850,17 +890,71 @@ def aud_labels(spark, sf_dir):
     return _quantized(g, ["fade_mean", "aligned"])
 
 
-_EDGES = [0.05, 0.2, 0.4, 0.6, 0.8]
+def _cut_sql(x: str, edges: list[float]) -> str:
+    inner = "".join(f" when {x} <= {b} then '({a:g},{b:g}]'" for a, b in zip(edges, edges[1:]))  # noqa: B905
+    return f"case when {x} is null then 'missing' when {x} <= {edges[0]} then '<={edges[0]:g}'{inner} else '>{edges[-1]:g}' end"
+
+
+_TOP = "case when p_short >= p_flat and p_short >= p_long then -1 when p_flat >= p_long then 0 else 1 end"
+_AL = f"""{POLICY}, al0 as (select *, abs(p_long - p_short) as margin, cast(sign(exit_price - entry_price) as int) as came, {_TOP} as top from pf),
+al as (select *, {', '.join(f'{_cut_sql(x, e)} as {x}_bucket' for x, e in audits.SIGNAL_BUCKETS.items())}, case when base <> 0 and trend_block then 'trend_danger_block' when base <> 0 and not fade_ok then 'fade_filter_block' when base = 0 then 'no_direction' when position <> 0 then 'traded' else 'other' end as gate,
+    case when base > 0 then 'long' when base < 0 then 'short' else 'flat' end as base_side, base * (exit_price - entry_price) * point_value as base_gross, base * (exit_price - entry_price) * point_value - case when base <> 0 then cost_ticks * tick_value else 0 end as base_net,
+    -position * (exit_price - entry_price) * point_value as inverted_gross, case when position <> 0 then -position * (exit_price - entry_price) * point_value - cost_ticks * tick_value else 0 end as inverted_net from al0)"""
+_AL_COUNTS = {"n_rows": "true", "base_signals": "base <> 0", "trades": "position <> 0", "blocked": "base <> 0 and position = 0", "longs": "position = 1", "shorts": "position = -1", "mismatches": "position <> 0 and position <> base"}
+_AL_FLOATS = {"gross": "sum(gross)", "cost": "sum(cost)", "net": "sum(net)", "base_gross": "sum(base_gross)", "base_net": "sum(base_net)", "gate_delta": "sum(net) - sum(base_net)", "trade_rate": "count(*) filter (where position <> 0) / nullif(count(*) filter (where base <> 0), 0)"}
+_AL_FLOATS |= {
+    n: f"avg(cast({hit} as int)) filter (where {where})"
+    for n, hit, where in (
+        ("target_accuracy", "position = y_sign", "position <> 0"),
+        ("realized_accuracy", "position = came", "position <> 0"),
+        ("target_inverted", "position = -y_sign", "position <> 0 and y_sign <> 0"),
+        ("realized_inverted", "position = -came", "position <> 0 and came <> 0"),
+        ("base_accuracy", "base = y_sign", "base <> 0"),
+        ("blocked_accuracy", "base = y_sign", "base <> 0 and position = 0"),
+        ("top_accuracy_traded", "top = y_sign", "position <> 0"),
+        ("top_accuracy", "top = y_sign", "true"),
+    )
+}
+_AL_FLOATS |= {f"mean_{x}": f"avg({x}) filter (where position <> 0)" for x in ("margin", "p_long", "p_short", "p_fade", "p_trend")}
+_AL_SCOPES = {"overall": [], "market": ["market"], "market_side": ["market", "side"], "market_fold": ["market", "fold_id"]} | {f"{x}_bucket": [f"{x}_bucket", "side"] for x in audits.SIGNAL_BUCKETS} | {"gate": ["gate", "base_side"]}
+_AL_KEYS = sorted({k for v in _AL_SCOPES.values() for k in v})
+_AL_SELECT = ", ".join([*[f"count(*) filter (where {x}) as n_{n}" if n != "n_rows" else "count(*) as n_rows" for n, x in _AL_COUNTS.items()], *[f"{q(x)} as {n}" for n, x in _AL_FLOATS.items()]])
+
+
+@query("aud_signal_alignment", f"with {_AL} " + " union all ".join(f"select '{n}' as scope, " + ", ".join(k if k in ks else f"null as {k}" for k in _AL_KEYS) + f", {_AL_SELECT} from al " + (f"group by {', '.join(ks)}" if ks else "") for n, ks in _AL_SCOPES.items()))
+def aud_alignment(spark, sf_dir):
+    out_ = metrics.by_scopes(audits.with_alignment(frame(spark, sf_dir)), _AL_SCOPES, audits.alignment_measures())
+    return _quantized(out_, list(_AL_FLOATS)).withColumnsRenamed({n: f"n_{n}" for n in _AL_COUNTS if n != "n_rows"})
+
+
+@query("aud_signal_inversion", f"with {_AL} select count(*) as trades, {q('sum(gross)')} as gross, {q('sum(net)')} as net, {q('sum(inverted_gross)')} as inverted_gross, {q('sum(inverted_net)')} as inverted_net, {q('sum(inverted_net) - sum(net)')} as delta, {q('avg(cast(position = y_sign as int))')} as target_accuracy, {q('avg(cast(-position = y_sign as int))')} as target_accuracy_inverted, {q('avg(cast(position = came as int))')} as realized_accuracy, {q('avg(cast(-position = came as int))')} as realized_accuracy_inverted from al where position <> 0")
+def aud_inversion(spark, sf_dir):
+    one = audits.inversion(audits.with_alignment(frame(spark, sf_dir)))
+    return _quantized(one, [x for x in one.columns if x != "trades"])
+
+
+_ED_FLOATS = {"gross": "sum(pos * pnl)", "cost": "sum(cost_ticks * tick_value)", "net": "sum(pos * pnl - cost_ticks * tick_value)"}
+_ED_MEANS = {"target_accuracy": "avg(cast(pos = y_sign as int))", "realized_accuracy": "avg(cast(pos = came as int))", "mean_flat": "avg(p_flat)", "mean_margin": "avg(abs(d))", "mean_lead": "avg(greatest(p_long, p_short) - p_flat)"}
+_ED = f"""{POLICY}, sp(mode, margin, flat_margin, max_flat) as (values {', '.join(f"('{m}', {a}::double, {'null' if f is None else f}::double, {'null' if x is None else x}::double)" for m, a, f, x in audits.EDGE_SCENARIOS)}),
+ex as (select *, p_long - p_short as d, {_TOP} as top, cast(sign(exit_price - entry_price) as int) as came, (exit_price - entry_price) * point_value as pnl from pf where fade_ok and not trend_block),
+ep0 as (select *, case mode when 'current_margin' then case when d >= margin then 1 when d <= -margin then -1 end
+    when 'direction_beats_flat' then case when d >= margin and p_long - p_flat >= flat_margin then 1 when p_short - p_long >= margin and p_short - p_flat >= flat_margin then -1 end
+    else case when top = 1 and d >= margin then 1 when top = -1 and d <= -margin then -1 end end as pos from ex, sp),
+ep as (select * from ep0 where pos is not null and (max_flat is null or p_flat <= max_flat)),
+es as (select sp.mode, sp.margin, sp.flat_margin, sp.max_flat, count(pos) as trades, count(*) filter (where pos = 1) as longs, count(*) filter (where pos = -1) as shorts, {', '.join(f'coalesce({x}, 0) as {n}' for n, x in _ED_FLOATS.items())}, {', '.join(f'{x} as {n}' for n, x in _ED_MEANS.items())}
+    from sp left join ep on sp.mode = ep.mode and sp.margin = ep.margin and sp.flat_margin is not distinct from ep.flat_margin and sp.max_flat is not distinct from ep.max_flat group by 1, 2, 3, 4)"""
+_ED_ALL = ["margin", "flat_margin", "max_flat", *_ED_FLOATS, *_ED_MEANS]
 
 
-@query("aud_direction_calibration", f"with {POLICY}, x as (select *, case when p_long >= p_short then 1 else -1 end as sd from pf), m as (select 'margin' as mode, abs(p_long - p_short) as v, * from x union all select 'side', greatest(p_long, p_short), * from x union all select 'over_flat', greatest(p_long, p_short) - p_flat, * from x), e(edge) as (values " + ", ".join(f"({v}::double)" for v in _EDGES) + f") select mode, {q('edge')} as edge, count(*) as trades, {q('sum(sd * (exit_price - entry_price) * point_value - cost_ticks * tick_value)')} as net, {q('avg(cast(sd = y_sign as int))')} as accuracy from m, e where v >= edge group by mode, e.edge")
+@query("aud_direction_calibration", f"with {_ED} select mode, trades, longs, shorts, {', '.join(f'{q(x)} as {x}' for x in _ED_ALL)} from es")
 def aud_direction(spark, sf_dir):
-    return _quantized(audits.edge_scenarios(frame(spark, sf_dir), _EDGES), ["edge", "net", "accuracy"])
+    return _quantized(audits.edge_scenarios(frame(spark, sf_dir)), _ED_ALL)
 
 
-@query("aud_decisions", f"with {POLICY}, x as (select *, case when p_long >= p_short then 1 else -1 end as sd from pf), m as (select 'margin' as mode, abs(p_long - p_short) as v, * from x union all select 'side', greatest(p_long, p_short), * from x union all select 'over_flat', greatest(p_long, p_short) - p_flat, * from x), e(edge) as (values " + ", ".join(f"({v}::double)" for v in _EDGES) + "), s as (select mode, edge, count(*) as trades, sum(sd * (exit_price - entry_price) * point_value - cost_ticks * tick_value) as net from m, e where v >= edge group by mode, e.edge) select mode, trades from s where trades >= 100 and net > 0 order by net desc, mode, edge limit 1")
+@query("aud_decisions", f"with {_ED} select mode, {q('margin')} as margin, trades from es where trades >= 100 and net > 0 order by net desc, mode, es.margin, flat_margin nulls first, max_flat nulls first limit 1")
 def aud_decisions(spark, sf_dir):
-    return audits.decision(audits.edge_scenarios(frame(spark, sf_dir), _EDGES).select("mode", "edge", "trades", "net")).select("mode", "trades")
+    best = audits.decision(audits.edge_scenarios(frame(spark, sf_dir)).select("mode", "margin", "flat_margin", "max_flat", "trades", "net"))
+    return best.select("mode", S.quantize("margin").alias("margin"), "trades")
 
 
 _MR = f"{POLICY}, mr0 as (select *, base * expected_return * entry_price * point_value as edge from pf), mr1 as (select *, case when base = 0 then 0 when coalesce(p_trend >= 0.5, true) then 0 when edge >= cost_ticks * tick_value then base else 0 end as op from mr0), mr as (select *, op * (exit_price - entry_price) * point_value - case when op <> 0 then cost_ticks * tick_value else 0 end as onet from mr1)"
