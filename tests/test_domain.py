@@ -321,6 +321,27 @@ def test_fitted_predictions_reach_the_policy(spark, sf_dir):
     assert table.where("model_family = 'logistic' and not y_pred_raw between -1 and 1").isEmpty()
 
 
+def test_correlations_of_many_columns_equal_pandas(spark):
+    from tidemark.operators import screens
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 5))
+    x[:, 1] = x[:, 0] * 3 + 1000
+    x[:, 4] = 7.0
+    x[rng.random(x.shape) < 0.2] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in "abcde")).repartition(5)
+    want = pdf.corr()
+    got = screens.correlations(df, list("abcde")).collect()
+    assert len(got) == 10
+    for r in got:
+        v = want.loc[r.feature_a, r.feature_b]
+        assert r["corr"] is None if "e" in (r.feature_a, r.feature_b) else r["corr"] == pytest.approx(v, abs=1e-9)
+        assert r.n == pdf[[r.feature_a, r.feature_b]].dropna().shape[0]
+    assert [(r.feature_a, r.feature_b) for r in screens.correlations(df, list("abcde"), 0.98).collect()] == [("a", "b")]
+    assert screens.correlations(df.where("false"), list("abcde")).isEmpty()
+
+
 def test_scaling_fills_and_survives_constants(spark):
     df = spark.createDataFrame([("a", 1.0, None, 2.0), ("a", 3.0, None, 2.0), ("a", None, None, 2.0)], "key string, f double, g double, h double")
     out = models.scaled(df, models.scaling(df, ["f", "g", "h"], ["key"]), ["f", "g", "h"], ["key"]).collect()

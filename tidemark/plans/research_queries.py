@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audits, backtest, joins, metrics, models, policy, splits, validation, walkforward
-from tidemark.plans.domain_queries import CAUSAL, LABELS, base, feature_frame, labeled
+from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, screens, splits, validation, walkforward
+from tidemark.plans.domain_queries import CAUSAL, FEATURES, LABELS, _feature_select, _numbers, FEATURE_SQL, base, feature_frame, labeled, minute_bars
 from tidemark.plans.registry import BARS, CLOCK, COSTS, PREDS, clock_bars, costs, out, preds, q, query, tick_bars
 from tidemark.sources.bars import events
 from tidemark.sources.staging import stage
@@ -457,20 +457,49 @@ def agg_matrix(spark, sf_dir):
     return stack.select(F.split("k", r"\|")[0].alias("a"), F.split("k", r"\|")[1].alias("b"), S.quantize("r").alias("r"))
 
 
-@query("agg_null_rates", f"{_BP} " + " union all ".join(f"select '{x}' as feature, count(*) filter (where {x} is null) as nulls, {q(f'avg(cast({x} is null as int))')} as rate from preds" for x in ("p_fade", "p_trend", "p_long")))
+ALL_FEATURES = [f"feature_{x}" for names in features.FAMILIES.values() for x in names]
+#: the features whose SQL is one expression; twins hold them to the millionth, as the feature queries do
+_SCREENED = [x for names in features.FAMILIES.values() for x in names if x in FEATURE_SQL]
+
+
+def screened(spark, sf_dir) -> DataFrame:
+    """Quantized features of minute bars."""
+    return features.add_base(minute_bars(spark, sf_dir)).select("market", "bar", *_numbers(_SCREENED))
+
+
+_SCREEN = f"{FEATURES}, sc as (select market, bar, {_feature_select(_SCREENED)} from f8), scl as (select * from (select market, bar, {', '.join(f'cast("{x}" as double) as "{x}"' for x in _SCREENED)} from sc) unpivot include nulls (x for feature in ({', '.join(f'"{x}"' for x in _SCREENED)})))"
+
+
+@query("agg_corr_features")
+def agg_corr_features(spark, sf_dir):
+    df = feature_frame(spark, sf_dir).where("training_row_valid")
+    return screens.correlations(df, ALL_FEATURES)
+
+
+@query("agg_corr_high")
+def agg_corr_high(spark, sf_dir):
+    df = feature_frame(spark, sf_dir).where("training_row_valid")
+    return screens.correlations(df, ALL_FEATURES, 0.98).select("feature_a", "feature_b", "corr")
+
+
+@query("agg_null_rates", f"with {_SCREEN} select feature, count(*) as n, count(*) filter (where x is null) as nulls, {q('avg(cast(x is null as int))')} as rate, count(x) = 0 as unavailable from scl group by 1")
 def agg_nulls(spark, sf_dir):
-    cols = ["p_fade", "p_trend", "p_long"]
-    one = preds(spark, sf_dir).agg(F.count("*").alias("n"), *[F.count_if(_c(x).isNull()).alias(x) for x in cols])
-    return one.unpivot(["n"], cols, "feature", "nulls").select("feature", "nulls", S.quantize(_c("nulls") / _c("n")).alias("rate"))
+    return _quantized(screens.null_rates(screened(spark, sf_dir), _SCREENED), ["rate"])
+
 
+_SHIFT = {"missing": "avg(cast(x is null as int))", "missing_traded": "avg(cast(x is null as int)) filter (where traded)", "mean": "avg(x / 1e6)", "mean_traded": "avg(x / 1e6) filter (where traded)", "std": "stddev_pop(x / 1e6)", "std_traded": "stddev_pop(x / 1e6) filter (where traded)"}
 
-@query("agg_feature_shift", f"with {POLICY} " + " union all ".join(f"select '{x}' as feature, {q(f'avg({x})')} as mean_all, {q(f'avg(case when position <> 0 then {x} end)')} as mean_traded, {q(f'(avg(case when position <> 0 then {x} end) - avg({x})) / stddev_pop({x})')} as shift, {q(f'avg(cast({x} is null as int))')} as missing from pf" for x in ("p_fade", "p_trend", "p_flat")))
+
+@query(
+    "agg_feature_shift",
+    f"""with {_SCREEN}, tr as (select s.feature, s.x, s.bar % 7 = 2 as traded from scl s), g as (select feature, count(*) as n, count(*) filter (where traded) as n_traded, {', '.join(f'{x} as {n}' for n, x in _SHIFT.items())} from tr group by 1),
+    z as (select feature, avg(cast(coalesce(abs(x / 1e6 - mean) / std > 5, false) as int)) filter (where std > 1e-12) as far_rate, avg(cast(coalesce(abs(x / 1e6 - mean) / std > 5, false) as int)) filter (where traded and std > 1e-12) as far_rate_traded from tr join g using (feature) group by 1)
+    select feature, n, n_traded, {', '.join(f'cast(round({x} * 1000) as bigint) as {x}' for x in _SHIFT)}, cast(round((missing_traded - missing) * 1000) as bigint) as missing_delta, case when std > 1e-12 then cast(round(abs(mean_traded - mean) / std * 1000) as bigint) end as shift, cast(round(far_rate * 1000) as bigint) as far_rate, cast(round(far_rate_traded * 1000) as bigint) as far_rate_traded from g join z using (feature)""",
+)
 def agg_shift(spark, sf_dir):
-    cols = ["p_fade", "p_trend", "p_flat"]
-    long_ = frame(spark, sf_dir).select("position", *cols).unpivot(["position"], cols, "feature", "x")
-    traded = F.avg(F.when(_c("position") != 0, _c("x")))
-    g = long_.groupBy("feature").agg(F.avg("x").alias("mean_all"), traded.alias("mean_traded"), ((traded - F.avg("x")) / F.stddev_pop("x")).alias("shift"), F.avg(_c("x").isNull().cast("int")).alias("missing"))
-    return _quantized(g, ["mean_all", "mean_traded", "shift", "missing"])
+    df = screened(spark, sf_dir).select((_c("bar") % 7 == 2).alias("traded"), *[(_c(x) / 1e6).alias(x) for x in _SCREENED])
+    g = screens.feature_shift(df, _SCREENED)
+    return g.select("feature", "n", "n_traded", *[F.round(_c(x) * 1000).cast("long").alias(x) for x in (*_SHIFT, "missing_delta", "shift", "far_rate", "far_rate_traded")])
 
 
 @query("agg_match_rate", f"{_BP} select market, {q('avg(cast(abs(p_fade - p_trend) <= 0.1 as double))')} as rate from preds where p_fade is not null and p_trend is not null group by 1")
