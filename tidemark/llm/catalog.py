@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, contamination, interactions, licenses, lines, neardup, pii, quality, tokens, toxicity
+from tidemark.llm import ann, bpe, contamination, interactions, langid, licenses, lines, neardup, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_quality_classifier": quality.op9,
     "op10_byte_bpe": bpe.op10,
+    "op11_language_id": langid.op11,
     "op12_filter_interactions": interactions.op12,
 }
 #: What is plain SQL; the rest is held against brute force in tests/llm.
