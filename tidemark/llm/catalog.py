@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, bpe, contamination, interactions, langid, licenses, lines, neardup, pii, quality, tokens, toxicity
+from tidemark.llm import alignment, ann, bpe, contamination, interactions, langid, licenses, lines, neardup, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10,
     "op11_language_id": langid.op11,
     "op12_filter_interactions": interactions.op12,
+    "op13_token_alignment": alignment.op13,
 }
 #: What is plain SQL; the rest is held against brute force in tests/llm.
 ORACLE: dict[str, str] = {"op3_decontamination": contamination.SQL, "op12_filter_interactions": interactions.SQL}
