@@ -26,14 +26,15 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stage, table
+from tidemark.llm.common import slices, stage, table, unstage
 
 SLICE_BYTES, LONG, CELL, BATCH = 64 << 20, 1 << 22, 32, 2000
 BLANK = "▁"
@@ -177,11 +178,23 @@ def _encoded(a_path: str, b_path: str):
     return run
 
 
+@contextmanager
+def dealt_by_less(spark: SparkSession) -> Iterator[None]:
+    """Within, a join takes rows as they are dealt if both sides are dealt alike by some of its keys."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def tokens(units: DataFrame, side: str) -> DataFrame:
-    """(uid, n, pos, id, begin, end) of one side's tokens, posexploded; bytes by windowed sums of lengths."""
-    each = units.select("uid", "n", F.posexplode(side).alias("pos", "t")).select("uid", "n", "pos", "t.id", "t.len")
+    """(uid, pos, id, begin, end) of one side's tokens, posexploded; bytes by windowed sums of lengths."""
+    each = units.select("uid", F.posexplode(side).alias("pos", "t")).select("uid", "pos", "t.id", "t.len")
     end = F.sum("len").over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return each.withColumn("end", end).select("uid", "n", "pos", "id", (F.col("end") - F.col("len")).alias("begin"), "end")
+    return each.withColumn("end", end).select("uid", "pos", "id", (F.col("end") - F.col("len")).alias("begin"), "end")
 
 
 def grouped(mine: DataFrame, other: DataFrame) -> DataFrame:
@@ -192,16 +205,16 @@ def grouped(mine: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def links(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(uid, n, a_id, b_id): each pair of tokens of a group whose bytes overlap, met in the cell where the overlap begins."""
+    """(uid, a_id, b_id): each pair of tokens of a group whose bytes overlap, met in the cell where the overlap begins."""
 
     def in_cells(side: DataFrame, name: str) -> DataFrame:
         cells = F.sequence(F.floor(F.col("begin") / CELL), F.floor((F.col("end") - 1) / CELL))
         cols = [F.col(c).alias(f"{name}_{c}") for c in ("id", "begin", "end")]
-        return side.select("uid", *(["n"] if name == "a" else []), "group", *cols, F.explode(cells).alias("cell"))
+        return side.select("uid", "group", *cols, F.explode(cells).alias("cell"))
 
     met = in_cells(a, "a").join(in_cells(b, "b"), ["uid", "group", "cell"])
     begin = F.greatest("a_begin", "b_begin")
-    return met.where((begin < F.least("a_end", "b_end")) & (F.floor(begin / CELL) == F.col("cell"))).select("uid", "n", "a_id", "b_id")
+    return met.where((begin < F.least("a_end", "b_end")) & (F.floor(begin / CELL) == F.col("cell"))).select("uid", "a_id", "b_id")
 
 
 def strings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -221,15 +234,20 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 
 
 def aligned(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, its numbers and group string), and the pair counts, of encoded units (uid, unit, n, a, b)."""
-    dealt = units.select("uid", "n", "a", "b").repartition("uid")
+    """(unit, its numbers and group string), and the pair counts, of encoded units (uid, unit, n, a, b); both staged."""
+    dealt = units.repartition("uid")
     a, b = tokens(dealt, "a"), tokens(dealt, "b")
     a, b = grouped(a, b), grouped(b, a)
-    linked = stage(links(a, b), "token-links")
+    met = links(a, b).groupBy("uid").agg(F.collect_list(F.struct("a_id", "b_id")).alias("links"))
+    with dealt_by_less(units.sparkSession):  # by uid, once
+        rows = stage(dealt.select("uid", "unit", "n").join(strings(a, b), "uid").join(met, "uid"), "token-alignments", "zstd")
+    unstage(units)
+    linked = rows.select("uid", "n", F.inline("links"))
     pairs = stage(pair_counts(linked), "token-pairs")
     sums = linked.join(pairs, ["a_id", "b_id"]).groupBy("uid").agg(F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("pairs").alias("count_sum"))
-    named = units.select("uid", "unit")
-    return named.join(strings(a, b), "uid").join(sums, "uid").select("unit", *STATS, "groups"), pairs
+    found = stage(rows.join(sums, "uid").select("unit", *STATS, "groups"), "token-found", "zstd")
+    unstage(rows)
+    return found, pairs
 
 
 def _assembled(kind: pa.DataType):
@@ -271,12 +289,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, sift: bool = True) -> tuple
     kind = docs.schema["doc_id"].dataType
     arrow, name = to_arrow_type(kind), kind.simpleString()
     schema = f"slice long, row long, doc_id {name}, codes array<int>, code int, unit string, n long"
-    coded = stage(docs.select("doc_id", "text").mapInArrow(_dictionaries(a_path, b_path, arrow, sift), schema), "token-slices")
+    coded = stage(docs.select("doc_id", "text").mapInArrow(_dictionaries(a_path, b_path, arrow, sift), schema), "token-slices", "zstd")
     rows, entries = coded.where(F.col("unit").isNull()).select("slice", "row", "doc_id", "codes"), coded.where(F.col("unit").isNotNull()).select("slice", "code", "unit", "n")
 
     def encoded(entries: DataFrame) -> DataFrame:
         units = entries.groupBy("unit").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("uid"), "unit", "n")
-        return stage(units.mapInArrow(_encoded(a_path, b_path), f"uid long, unit string, n long, same boolean, a {_TOKENS}, b {_TOKENS}"), "token-units")
+        return stage(units.mapInArrow(_encoded(a_path, b_path), f"uid long, unit string, n long, same boolean, a {_TOKENS}, b {_TOKENS}"), "token-units", "zstd")
 
     units = encoded(entries)
     if not units.where(~F.col("same")).isEmpty():
@@ -288,7 +306,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, sift: bool = True) -> tuple
         entries = stage(entries.drop("n").join(counts, ["slice", "code"]), "token-entries")
         units = encoded(entries)
     found, pairs = aligned(units)
-    told = entries.select(F.col("slice").alias("of"), "code", "unit").join(stage(found, "token-found"), "unit").drop("unit")
+    unstage()
+    told = entries.select(F.col("slice").alias("of"), "code", "unit").join(found, "unit").drop("unit")
     out = rows.select("slice", "doc_id", "codes").groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(_assembled(arrow), f"doc_id {name}, {', '.join(f'{s} long' for s in STATS)}, groups_sha256 string")
     return out, pairs
 

@@ -6,6 +6,7 @@ Nothing here holds more than one slice of a batch in Python; a slice has at most
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,14 +52,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     tune(spark)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more, and let go of the shuffle files of what is done.
+
+    Spark deletes shuffle files when the JVM's collector finds that no plan refers to them; here it is asked to look.
+    """
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
+
+
 def row_key(*cols: str, text: str = "text"):
     """A null-safe key of a row: its id columns and a hash of its text. Rows that repeat share it."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]
