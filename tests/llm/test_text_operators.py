@@ -301,6 +301,26 @@ def test_pii_finds_what_is_valid_and_no_more(spark):
     assert [(r.doc_id, r.text) for r in back] == rows
 
 
+def test_pii_takes_hostile_texts_of_every_kind(spark):
+    """A megabyte of what each pattern repeats or nearly matches must neither stop the JVM nor change what is no finding."""
+    n = 1_000_000
+    hostile = ["a@b" + ".c" * (n // 2), "a@" + "b" * n, "a@b." * (n // 4), "@" * n, "a" * n + "@b.c", "1." * (n // 2), "1.2.3." * (n // 6), "9" * n, "4111 " * (n // 5), "2024-01-" * (n // 8), "01/01/" * (n // 6), "123-45-" * (n // 7), "+1 (212) " * (n // 9), "0a" * (n // 2), "f" * 31 + " "]
+    for r, t in zip(pii.pseudonymise(frame(spark, list(enumerate(hostile))).repartition(4), "k").orderBy("doc_id").collect(), hostile, strict=True):
+        assert len(r.text) == len(t) and (r._found or r.text == t), t[:20]
+
+
+def test_pii_keeps_case_and_links_values_whatever_their_case(spark):
+    values = ["Bob.X9@Mail.com", "bob.x9@mail.com", "BOB.X9@MAIL.COM", "04DBEBAB91AB85687D33EEAAF9AC699E1188F962", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a1@b2.org", "7@8.org", "Q@r.org"]
+    df = frame(spark, list(enumerate(values)))
+    out = pii.pseudonymise(df, "k")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert got[0].lower() == got[1] == got[2].lower().replace(".COM", ".com") and got[3].lower() == got[4] and len({*got}) == len(got)
+    assert all(re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", a))) == re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", b))) for a, b in zip(got, values, strict=True))
+    assert [r.text for r in pii.pseudonymise(out.drop("_found"), "k", reverse=True).orderBy("doc_id").collect()] == values
+    many = spark.range(2600).select(F.format_string("%s%d@x.org", F.expr("char(97 + id % 26)"), (F.col("id") / 26).cast("int")).alias("e"))
+    assert many.select(F.expr(pii.pseudonym("e", "k"))).distinct().count() == 2600
+
+
 def test_pii_permutes_all_short_values(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     out = df.select(F.expr(pii.feistel("v", "0123456789", "k", "t")).alias("o")).distinct()

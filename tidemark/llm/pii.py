@@ -14,9 +14,11 @@ ssn          3-2-4 digits; area not 000, 666 or 9xx, no 0s  nine digits, to such
 ipv4         four numbers up to 255                         32 bits
 date         a day of the calendar, y-m-d or m/d/y, d/m/y   days within its block of 72,900 (from 1900-01-01)
 email        a local part of up to 64 and a dotted domain   letters and digits of the local part and the domain's first label
-secret       32 to 64 hexadecimal digits                    those digits
+secret       32 to 64 hexadecimal digits                    its letters and its digits
 ===========  =============================================  ======================================
 
+In e-mail addresses and secrets letters stay letters and digits digits, each permuted with the others as a tweak, and each place keeps its case:
+values that differ in case alone get pseudonyms that differ in case alone, and ``reverse`` gives back the case.
 Where not every value of a length is valid, a pseudonym is permuted again until it is (up to ``WALK`` times; one that is not by then has a chance
 below 1e-20), so it stays a permutation of the valid ones. A date whose block of days leaves the years 1 to 9999 stays. Separators, and what fails validation, stay as they are and count as no finding. One regular expression finds all; the text is split at its matches and
 joined again, so every other byte is kept. Nulls: a null text stays null, with no findings. Rows are
@@ -35,7 +37,7 @@ ROUNDS, BLOCK, RADIX, WALK = 8, 72_900, 270, 64
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}+)++",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
@@ -45,7 +47,7 @@ KINDS = {
 }
 #: Nine and ten digits that can be a number.
 SSN, PHONE = r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$", r"^[2-9]\d{2}[2-9]\d{6}$"
-#: Alternatives in order; each begins with what the lookahead allows, so most places fail at once.
+#: Alternatives in order. Groups that repeat without bound are possessive: they never give back, so no text is too long for Java's stack.
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -58,12 +60,13 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def feistel(value: str, alphabet: str, key: str, kind: str, reverse: bool = False) -> str:
-    """SQL for the permutation of all strings of value's length over ``alphabet``; a single character is rotated."""
+def feistel(value: str, alphabet: str, key: str, kind: str, reverse: bool = False, tweak: str = "") -> str:
+    """SQL for the permutation of all strings of value's length over ``alphabet``; a single character is rotated. ``tweak``: SQL of a string that picks another permutation."""
     n = len(alphabet)
     sign = "-" if reverse else "+"
     digit = lambda of, j: f"(locate(substring({of}, {j}, 1), {_q(alphabet)}) - 1)"
-    prf = lambda half, i: f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, cast({i} as string), {half}), 512)"
+    more = f"{tweak}, " if tweak else ""
+    prf = lambda half, i: f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {more}cast({i} as string), {half}), 512)"
     stream = "cast(conv(substring(h, 2 * j - 1, 2), 16, 10) as int)"
     add = lambda of, by: _let("h", by, f"array_join(transform(sequence(1, length({of})), j -> substring({_q(alphabet)}, pmod({digit(of, 'j')} {sign} {stream}, {n}) + 1, 1)), '')")
     if reverse:
@@ -140,18 +143,32 @@ def _date(x: str, key: str, reverse: bool) -> str:
     )
 
 
+def _cased(x: str, letters: str, key: str, kind: str, reverse: bool) -> str:
+    """``x`` with its letters permuted under its digits, then its digits under the new letters; places and case stay."""
+    turn = lambda v, alphabet, part, tweak: f"if({v} = '', '', {feistel(v, alphabet, key, f'{kind}-{part}', reverse, tweak)})"
+    new_a = lambda d: turn("a", letters, "letters", d)
+    new_d = lambda a: turn("d", "0123456789", "digits", a)
+    if reverse:
+        both = _let("nd", new_d("a"), _let("na", new_a("nd"), "struct(na as a, nd as d)"))
+    else:
+        both = _let("na", new_a("d"), _let("nd", new_d("na"), "struct(na as a, nd as d)"))
+    nth = lambda kept: f"length(regexp_replace(substring(t, 1, j), {_q(kept)}, ''))"
+    c = "substring(t, j, 1)"
+    each = f"case when {c} between '0' and '9' then substring(p.d, {nth('[^0-9]')}, 1) when {c} between 'a' and 'z' then substring(p.a, {nth('[^A-Za-z]')}, 1) when {c} between 'A' and 'Z' then upper(substring(p.a, {nth('[^A-Za-z]')}, 1)) else {c} end"
+    parts = _let("a", "lower(regexp_replace(t, '[^A-Za-z]', ''))", _let("d", "regexp_replace(t, '[^0-9]', '')", both))
+    return _let("t", x, _let("p", parts, f"array_join(transform(sequence(1, length(t)), j -> {each}), '')"))
+
+
 def _email(x: str, key: str, reverse: bool) -> str:
-    """Letters in lower case and digits, up to the first dot of the domain."""
+    """Letters and digits up to the first dot of the domain."""
     head = f"substring({x}, 1, locate('@', {x}) + locate('.', substring({x}, locate('@', {x}) + 1)) - 1)"
-    chars = f"lower(regexp_replace(e, '[^A-Za-z0-9]', ''))"
-    new = _refill("e", feistel(chars, "abcdefghijklmnopqrstuvwxyz0123456789", key, "email", reverse), "[^A-Za-z0-9]")
-    return _let("e", head, f"concat({new}, substring({x}, length(e) + 1))")
+    return _let("e", head, f"concat({_cased('e', 'abcdefghijklmnopqrstuvwxyz', key, 'email', reverse)}, substring({x}, length(e) + 1))")
 
 
 def pseudonym(x: str, key: str, reverse: bool = False) -> str:
     """SQL for the pseudonym of one match."""
     is_kind = lambda kind: f"rlike({x}, {_q(f'^(?:{KINDS[kind]})$')})"
-    secret = _let("d", f"lower({x})", feistel("d", "0123456789abcdef", key, "secret", reverse))
+    secret = _cased(x, "abcdef", key, "secret", reverse)
     return (
         f"case when locate('@', {x}) > 0 then {_email(x, key, reverse)} when {is_kind('ipv4')} then {_ipv4(x, key, reverse)} when {is_kind('date')} then {_date(x, key, reverse)} "
         f"when {is_kind('ssn')} then {_digits(x, key, 'ssn', 9, SSN, reverse)} when {is_kind('phone')} then {_digits(x, key, 'phone', 10, PHONE, reverse)} "
