@@ -48,7 +48,7 @@ def test_ann_copies_of_a_vector_push_out_no_other():
     book = ann.Codebook.fit(x)
     codes = pa.array([c.tobytes() for c in book.pack(book.encode(x))], pa.binary())
     data = pa.table({"vec_id": pa.array(np.arange(len(x))), "v": pa.array(list(x)), "code": codes})
-    got = ann._meet(book, 20)(None, data, data.select(["vec_id", "v"]).take(np.arange(0, len(x), 5))).to_pydict()
+    got = ann._meet(book, 20)(None, data, data.select(["vec_id", "v"]).append_column("nth", data["vec_id"]).take(np.arange(0, len(x), 5))).to_pydict()
     for i in range(0, len(x), 5):
         s = x @ x[i]
         s[1::3] = s[1]
@@ -57,6 +57,26 @@ def test_ann_copies_of_a_vector_push_out_no_other():
         assert len(true & {v for q, v in zip(got["query_id"], got["vec_id"], strict=True) if q == i}) >= 19, i
 
 
+def test_ann_repeated_rows_equal_brute_force(spark, monkeypatch):
+    """Equal rows of an id are one query, unequal ones are two; candidates stand as often as their rows do."""
+    monkeypatch.setattr(ann, "ROWS_BLOCK", 30)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6)).round(2)
+    ids = [*range(100), *range(0, 60, 3)]
+    x[100:110] = x[0:30:3]  # rows 0, 3 .. 27 stand twice; those of 30, 33 .. 57 have another vector
+    df = vectors(spark, x, ids)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 15 = 0"), 7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    want = {}
+    for i, v in {(i, tuple(v)) for i, v in zip(ids, x.tolist(), strict=True) if i % 15 == 0}:
+        near = sorted((-float(np.dot(u, v)), j) for j, u in zip(ids, x, strict=True) if j != i)[:7]
+        want.setdefault(i, []).extend((n, j, round(-s, 9)) for n, (s, j) in enumerate(near, 1))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert len(got[30]) == 14 and len(got[0]) == 7
+
+
 def test_ann_ties_bad_vectors_and_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (8, [float("inf"), 1.0], 1), (9, [1.0], 1), (None, [1.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
@@ -142,8 +162,8 @@ def test_registered_queries_of_operators(spark, sf_dir):
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in names:
-        if name != "op5_ann":
+        if name not in ("op5_ann", "op12_filter_interactions"):
             assert e.queries()[name](spark, sf_dir).agg(F.count("*")).first()[0] == n, name

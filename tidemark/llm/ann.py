@@ -12,7 +12,8 @@ copies of a vector take one place of ``RERANK``. No task holds more than a block
 
 Vectors that are null, zero, of another length than the most frequent one, or that hold a null or non-finite component
 take no part, nor do rows without an id. Rows of the query's own id are not its neighbours. Ties go
-to the smaller id, also among equal table sums. Empty tables give no rows.
+to the smaller id, also among equal table sums. Query rows of equal id and vector are one query; rows of one id with other vectors
+are queries of their own, each with ranks from 1. Rows that repeat among the candidates are each a neighbour. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tidemark.llm.common import stage, table
 
 PIECE, SAMPLE, THRESHOLD, ROUNDS = 2, 16_384, 0.2, 8
 ROWS_BLOCK, QUERY_BLOCK, RERANK = 8192, 2048, 256
-_SCHEMA = "query_id long, vec_id long, score double"
+_SCHEMA = "nth long, query_id long, vec_id long, score double"
 
 
 class Codebook:
@@ -117,7 +118,7 @@ def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _meet(book: Codebook, k: int):
     def run(key: tuple, data: pa.Table, queries: pa.Table) -> pa.Table:
         if not data.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in ("nth", "query_id", "vec_id", "score")})
         data = data.sort_by("vec_id")
         ids, x = data["vec_id"].to_numpy(), _matrix(data["v"], book.dim)
         packed = np.frombuffer(b"".join(data["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -125,8 +126,8 @@ def _meet(book: Codebook, k: int):
         packed, x = packed[first], x[first]
         # the k least ids of a group, and room for the query's own
         take = np.minimum(np.diff(begin), k + np.unique(ids, return_counts=True)[1].max())
-        qids, q = queries["vec_id"].to_numpy(), _matrix(queries["v"], book.dim)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        nth, qids, q = queries["nth"].to_numpy(), queries["vec_id"].to_numpy(), _matrix(queries["v"], book.dim)
+        out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(qids), 128):
             tables = book.tables(q[at : at + 128])
             sums = np.zeros((len(tables), len(x)), np.float32)
@@ -146,8 +147,8 @@ def _meet(book: Codebook, k: int):
                 score = np.repeat(x[best] @ q[at + i], each)
                 row, score = row[ids[row] != qids[at + i]], score[ids[row] != qids[at + i]]
                 order = np.lexsort((ids[row], -score))[:k]
-                out.append((np.full(len(order), qids[at + i]), ids[row][order], score[order]))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                out.append((np.full(len(order), nth[at + i]), np.full(len(order), qids[at + i]), ids[row][order], score[order]))
+        return pa.table(dict(zip(("nth", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -170,14 +171,14 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "code"])
 
     coded_rows = stage(data.mapInArrow(coded, "vec_id long, v array<double>, code binary"), "codes")
-    asked = usable(queries).where(F.size("v") == dim)
+    asked = stage(usable(queries).where(F.size("v") == dim).distinct().withColumn("nth", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-n // ROWS_BLOCK))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     rows = coded_rows.withColumn("b", deal(blocks)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asks = asked.withColumn("p", deal(parts)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = rows.groupBy("b", "p").cogroup(asks.groupBy("b", "p")).applyInArrow(_meet(book, k), _SCHEMA)
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    nth = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
