@@ -44,11 +44,3 @@ def test_contract(spark):
     assert set(oracle) <= set(queries) and len(queries) > 300
     df = e.entry(spark)
     assert len(df.columns) > 10 and df.count() > 0
-
-
-def test_streamed_bars_equal_batch_bars(spark, sf_dir):
-    from tidemark.plans.catalog import QUERIES
-
-    out = QUERIES["stream_gap_fill"](spark, sf_dir).collect()
-    assert any(r.is_synthetic for r in out) and all(r.volume == 0 for r in out if r.is_synthetic)
-    assert len({(r.market, r.start) for r in out}) == len(out) and out[0].start.year == 2024

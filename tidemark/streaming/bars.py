@@ -1,20 +1,10 @@
-"""Bars and their holes over streams of ticks.
-
-Ticks become bars in event-time windows; a watermark says when a bar is final. ``filled`` keeps, per market, the end of its
-last bar, and emits flat bars for the minutes that stayed empty; the state is one row a market.
-"""
+"""Bars over streams of ticks, in event-time windows; a watermark says when a bar is final."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BAR = "market string, start timestamp, open double, high double, low double, close double, volume long"
-
-
 def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(market, start, open, high, low, close, volume) from (market, ts, seq, price); ticks later than ``late`` are not counted."""
     seen = ticks.withWatermark("ts", late)
@@ -23,27 +13,3 @@ def bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> Data
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume")
     )
     return out.select("market", F.col("window.start").alias("start"), "open", "high", "low", "close", "volume")
-
-
-def _fill(step_s: int, most: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("start")
-        out = []
-        for r in rows.itertuples(index=False):
-            if last is not None:
-                gap = int((r.start.timestamp() - last[0]) // step_s) - 1
-                for k in range(1, gap + 1) if 0 < gap <= most else ():
-                    out.append((key[0], pd.Timestamp(last[0] + k * step_s, unit="s"), last[1], last[1], last[1], last[1], 0, True))
-            if last is None or r.start.timestamp() > last[0]:
-                last = (r.start.timestamp(), float(r.close))
-            out.append((key[0], r.start, r.open, r.high, r.low, r.close, r.volume, False))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["market", "start", "open", "high", "low", "close", "volume", "is_synthetic"])
-
-    return run
-
-
-def filled(bars_: DataFrame, step_s: int = 3600, most: int = 4) -> DataFrame:
-    """Bars in order of arrival with flat bars for holes of up to ``most`` steps; append mode."""
-    return bars_.groupBy("market").applyInPandasWithState(_fill(step_s, most), BAR + ", is_synthetic boolean", "last double, close double", "append", "NoTimeout")
