@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import carried
+
 CAPITAL = 100_000.0
 
 
 def running_equity(df: DataFrame, pnl: str, capital: float = CAPITAL, order: tuple[str, ...] = ("market", "ts")) -> DataFrame:
     """Equity and drawdown in the global order (market, then time).
 
-    The order is global, the work is not: each market is summed by itself, and the totals of the markets
-    before it, one small row each, are added. The running maximum goes the same way.
+    The order is global, the work is not: each day of a market is summed by itself, and the totals of the days before it
+    and of the markets before, one small row each, are added. The running maximum goes the same way.
     """
     head, rest = order[0], order[1:]
-    w = Window.partitionBy(head).orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_day", F.to_date(rest[0]))
+    w = Window.partitionBy(head, "_day").orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("_own", F.sum(pnl).over(w)).withColumn("_top", F.max("_own").over(w))
-    totals = own.groupBy(head).agg(F.sum(pnl).alias("_sum"), F.max("_own").alias("_peak"))
+    # one row a day and market from here to the join
+    days = own.groupBy(head, "_day").agg(F.sum(pnl).alias("_sum"), F.max("_own").alias("_peak"))
+    earlier = Window.partitionBy(head).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0))).withColumn("_reached", F.col("_base") + F.col("_peak"))
+    days = days.withColumn("_high", F.max("_reached").over(earlier))
     before = Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    # one row a market from here to the join
-    base = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    base = base.withColumn("_high", F.max(F.col("_base") + F.col("_peak")).over(before)).select(head, "_base", "_high")
-    out = own.join(base, head).withColumn("equity", capital + F.col("_base") + F.col("_own"))
-    peak = F.greatest(F.col("_base") + F.col("_top"), F.col("_high"))
-    return out.withColumn("drawdown", F.col("equity") - (capital + peak)).drop("_own", "_top", "_base", "_high")
+    markets = days.groupBy(head).agg(F.sum("_sum").alias("_sum"), F.max("_reached").alias("_reached"))
+    markets = markets.withColumn("_market", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    markets = markets.withColumn("_market_high", F.max(F.col("_market") + F.col("_reached")).over(before)).select(head, "_market", "_market_high")
+    out = own.join(days.select(head, "_day", "_base", "_high"), [head, "_day"]).join(markets, head)
+    start = F.col("_market") + F.col("_base")
+    out = out.withColumn("equity", capital + start + F.col("_own"))
+    peak = F.greatest(start + F.col("_top"), F.col("_market") + F.col("_high"), F.col("_market_high"))
+    return out.withColumn("drawdown", F.col("equity") - (capital + peak)).drop("_day", "_own", "_top", "_base", "_high", "_market", "_market_high")
 
 
 def desired_positions(df: DataFrame, max_position: int = 1, flat_at_end: bool = True) -> DataFrame:
@@ -38,8 +47,8 @@ def desired_positions(df: DataFrame, max_position: int = 1, flat_at_end: bool =
 
 def run(df: DataFrame) -> DataFrame:
     """Per row: order, fill price, commission, slippage, gross and net. Needs desired, mark, and the market's contract terms."""
-    w = Window.partitionBy("market").orderBy("ts")
-    out = df.withColumn("prev_position", F.lag("desired", 1, 0.0).over(w)).withColumn("prev_mark", F.lag("mark").over(w))
+    out = carried(df, {"prev_position": ("lag", F.col("desired")), "prev_mark": ("lag", F.col("mark"))})
+    out = out.withColumn("prev_position", F.coalesce("prev_position", F.lit(0.0)))
     out = out.withColumn("order_qty", F.col("desired") - F.col("prev_position"))
     size = F.abs("order_qty")
     return out.withColumns(

@@ -10,8 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import carried
 from tidemark.functions.scalars import default, local_time, minute_of_day, minutes_between, reasons, utc_time, valid_ohlcv
 from tidemark.functions.windows import START
+from tidemark.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -67,36 +69,33 @@ def fill_gaps(df: DataFrame, step_minutes: int = 1, most_minutes: int = 120) ->
     base = df.withColumn("_gap", F.when(F.col("inside_session") & same & F.col("close").isNotNull(), gap))
     hole = F.coalesce((F.col("_gap") > step_minutes) & (F.col("_gap") <= most_minutes), F.lit(False))
     base = base.withColumn("_hole", hole)
-    run = Window.partitionBy("market").orderBy("ts").rowsBetween(START, 0)
-    base = base.withColumn("_id", F.sum(F.col("_hole").cast("int")).over(run))
-    raw = base.withColumns({"is_synthetic": F.lit(False), "synthetic_gap_id": F.lit(None).cast("long"), "synthetic_gap_size_minutes": F.lit(None).cast("long")}).drop("_gap", "_hole", "_id")
-    steps = F.sequence(F.lit(1), (F.ceil(F.col("_gap") / step_minutes) - 1).cast("int"))
-    new = base.where("_hole").withColumn("_k", F.explode(steps))
-    new = new.withColumns(
+    base = carried(base, {"_id": ("sum", F.col("_hole").cast("int"))})
+    # each bar stands first among its fills, so bars are read once
+    steps = F.when(F.col("_hole"), (F.ceil(F.col("_gap") / step_minutes) - 1).cast("int")).otherwise(0)
+    rows = base.withColumn("_k", F.explode(F.sequence(F.lit(0), steps)))
+    new = F.col("_k") > 0
+    fill = lambda x, kept: F.when(new, x).otherwise(F.col(kept))
+    flat = {x: fill(F.col("close"), x) for x in ("open", "high", "low")}
+    return rows.withColumns(
         {
             "ts": F.timestamp_add("MINUTE", F.col("_k") * step_minutes, F.col("ts")),
-            "open": F.col("close"), "high": F.col("close"), "low": F.col("close"),
-            "volume": F.lit(0).cast(df.schema["volume"].dataType),
-            "is_synthetic": F.lit(True),
-            "synthetic_gap_id": F.col("_id").cast("long"),
-            "synthetic_gap_size_minutes": F.col("_gap").cast("long"),
+            **flat,
+            "volume": fill(F.lit(0).cast(df.schema["volume"].dataType), "volume"),
+            "is_synthetic": new,
+            "synthetic_gap_id": F.when(new, F.col("_id").cast("long")),
+            "synthetic_gap_size_minutes": F.when(new, F.col("_gap").cast("long")),
         }
-    ).drop("_gap", "_hole", "_id", "_k")
-    return raw.unionByName(new)
+    ).drop("_gap", "_hole", "_id", "_k")
 
 
 def with_rolls(df: DataFrame, window_bars: int = 15) -> DataFrame:
     """A roll is a change of contract between neighbours that are both in session; bars near one are in its window."""
-    w = Window.partitionBy("market").orderBy("ts")
-    changed = F.col("inside_session") & F.lag("inside_session", 1, False).over(w) & (F.col("instrument_id") != F.lag("instrument_id").over(w))
-    df = df.withColumns({"roll_boundary_flag": default(changed, False), "_rn": F.row_number().over(w)})
+    df = carried(df, {"_inside": ("lag", F.col("inside_session")), "_contract": ("lag", F.col("instrument_id")), "_rn": ("sum", F.lit(1).cast("long"))})
+    changed = F.col("inside_session") & default("_inside", False) & (F.col("instrument_id") != F.col("_contract"))
+    df = df.withColumn("roll_boundary_flag", default(changed, False)).drop("_inside", "_contract")
     at = F.when(F.col("roll_boundary_flag"), F.col("_rn"))
-    df = df.withColumns(
-        {
-            "bars_since_roll": F.col("_rn") - F.last(at, True).over(w.rowsBetween(START, 0)),
-            "bars_until_roll": F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("_rn"),
-        }
-    )
+    df = carried(df, {"_before": ("last", at), "_behind": ("next", at)})
+    df = df.withColumns({"bars_since_roll": F.col("_rn") - F.col("_before"), "bars_until_roll": F.col("_behind") - F.col("_rn")}).drop("_before", "_behind")
     near = default(F.col("bars_since_roll") <= window_bars, False) | default(F.col("bars_until_roll") <= window_bars, False)
     number = F.sum(F.col("roll_boundary_flag").cast("int")).over(Window.partitionBy("market", "session_id").orderBy("ts").rowsBetween(START, 0))
     segment = F.when(F.col("inside_session"), F.concat("session_id", F.lit("_seg"), number.cast("string")))
@@ -140,11 +139,14 @@ def with_validity(df: DataFrame) -> DataFrame:
 
 
 def build(raw: DataFrame, cal: Calendar, step_minutes: int = 1, most_minutes: int = 120, roll_bars: int = 15) -> DataFrame:
-    """Raw bars to the causal base; needs market, ts, prices, volume, instrument_id, data_quality_degraded."""
+    """Raw bars to the causal base; needs market, ts, prices, volume, instrument_id, data_quality_degraded.
+
+    Filled bars are read for their rows and again for the totals of their days, so they are written first.
+    """
     df = with_sessions(raw, cal)
     df = fill_gaps(df, step_minutes, most_minutes)
     df = with_sessions(df.drop("minute_of_day", "day_of_week", "inside_session", "session_date", "session_id", "session_template", "minutes_since_session_open", "minutes_until_session_close", "session_progress"), cal)
-    df = with_boundary(with_edges(with_rolls(df, roll_bars)))
+    df = with_boundary(with_edges(with_rolls(stage(df, "filled-bars"), roll_bars)))
     return with_validity(with_degraded_sessions(df.withColumn("valid_ohlcv", valid_ohlcv())))
 
 

@@ -1,7 +1,7 @@
 """Forward-looking labels: entry one bar ahead, exit 16, regime 31, costs in ticks.
 
 Windows run over the market (and the year, if ``by`` says so), not the segment: a path that leaves the segment is
-found and refused. Bars need causal_valid, valid_ohlcv, is_synthetic, the boundary and roll flags, and per-market terms.
+found and refused. They see 60 bars back and 31 ahead, so a market is worked on in blocks with halos of so many. Bars need causal_valid, valid_ohlcv, is_synthetic, the boundary and roll flags, and per-market terms.
 """
 
 from __future__ import annotations
@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import over_blocks
 from tidemark.functions.scalars import default, first_match, valid_price
 from tidemark.functions.windows import SEG, Bars, true_range
 
 ENTRY, EXIT, REGIME, ATR = 1, 16, 31, 60
+#: Offset of a level that is not reached.
+NEVER = 1 << 20
 SEMANTICS = "next_open_entry_15m_open_exit_v1"
 
 
@@ -28,13 +31,18 @@ def path_checks(b: Bars, h: int) -> dict[str, Column]:
 
 def add_labels(df: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
     """34 columns; market terms (tick_size, tick_value, cost_ticks, min_profit_ticks, min_stop_ticks) must be joined."""
-    b = Bars(by)
-    df = df.withColumn("_pc", b.lag("close"))
-    df = df.withColumn("_tr", true_range("_pc"))
     run = SEG.run
     volume = F.coalesce(F.col("volume").cast("double"), F.lit(0.0))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     vol_sum = F.sum(volume).over(run)
+    df = df.withColumns({"_vwap": F.sum(typical * volume).over(run) / F.when(vol_sum != 0, vol_sum), "_mid": (F.max("high").over(run) + F.min("low").over(run)) / 2.0})
+    return _labels(over_blocks(df, _paths, ATR, REGIME, by))
+
+
+def _paths(df: DataFrame, b: Bars) -> DataFrame:
+    """Entry and exit, what lies on the path, and when levels are reached."""
+    df = df.withColumn("_pc", b.lag("close"))
+    df = df.withColumn("_tr", true_range("_pc"))
     df = df.withColumns(
         {
             "_e_ts": b.lead("ts", ENTRY), "_x_ts": b.lead("ts", EXIT), "_e": b.lead("open", ENTRY), "_x": b.lead("open", EXIT),
@@ -42,19 +50,22 @@ def add_labels(df: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
             **{f"_{k}15": v for k, v in path_checks(b, EXIT).items()},
             **{f"_{k}30": v for k, v in path_checks(b, REGIME).items()},
             **{f"_{n}{h}": b.future(x, o, a) for h, o in (("15", EXIT), ("30", REGIME)) for n, x, a in (("hi", "high", F.max), ("lo", "low", F.min))},
-            "_vwap": F.sum(typical * volume).over(run) / F.when(vol_sum != 0, vol_sum),
-            "_mid": (F.max("high").over(run) + F.min("low").over(run)) / 2.0,
         }
     )
     c = F.col
     tick = c("tick_size")
     profit = F.greatest(c("min_profit_ticks"), c("_atr") * 0.5) * tick
     adverse = F.greatest(c("min_stop_ticks"), c("_atr") * 1.0) * tick
-    danger = F.greatest(c("min_stop_ticks"), c("_atr") * 1.5)
     df = df.withColumns({"_up_p": c("_e") + profit, "_dn_p": c("_e") - profit, "_up_a": c("_e") + adverse, "_dn_a": c("_e") - adverse})
-    never = F.lit(1 << 20)
+    never = F.lit(NEVER)
     hit = lambda x, level, up: F.coalesce(b.first_hit(x, level, EXIT, up), never)
-    df = df.withColumns({"_lp": hit("high", "_up_p", True), "_la": hit("low", "_dn_a", False), "_sp": hit("low", "_dn_p", False), "_sa": hit("high", "_up_a", True)})
+    return df.withColumns({"_lp": hit("high", "_up_p", True), "_la": hit("low", "_dn_a", False), "_sp": hit("low", "_dn_p", False), "_sa": hit("high", "_up_a", True)})
+
+
+def _labels(df: DataFrame) -> DataFrame:
+    c = F.col
+    tick, never = c("tick_size"), F.lit(NEVER)
+    danger = F.greatest(c("min_stop_ticks"), c("_atr") * 1.5)
     causal, no_entry, no_exit = default("causal_valid", False), c("_e_ts").isNull(), c("_x_ts").isNull()
     bad_price = ~valid_price("_e") | ~valid_price("_x")
     cases = [

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import last_match, reasons
 from tidemark.operators.joins import lookup, nullsafe_left
 from tidemark.operators.metrics import by_scopes, drawdown_by_scopes, summary
+from tidemark.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -93,13 +94,19 @@ def frame(wide: DataFrame, costs: DataFrame, p: Policy = Policy()) -> DataFrame:
     return economics(apply(wide, p), costs)
 
 
+#: What a summary reads.
+SUMMED = ("position", "base_position", "gross", "cost", "net", "turnover", "slippage_cost", "commission_cost", "trend_block", "fade_ok", "flat_ok")
 SCOPES = {"overall": [], "market": ["market"], "fold": ["fold_id"], "market_fold": ["market", "fold_id"], "reason": ["reason"]}
 
 
 def metrics(df: DataFrame, scopes: dict[str, list[str]] | None = None) -> DataFrame:
-    """The whole summary of each group of each scope, with its drawdown in the order market, fold, time."""
+    """The whole summary of each group of each scope, with its drawdown in the order market, fold, time.
+
+    Sums and drawdowns read the frame apart, so it is written first, in the columns that they need.
+    """
     scopes = scopes or SCOPES
     keys = sorted({k for cols in scopes.values() for k in cols})
+    df = stage(df.select(*dict.fromkeys(["market", "fold_id", "ts", *keys, *SUMMED])), "policy-frame")
     falls = drawdown_by_scopes(df, "net", scopes, ["market", "fold_id"])
     return nullsafe_left(by_scopes(df, scopes, summary()), falls, ["scope", *keys])
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import numbered
 from tidemark.functions.scalars import default
 
 
@@ -70,7 +71,7 @@ def fold_starts(rows: DataFrame, w: Windows) -> DataFrame:
 
 def assign(rows: DataFrame, w: Windows) -> DataFrame:
     """Rows by fold and role: train, purged or test. Folds are cut into days, so the join is on equality."""
-    rows = rows.withColumns({"_rn": F.row_number().over(Window.partitionBy("market").orderBy("ts")), "_day": F.to_date("ts")})
+    rows = numbered(rows).withColumn("_day", F.to_date("ts"))
     folds = fold_starts(rows, w).withColumn("_day", F.explode(F.sequence(F.to_date("train_start"), F.to_date("test_end"))))
     both = rows.join(folds, ["market", "_day"]).where((F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end")))
     before = F.max(F.when(F.col("ts") < F.col("test_start"), F.col("_rn"))).over(Window.partitionBy("market", "n"))

@@ -204,9 +204,9 @@ def lb_path30(spark, sf_dir):
 
 
 def _paths(spark, sf_dir, h):
-    from tidemark.functions.windows import MARKET
+    from tidemark.functions.blocks import over_blocks
 
-    df = minute_bars(spark, sf_dir).withColumns({f"_{k}": v for k, v in labels.path_checks(MARKET, h).items()})
+    df = over_blocks(minute_bars(spark, sf_dir), lambda rows, b: rows.withColumns({f"_{k}": v for k, v in labels.path_checks(b, h).items()}), 0, h)
     return df.groupBy("market").agg(*[F.count_if(f"_{k}").alias(n) for k, n in (("cross", "crossed"), ("synthetic", "synthetic"), ("invalid", "invalid"), ("boundary", "boundary"), ("roll", "roll"))])
 
 

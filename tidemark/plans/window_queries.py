@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.functions.windows import MARKET, SEG
+from tidemark.functions.blocks import carried, numbered, over_blocks
+from tidemark.functions.windows import SEG
 from tidemark.plans.registry import BARS, CLOCK, PREDS, clock_bars, out, preds, q, query, tick_bars
 
 _SEG = "partition by market, session_segment_id order by ts"
@@ -39,8 +40,16 @@ def _simple(name: str, spark_expr, sql_expr: str) -> None:
         return tick_bars(spark, sf_dir).select(*out("market", "bar", v=spark_expr()))
 
 
+def _blocks(name: str, back: int, ahead: int, spark_expr, sql_expr: str) -> None:
+    """One expression over a market's bars, in blocks with halos."""
+
+    @query(name, f"with {BARS} select market, bar, {q(sql_expr)} as v from {_V}")
+    def run(spark, sf_dir):
+        return over_blocks(tick_bars(spark, sf_dir), lambda df, b: df.withColumn("v", spark_expr(b)), back, ahead).select(*out("market", "bar", v=F.col("v")))
+
+
 _simple("win_lag", lambda: SEG.lag("close", 3), f"lag(close, 3) over ({_SEG})")
-_simple("win_lead_ungrouped", lambda: MARKET.lead("open", 16), f"lead(open, 16) over ({_MKT})")
+_blocks("win_lead_ungrouped", 0, 16, lambda b: b.lead("open", 16), f"lead(open, 16) over ({_MKT})")
 for _name, _agg, _sql in (("sum", F.sum, "sum"), ("mean", F.avg, "avg"), ("std", F.stddev_pop, "stddev_pop"), ("max", F.max, "max"), ("min", F.min, "min")):
     _simple(f"win_rolling_{_name}", lambda a=_agg: SEG.full(_vc(), 20, a), _full("vc", 20, _sql))
 _simple("win_valid_mask", lambda: SEG.mask("causal_valid", 15).cast("int"), f"cast({_mask(15)} as int)")
@@ -52,9 +61,9 @@ _simple("win_cummin", lambda: SEG.running(_vc(), F.min), f"case when vc is not n
 _simple("win_cumsum", lambda: SEG.running(_vc() * F.col("volume"), F.sum), f"case when vc is not null then sum(vc * volume) over ({_SEG} rows between unbounded preceding and current row) end")
 _simple("win_cumsum_dropna_false", lambda: F.sum(F.coalesce(F.when(F.col("causal_valid"), F.col("volume")), F.lit(0))).over(SEG.run), f"sum(coalesce(vv, 0)) over ({_SEG} rows between unbounded preceding and current row)")
 _simple("win_first_in_segment", lambda: SEG.first(F.when(F.col("causal_valid") & (F.col("bar") % 150 > 1), F.col("open"))), "first_value(case when causal_valid and bar % 150 > 1 then open end ignore nulls) over (partition by market, session_segment_id order by ts rows between unbounded preceding and unbounded following)")
-_simple("win_future_extreme", lambda: MARKET.future("high", 16, F.max) - MARKET.future("low", 16, F.min), f"max(high) over ({_MKT} rows between 1 following and 16 following) - min(low) over ({_MKT} rows between 1 following and 16 following)")
-_simple("win_future_any", lambda: MARKET.future_any("is_synthetic", 16).cast("int"), f"max(cast(is_synthetic as int)) over ({_MKT} rows between current row and 16 following)")
-_simple("win_future_same_segment", lambda: MARKET.future_same("session_segment_id", 16).cast("int"), f"cast(coalesce(count(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = 16 and min(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = session_segment_id and max(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = session_segment_id, false) as int)")
+_blocks("win_future_extreme", 0, 16, lambda b: b.future("high", 16, F.max) - b.future("low", 16, F.min), f"max(high) over ({_MKT} rows between 1 following and 16 following) - min(low) over ({_MKT} rows between 1 following and 16 following)")
+_blocks("win_future_any", 0, 16, lambda b: b.future_any("is_synthetic", 16).cast("int"), f"max(cast(is_synthetic as int)) over ({_MKT} rows between current row and 16 following)")
+_blocks("win_future_same_segment", 0, 16, lambda b: b.future_same("session_segment_id", 16).cast("int"), f"cast(coalesce(count(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = 16 and min(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = session_segment_id and max(session_segment_id) over ({_MKT} rows between 1 following and 16 following) = session_segment_id, false) as int)")
 
 
 @query("win_true_count_full_valid", f"with {BARS} select market, bar, {q(_full('u', 30, 'sum'))} as v from (select *, case when causal_valid then cast(close > pc as double) end as u from {_V})")
@@ -177,8 +186,8 @@ def win_true_range(spark, sf_dir):
 
 @query("win_atr_60", f"with {BARS}, p as (select *, lag(close) over ({_MKT}) as pc from bars) select market, bar, {q(f'avg(greatest(high - low, abs(high - pc), abs(low - pc))) over ({_MKT} rows between 59 preceding and current row)')} as v from p")
 def win_atr(spark, sf_dir):
-    df = tick_bars(spark, sf_dir).withColumn("pc", MARKET.lag("close")).withColumn("tr", W.true_range("pc"))
-    return df.select(*out("market", "bar", v=F.avg("tr").over(MARKET.back(60))))
+    ranges = lambda df, b: df.withColumn("pc", b.lag("close")).withColumn("tr", W.true_range("pc")).withColumn("v", F.avg("tr").over(b.back(60)))
+    return over_blocks(tick_bars(spark, sf_dir), ranges, 60, 0).select(*out("market", "bar", v=F.col("v")))
 
 
 @query(
@@ -188,8 +197,8 @@ def win_atr(spark, sf_dir):
     from r a left join r b on b.market = a.market and b.rn between a.rn + 1 and a.rn + 16 group by 1, 2""",
 )
 def win_first_hit(spark, sf_dir):
-    df = tick_bars(spark, sf_dir)
-    return df.select("market", "bar", MARKET.first_hit("high", F.col("close") + 5, 16).cast("int").alias("up"), MARKET.first_hit("low", F.col("close") - 5, 16, up=False).cast("int").alias("down"))
+    hits = lambda df, b: df.withColumns({"up": b.first_hit("high", F.col("close") + 5, 16).cast("int"), "down": b.first_hit("low", F.col("close") - 5, 16, up=False).cast("int")})
+    return over_blocks(tick_bars(spark, sf_dir), hits, 0, 16).select("market", "bar", "up", "down")
 
 
 @query(
@@ -199,16 +208,15 @@ def win_first_hit(spark, sf_dir):
            cast(min(case when roll_boundary_flag then rn end) over ({_MKT} rows between current row and unbounded following) - rn as bigint) as until from r""",
 )
 def win_roll_distance(spark, sf_dir):
-    df = tick_bars(spark, sf_dir).withColumn("rn", F.row_number().over(MARKET.spec))
+    df = numbered(tick_bars(spark, sf_dir), name="rn")
     at = F.when(F.col("roll_boundary_flag"), F.col("rn"))
-    since = F.col("rn") - F.last(at, True).over(MARKET.run)
-    until = F.first(at, True).over(MARKET.spec.rowsBetween(0, Window.unboundedFollowing)) - F.col("rn")
-    return df.select("market", "bar", since.cast("long").alias("since"), until.cast("long").alias("until"))
+    df = carried(df, {"before": ("last", at), "behind": ("next", at)})
+    return df.select("market", "bar", (F.col("rn") - F.col("before")).alias("since"), (F.col("behind") - F.col("rn")).alias("until"))
 
 
 @query("win_segment_number", f"with {BARS} select market, bar, cast(sum(cast(roll_boundary_flag as int)) over (partition by market order by ts rows between unbounded preceding and current row) as bigint) as v from bars")
 def win_segment_number(spark, sf_dir):
-    return tick_bars(spark, sf_dir).select("market", "bar", F.sum(F.col("roll_boundary_flag").cast("int")).over(MARKET.run).cast("long").alias("v"))
+    return carried(tick_bars(spark, sf_dir), {"v": ("sum", F.col("roll_boundary_flag").cast("int"))}).select("market", "bar", "v")
 
 
 @query("win_edge_flags", f"with {BARS} select market, bar, ts = min(ts) over (partition by market, session_segment_id) as is_open, ts = max(ts) over (partition by market, session_segment_id) as is_close from bars")
@@ -219,8 +227,8 @@ def win_edge_flags(spark, sf_dir):
 
 @query("win_position_delta", f"with {BARS}, {PREDS} select market, bar, cast(abs(y_sign - lag(y_sign, 1, 0) over (partition by market, fold_id order by ts)) as int) as v from preds")
 def win_position_delta(spark, sf_dir):
-    by = Window.partitionBy("market", "fold_id").orderBy("ts")
-    return preds(spark, sf_dir).select("market", "bar", F.abs(F.col("y_sign") - F.lag("y_sign", 1, 0).over(by)).cast("int").alias("v"))
+    df = carried(preds(spark, sf_dir), {"before": ("lag", F.col("y_sign"))}, ("market", "fold_id"))
+    return df.select("market", "bar", F.abs(F.col("y_sign") - F.coalesce("before", F.lit(0))).cast("int").alias("v"))
 
 
 @query(

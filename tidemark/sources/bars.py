@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import numbered
+
 #: Which market an event type stands for.
 MARKETS = {"click": "ES", "error": "CL", "purchase": "ZN", "signup": "6E", "view": "RTY"}
 #: market, tick_size, tick_value, point_value, cost_ticks, min_profit_ticks, min_stop_ticks, slippage_ticks
@@ -36,8 +38,8 @@ def market_of(event_type: str = "event_type"):
 
 def tick_bars(spark: SparkSession, sf_dir: str, every: int = 3, segment: int = 150) -> DataFrame:
     """Every ``every`` events of a market are a bar; ``segment`` bars are a session segment. Flags are fixed functions of the bar."""
-    nth = F.row_number().over(Window.partitionBy("market").orderBy("ts", "event_id")) - 1
-    ticks = events(spark, sf_dir).select(market_of().alias("market"), "ts", "event_id", (F.col("value") + 100).alias("price")).withColumn("nth", nth)
+    ticks = events(spark, sf_dir).select(market_of().alias("market"), "ts", "event_id", (F.col("value") + 100).alias("price"))
+    ticks = numbered(ticks, order=("ts", "event_id")).withColumn("nth", F.col("_rn") - 1)
     bars = ticks.groupBy("market", F.floor(F.col("nth") / every).cast("int").alias("bar")).agg(
         F.min("ts").alias("ts"),
         F.min_by("price", "nth").alias("open"),
