@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.windows import START, Bars
 
@@ -21,13 +22,18 @@ SIZE = 8192
 END = Window.unboundedFollowing
 
 
+def day(df: DataFrame, column: str) -> Column:
+    """What cuts an order into blocks: the date of a time, ranges of ``SIZE`` of a number."""
+    return F.floor(F.col(column) / SIZE) if isinstance(df.schema[column].dataType, T.NumericType) else F.to_date(column)
+
+
 def carried(df: DataFrame, columns: dict[str, tuple[str, Column]], by: Sequence[str] = ("market",), order: Sequence[str] = ("ts",), bucket: Column | None = None) -> DataFrame:
     """Add running columns, each by an operation over a column in the group's order.
 
     ``sum``, ``max``: of the rows so far. ``last``: the last value so far that is not NULL. ``next``: the first from this row on.
-    ``lag``: the row before's, NULL for the first. ``bucket`` must rise with the order; by default it is its date.
+    ``lag``: the row before's, NULL for the first. ``bucket`` must rise with the order; by default it is ``day``.
     """
-    df = df.withColumn("_bucket", F.to_date(order[0]) if bucket is None else bucket)
+    df = df.withColumn("_bucket", day(df, order[0]) if bucket is None else bucket)
     inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
     so_far, from_here = inner.rowsBetween(START, 0), inner.rowsBetween(0, END)
     across = Window.partitionBy(*by).orderBy("_bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.blocks import carried
+from tidemark.functions.blocks import carried, day
 
 CAPITAL = 100_000.0
 
@@ -17,7 +17,7 @@ def running_equity(df: DataFrame, pnl: str, capital: float = CAPITAL, order: tup
     and of the markets before, one small row each, are added. The running maximum goes the same way.
     """
     head, rest = order[0], order[1:]
-    df = df.withColumn("_day", F.to_date(rest[0]))
+    df = df.withColumn("_day", day(df, rest[0]))
     w = Window.partitionBy(head, "_day").orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("_own", F.sum(pnl).over(w)).withColumn("_top", F.max("_own").over(w))
     # one row a day and market from here to the join

@@ -1,7 +1,9 @@
 """Linear models per fold, fitted from sums that Spark gathers.
 
 A pass over the rows turns each Arrow batch into the sums a fold's system needs (a Gram matrix, or a gradient and Hessian);
-the sums of a fold are added up and a system of the size of the feature list is solved. No fold's rows meet in one task.
+Spark adds the sums of a fold up by position, and its system, of the size of the feature list, is solved on an executor.
+Weights stay a table, one row a fold, that each turn of a fit joins to the rows again: neither rows, sums nor weights
+of folds come to the driver, and no fold's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -10,11 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import stage
 
-CLASSES = (-1, 0, 1)
+CLASSES, WEIGHTS = (-1, 0, 1), ("w_short", "w_flat", "w_long")
+#: Numbers of sums that a task keeps before it hands them on: 64 MB.
+KEPT = 8 << 20
 
 
 def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -34,11 +39,20 @@ def scaled(rows: DataFrame, stats: DataFrame, features: Sequence[str], by: Seque
     return rows.join(stats, list(by)).withColumn("x", F.array(*[one(f) for f in features])).drop(*drop)
 
 
-def _by_fold(df: DataFrame, part, width: int) -> dict[str, np.ndarray]:
-    """Sum over batches of ``part(key, x, y) -> flat array``, by fold key: one array a fold leaves each task, and one comes back."""
+def _sums(rows: DataFrame, part) -> DataFrame:
+    """(key, pos, v): sums over batches of ``part(weights or None, x, y) -> flat array``, by fold key.
+
+    A task keeps arrays of at most ``KEPT`` numbers and hands on what it has beyond that; Spark adds them up by position.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for k, s in sums.items():
+                yield pa.record_batch({"key": [k], "s": pa.array([s], pa.list_(pa.float64()))})
+            sums.clear()
+
         for batch in batches:
             keys = np.array(batch.column("key").to_pylist(), object)
             if not len(keys):
@@ -46,77 +60,106 @@ def _by_fold(df: DataFrame, part, width: int) -> dict[str, np.ndarray]:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
             for k in set(keys):
-                s = part(k, x[keys == k], y[keys == k])
+                own = np.flatnonzero(keys == k)
+                w = batch.column("w")[int(own[0])].as_py() if "w" in batch.schema.names else None
+                s = part(None if w is None else np.array(w), x[own], y[own])
                 sums[k] = sums[k] + s if k in sums else s
-        for k, s in sums.items():
-            yield pa.record_batch({"key": [k], "s": pa.array([s], pa.list_(pa.float64()))})
-
-    rows = df.select("key", "x", F.col("y").cast("double").alias("y")).mapInArrow(run, "key string, s array<double>")
-    total = rows.groupBy("key").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]) if width <= 64 else None
-    if total is not None:
-        return {r["key"]: np.array([r[f"s{i}"] for i in range(width)]) for r in total.collect()}
-    long = rows.select("key", F.posexplode("s")).groupBy("key", "pos").agg(F.sum("col").alias("v"))
-    out: dict[str, np.ndarray] = {}
-    for r in long.collect():
-        out.setdefault(r["key"], np.zeros(width))[r["pos"]] = r["v"]
+            if sum(map(len, sums.values())) > KEPT:
+                yield from given()
+        yield from given()
+
+    known = [F.col("w")] if "w" in rows.columns else []
+    parts = rows.select("key", "x", F.col("y").cast("double").alias("y"), *known).mapInArrow(run, "key string, s array<double>")
+    return parts.select("key", F.posexplode("s").alias("pos", "v")).groupBy("key", "pos").agg(F.sum("v").alias("v"))
+
+
+def _flat(table: pa.Table) -> np.ndarray:
+    out = np.zeros(len(table))
+    out[table["pos"].to_numpy()] = table["v"].to_numpy()
     return out
 
 
-def ridge(train: DataFrame, n_features: int, alpha: float = 1.0) -> dict[str, np.ndarray]:
-    """Weights and intercept (last) of each fold; ``train`` has key, x (scaled) and y. The intercept is not penalised."""
+def _one(kind: dict[str, tuple[pa.DataType, object]]) -> pa.Table:
+    return pa.table({name: pa.array([value], type_) for name, (type_, value) in kind.items()})
+
+
+_TEXT, _LIST, _REAL, _FLAG = pa.string(), pa.list_(pa.float64()), pa.float64(), pa.bool_()
+
+
+def ridge(train: DataFrame, n_features: int, alpha: float = 1.0) -> DataFrame:
+    """(key, w): weights and intercept (last) of each fold; ``train`` has key, x (scaled) and y. The intercept is not penalised."""
     d = n_features + 1
 
     def gram(_, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         a = np.hstack([x, np.ones((len(x), 1)), y[:, None]])
         return (a.T @ a).ravel()
 
-    out = {}
-    for key, s in _by_fold(train, gram, (d + 1) ** 2).items():
-        g = s.reshape(d + 1, d + 1)
-        out[key] = np.linalg.solve(g[:d, :d] + np.diag([alpha] * n_features + [0.0]), g[:d, d])
-    return out
+    def solved(table: pa.Table) -> pa.Table:
+        g = _flat(table).reshape(d + 1, d + 1)
+        w = np.linalg.solve(g[:d, :d] + np.diag([alpha] * n_features + [0.0]), g[:d, d])
+        return _one({"key": (_TEXT, table["key"][0].as_py()), "w": (_LIST, w)})
 
+    return stage(_sums(train, gram).groupBy("key").applyInArrow(solved, "key string, w array<double>"), "weights")
 
-def logistic(train: DataFrame, n_features: int, c: float = 1.0, most: int = 12, tolerance: float = 1e-8) -> tuple[dict[str, np.ndarray], bool]:
-    """Binary logistic regression with L2 strength 1/c, by Newton steps, all folds at once; (weights, whether all converged)."""
+
+def _newton(train: DataFrame, part, step, fresh: str, most: int) -> tuple[DataFrame, bool]:
+    """Repeat ``step`` (sums, state or None -> state) for each fold until its state is done; (states, whether all are).
+
+    A state has w, best, loss and done, and is a row of a table that is written at each turn.
+    """
+
+    def turned(sums: pa.Table, state: pa.Table) -> pa.Table:
+        if not len(sums):  # nothing left of the fold
+            return state
+        old = state.to_pylist()[0] if len(state) else None
+        w, best, loss, done = step(_flat(sums), old)
+        return _one({"key": (_TEXT, sums["key"][0].as_py()), "w": (_LIST, w), "best": (_LIST, best), "loss": (_REAL, loss), "done": (_FLAG, done)})
+
+    schema = "key string, w array<double>, best array<double>, loss double, done boolean"
+    state = train.sparkSession.createDataFrame([], schema)
+    for turn in range(most):
+        open_ = state.where(~F.col("done"))
+        rows = train.join(open_.select("key", "w"), "key") if turn else train
+        new = _sums(rows, part).groupBy("key").cogroup(open_.groupBy("key")).applyInArrow(turned, schema)
+        state = stage(new.unionByName(state.where("done")), f"{fresh}-weights")
+        if state.where(~F.col("done")).isEmpty():
+            return state, True
+    return state, False
+
+
+def logistic(train: DataFrame, n_features: int, c: float = 1.0, most: int = 12, tolerance: float = 1e-8) -> tuple[DataFrame, bool]:
+    """Binary logistic regression with L2 strength 1/c, by Newton steps, all folds at once; ((key, w), whether all converged)."""
     d = n_features + 1
-    weights: dict[str, np.ndarray] = {}
     ridge_ = np.diag([1.0 / c] * n_features + [1e-9])
 
-    def part(key: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def part(w: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         a = np.hstack([x, np.ones((len(x), 1))])
-        p = 1 / (1 + np.exp(-np.clip(a @ weights.get(key, np.zeros(d)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a @ (np.zeros(d) if w is None else w), -30, 30)))
         return np.concatenate([a.T @ (p - y), ((a * (p * (1 - p))[:, None]).T @ a).ravel()])
 
-    for _ in range(most):
-        change = 0.0
-        for key, s in _by_fold(train, part, d + d * d).items():
-            w = weights.get(key, np.zeros(d))
-            step = np.linalg.solve(s[d:].reshape(d, d) + ridge_, s[:d] + ridge_ @ w)
-            weights[key] = w - step
-            change = max(change, float(np.abs(step).max()))
-        if change < tolerance:
-            return weights, True
-    return weights, False
+    def step(s: np.ndarray, old: dict | None) -> tuple:
+        w = np.array(old["w"]) if old else np.zeros(d)
+        move = np.linalg.solve(s[d:].reshape(d, d) + ridge_, s[:d] + ridge_ @ w)
+        return w - move, w - move, 0.0, bool(np.abs(move).max() < tolerance)
+
+    state, ok = _newton(train, part, step, "logistic", most)
+    return state.select("key", "w"), ok
 
 
-def softmax(train: DataFrame, n_features: int, c: float = 1.0, most: int = 30, tolerance: float = 1e-8) -> tuple[dict[str, np.ndarray], bool]:
+def softmax(train: DataFrame, n_features: int, c: float = 1.0, most: int = 30, tolerance: float = 1e-8) -> tuple[DataFrame, bool]:
     """Logistic regression of three classes (y is -1, 0 or 1) with L2 strength 1/c on all but the intercepts.
 
-    Newton steps for all folds at once, a step halved where it does not lower the loss; (class x weight arrays, intercept last, whether all converged).
+    Newton steps for all folds at once, a step halved where it does not lower the loss; ((key, w): class x weight arrays laid flat, intercepts last, whether all converged).
     """
     d = n_features + 1
     k = len(CLASSES)
-    trial: dict[str, np.ndarray] = {}
-    best: dict[str, tuple[np.ndarray, float]] = {}
-    done: set[str] = set()
     # a shift of all intercepts changes no probability: their sum is held at 0, or the system would be singular
     bias = np.tile([0.0] * n_features + [1.0], k)
     penalty = np.diag(np.tile([1.0 / c] * n_features + [0.0], k)) + np.outer(bias, bias)
 
-    def part(key: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def part(w: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         a = np.hstack([x, np.ones((len(x), 1))])
-        z = a @ trial.get(key, np.zeros((k, d))).T
+        z = a @ (np.zeros((k, d)) if w is None else w.reshape(k, d)).T
         z = z - z.max(axis=1, keepdims=True)
         p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
         hot = y[:, None] == np.array(CLASSES)
@@ -124,70 +167,63 @@ def softmax(train: DataFrame, n_features: int, c: float = 1.0, most: int = 30, t
         blocks = [[(a * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ a for j in range(k)] for i in range(k)]
         return np.concatenate([[loss], ((p - hot).T @ a).ravel(), np.block(blocks).ravel()])
 
-    for _ in range(most):
-        left = train.where(~F.col("key").isin(sorted(done))) if done else train
-        sums = _by_fold(left, part, 1 + k * d + (k * d) ** 2)
-        for key, s in sums.items():
-            w = trial.get(key, np.zeros((k, d)))
-            loss = s[0] + 0.5 * float(w.ravel() @ penalty @ w.ravel())
-            if key in best and loss > best[key][1] * (1 + 1e-12) + 1e-12:
-                trial[key] = (best[key][0] + w) / 2
-                change = float(np.abs(trial[key] - w).max())
-            else:
-                best[key] = (w, loss)
-                step = np.linalg.solve(s[1 + k * d :].reshape(k * d, k * d) + penalty, s[1 : 1 + k * d] + penalty @ w.ravel())
-                trial[key] = w - step.reshape(k, d)
-                change = float(np.abs(step).max())
-            if change < tolerance:
-                done.add(key)
-        if done >= set(sums):
-            return trial, True
-    return {key: w for key, (w, _) in best.items()}, False
-
-
-def classifier(train: DataFrame, n_features: int, c: float = 1.0) -> tuple[dict[str, list[np.ndarray | None]], bool]:
-    """Weights of each class of each fold, None for a class the fold never saw; ``train`` has key, x (scaled) and y in -1, 0, 1.
+    def step(s: np.ndarray, old: dict | None) -> tuple:
+        w = np.array(old["w"]) if old else np.zeros(k * d)
+        loss = s[0] + 0.5 * float(w @ penalty @ w)
+        if old and loss > old["loss"] * (1 + 1e-12) + 1e-12:
+            best, least, trial = np.array(old["best"]), old["loss"], (np.array(old["best"]) + w) / 2
+            change = float(np.abs(trial - w).max())
+        else:
+            move = np.linalg.solve(s[1 + k * d :].reshape(k * d, k * d) + penalty, s[1 : 1 + k * d] + penalty @ w)
+            best, least, trial, change = w, loss, w - move, float(np.abs(move).max())
+        return trial, best, least, bool(change < tolerance)
+
+    state, ok = _newton(train, part, step, "softmax", most)
+    return state.select("key", F.when(F.col("done"), F.col("w")).otherwise(F.col("best")).alias("w")), ok
+
+
+def classifier(train: DataFrame, n_features: int, c: float = 1.0) -> tuple[DataFrame, bool]:
+    """(key, w_short, w_flat, w_long), NULL for a class the fold never saw, and whether all converged; ``train`` has key, x (scaled) and y in -1, 0, 1.
 
     Three classes are fitted by ``softmax``, two by ``logistic`` (the lesser class has weights of zero), and a fold of one
     class has weights of zero for it, so that it is always predicted.
     """
-    seen = {r["key"]: sorted(r["ys"]) for r in train.groupBy("key").agg(F.collect_set(F.col("y").cast("int")).alias("ys")).collect()}
-    of = lambda n: sorted(k for k, ys in seen.items() if len(ys) == n)
-    zero = np.zeros(n_features + 1)
-    out: dict[str, list[np.ndarray | None]] = {k: [zero if y in ys else None for y in CLASSES] for k, ys in seen.items()}
+    d = n_features + 1
+    seen = stage(train.groupBy("key").agg(F.array_sort(F.collect_set(F.col("y").cast("int"))).alias("ys")), "fold-classes")
+    sizes = {r[0] for r in seen.select(F.size("ys")).distinct().collect()}  # 1, 2 and 3 at most
+    zero = F.array_repeat(F.lit(0.0), d)
+    out = seen.where(F.size("ys") == 1).select("key", *[F.when(F.col("ys")[0] == y, zero).alias(n) for y, n in zip(CLASSES, WEIGHTS, strict=True)])
     ok = True
-    if of(3):
-        w, ok = softmax(train.where(F.col("key").isin(of(3))), n_features, c)
-        out |= {k: list(v) for k, v in w.items()}
-    if of(2):
-        two = train.where(F.col("key").isin(of(2)))
-        most = two.groupBy("key").agg(F.max("y").alias("_most"))
-        w, fine = logistic(two.join(most, "key").withColumn("y", (F.col("y") == F.col("_most")).cast("double")), n_features, c)
-        for k, v in w.items():
-            out[k][CLASSES.index(seen[k][1])] = v
+    of = lambda n: train.join(seen.where(F.size("ys") == n), "key")
+    if 3 in sizes:
+        w, ok = softmax(of(3), n_features, c)
+        out = out.unionByName(w.select("key", *[F.slice("w", i * d + 1, d).alias(n) for i, n in enumerate(WEIGHTS)]))
+    if 2 in sizes:
+        w, fine = logistic(of(2).withColumn("y", (F.col("y") == F.col("ys")[1]).cast("double")), n_features, c)
+        w = w.join(seen, "key")
+        out = out.unionByName(w.select("key", *[F.when(F.col("ys")[1] == y, F.col("w")).when(F.col("ys")[0] == y, zero).alias(n) for y, n in zip(CLASSES, WEIGHTS, strict=True)]))
         ok = ok and fine
     return out, ok
 
 
-def predict_classes(rows: DataFrame, weights: dict[str, list[np.ndarray | None]]) -> DataFrame:
+def _score(w: str) -> Column:
+    return F.aggregate(F.zip_with("x", F.slice(w, 1, F.size("x")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at(w, -1)
+
+
+def predict_classes(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """``rows`` (key, x) with p_short, p_flat and p_long; NULL for a class that the fold never saw."""
-    plain = [(k, *[None if v is None else [float(u) for u in v] for v in ws]) for k, ws in weights.items()]
-    table = rows.sparkSession.createDataFrame(plain, "key string, " + ", ".join(f"_w{i} array<double>" for i in range(len(CLASSES))))
-    z = [F.aggregate(F.zip_with("x", F.slice(f"_w{i}", 1, F.size("x")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at(f"_w{i}", -1) for i in range(len(CLASSES))]
-    rows = rows.join(table, "key").withColumns({f"_z{i}": x for i, x in enumerate(z)})
+    rows = rows.join(weights, "key").withColumns({f"_z{i}": _score(w) for i, w in enumerate(WEIGHTS)})
     top = F.greatest(*[f"_z{i}" for i in range(len(CLASSES))])
     e = [F.exp(F.col(f"_z{i}") - top) for i in range(len(CLASSES))]
     total = sum((F.coalesce(x, F.lit(0.0)) for x in e[1:]), F.coalesce(e[0], F.lit(0.0)))
     names = ("p_short", "p_flat", "p_long")
-    return rows.withColumns({n: x / total for n, x in zip(names, e, strict=True)}).drop(*[f"_{a}{i}" for a in "wz" for i in range(len(CLASSES))])
+    return rows.withColumns({n: x / total for n, x in zip(names, e, strict=True)}).drop(*WEIGHTS, *[f"_z{i}" for i in range(len(CLASSES))])
 
 
-def predict(rows: DataFrame, weights: dict[str, np.ndarray], logit: bool = False) -> DataFrame:
-    """``rows`` (key, x) with y_pred; weights are a row per fold."""
-    spark = rows.sparkSession
-    w = spark.createDataFrame([(k, [float(v) for v in x[:-1]], float(x[-1])) for k, x in weights.items()], "key string, _w array<double>, _b double")
-    z = F.aggregate(F.zip_with("x", "_w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.col("_b")
-    return rows.join(w, "key").withColumn("y_pred", 1 / (1 + F.exp(-z)) if logit else z).drop("_w", "_b")
+def predict(rows: DataFrame, weights: DataFrame, logit: bool = False) -> DataFrame:
+    """``rows`` (key, x) with y_pred; weights (key, w) are a row per fold."""
+    z = _score("w")
+    return rows.join(weights.select("key", "w"), "key").withColumn("y_pred", 1 / (1 + F.exp(-z)) if logit else z).drop("w")
 
 
 def ridge_1d(train: DataFrame, x: str, y: str, by: Sequence[str], alpha: float = 1.0) -> DataFrame:

@@ -764,7 +764,7 @@ def ml_logistic(spark, sf_dir):
 def ml_convergence(spark, sf_dir):
     rows = _fitted(spark, sf_dir).withColumn("y", (_c("y") > 0).cast("double"))
     w, ok = models.logistic(rows.where("role = 'train'"), len(_XS))
-    return spark.createDataFrame([(ok, len(w))], "converged boolean, folds long")
+    return w.agg(F.lit(ok).alias("converged"), F.count("*").alias("folds"))
 
 
 @query("ml_dummy_prior", f"with {_X} select key, {q('avg(cast(sign(y) = -1 as int))')} as p_short, {q('avg(cast(sign(y) = 0 as int))')} as p_flat, {q('avg(cast(sign(y) = 1 as int))')} as p_long from xt where role = 'train' group by 1")
