@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, screens, splits, validation, walkforward
+from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, ranks, screens, splits, validation, walkforward
 from tidemark.plans.domain_queries import CAUSAL, FEATURES, LABELS, _feature_select, _numbers, FEATURE_SQL, base, feature_frame, labeled, minute_bars
 from tidemark.plans.registry import BARS, CLOCK, COSTS, PREDS, clock_bars, costs, out, preds, q, query, tick_bars
 from tidemark.sources.bars import events
@@ -400,12 +400,13 @@ def agg_largest(spark, sf_dir):
 
 @query("agg_quantile", f"with {BARS} select market, {q('quantile_cont(close, 0.05)')} as q05, {q('quantile_cont(close, 0.95)')} as q95 from bars group by 1")
 def agg_quantile(spark, sf_dir):
-    return _quantized(tick_bars(spark, sf_dir).groupBy("market").agg(F.percentile("close", F.lit(0.05)).alias("q05"), F.percentile("close", F.lit(0.95)).alias("q95")), ["q05", "q95"])
+    found = ranks.quantiles(tick_bars(spark, sf_dir), ["close"], [0.05, 0.95], ["market"])
+    return found.select(*out("market", q05=_c("q")[0], q95=_c("q")[1]))
 
 
 @query("agg_median", f"with {BARS} select market, {q('median(volume)')} as v from bars group by 1")
 def agg_median(spark, sf_dir):
-    return _quantized(tick_bars(spark, sf_dir).groupBy("market").agg(F.median("volume").alias("v")), ["v"])
+    return ranks.quantiles(tick_bars(spark, sf_dir), ["volume"], [0.5], ["market"]).select(*out("market", v=_c("q")[0]))
 
 
 @query("agg_cvar", f"with {POLICY}, e as (select market, quantile_cont(net, 0.05) as e from pf where position <> 0 group by 1) select market, {q('avg(net)')} as cvar from pf join e using (market) where position <> 0 and net <= e group by 1")
@@ -440,7 +441,13 @@ def agg_corr(spark, sf_dir):
     return _quantized(g, ["v", "constant"])
 
 
-@query("agg_corr_spearman", f"with {BARS}, r as (select market, rank() over (partition by market order by close) + (count(*) over (partition by market, close) - 1) / 2.0::double as a, rank() over (partition by market order by volume) + (count(*) over (partition by market, volume) - 1) / 2.0::double as b from bars) select market, {q('corr(a, b)')} as v from r group by 1")
+@query("agg_corr_spearman", f"with {BARS}, r as (select rank() over (order by close) + (count(*) over (partition by close) - 1) / 2.0::double as a, rank() over (order by volume) + (count(*) over (partition by volume) - 1) / 2.0::double as b from bars) select count(*) as n, {q('corr(a, b)')} as v from r")
+def agg_spearman_all(spark, sf_dir):
+    """Of ranks over the whole table, from counted values in range partitions."""
+    return ranks.spearman(tick_bars(spark, sf_dir), "close", "volume").select("n", S.quantize("rho").alias("v"))
+
+
+@query("agg_corr_spearman_by_market", f"with {BARS}, r as (select market, rank() over (partition by market order by close) + (count(*) over (partition by market, close) - 1) / 2.0::double as a, rank() over (partition by market order by volume) + (count(*) over (partition by market, volume) - 1) / 2.0::double as b from bars) select market, {q('corr(a, b)')} as v from r group by 1")
 def agg_spearman(spark, sf_dir):
     df = metrics.average_rank(metrics.average_rank(tick_bars(spark, sf_dir), "close", "a", ["market"]), "volume", "b", ["market"])
     return _quantized(df.groupBy("market").agg(metrics.pearson("a", "b").alias("v")), ["v"])

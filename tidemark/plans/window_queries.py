@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.functions.blocks import carried, numbered, over_blocks
 from tidemark.functions.windows import SEG
+from tidemark.operators import ranks
 from tidemark.plans.registry import BARS, CLOCK, PREDS, clock_bars, out, preds, q, query, tick_bars
 
 _SEG = "partition by market, session_segment_id order by ts"
@@ -244,8 +245,19 @@ def win_cum_equity(spark, sf_dir):
     return running_equity(df, "pnl", 100_000.0).select(*out("market", "bar", equity=F.col("equity"), drawdown=F.col("drawdown")))
 
 
+@query("win_rank_pct_decile", f"with {BARS} select market, bar, 'd' || lpad(cast(cast(ceil(10.0 * row_number() over (order by volume, ts) / count(*) over ()) as int) as varchar), 2, '0') as decile from bars")
+def win_rank_decile_all(spark, sf_dir):
+    """Over the whole table, in range partitions; bars of equal volume in order of time."""
+    return ranks.with_decile(tick_bars(spark, sf_dir), "volume", "decile", "ts").select("market", "bar", "decile")
+
+
+@query("win_qcut", f"with {BARS}, e as (select quantile_cont(volume, 0.25) as e1, quantile_cont(volume, 0.5) as e2, quantile_cont(volume, 0.75) as e3 from bars) select market, bar, cast(case when volume <= e1 then 1 when volume <= e2 then 2 when volume <= e3 then 3 else 4 end as int) as bucket from bars, e")
+def win_qcut_all(spark, sf_dir):
+    return ranks.with_qcut(tick_bars(spark, sf_dir), "volume", 4, "bucket").select("market", "bar", "bucket")
+
+
 @query(
-    "win_rank_pct_decile",
+    "win_rank_decile_by_market",
     f"""with {BARS} select market, bar, 'd' || lpad(cast(cast(ceil(10.0 * row_number() over (partition by market order by volume, bar) / count(*) over (partition by market)) as int) as varchar), 2, '0') as decile from bars""",
 )
 def win_rank_decile(spark, sf_dir):
@@ -255,7 +267,7 @@ def win_rank_decile(spark, sf_dir):
 
 
 @query(
-    "win_qcut",
+    "win_qcut_by_market",
     f"""with {BARS}, e as (select market, quantile_cont(volume, 0.25) as e1, quantile_cont(volume, 0.5) as e2, quantile_cont(volume, 0.75) as e3 from bars group by 1)
     select market, bar, cast(case when volume <= e1 then 1 when volume <= e2 then 2 when volume <= e3 then 3 else 4 end as int) as bucket from bars join e using (market)""",
 )
