@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles
 from tidemark.sources.staging import stage
 
 CLASSES, WEIGHTS = (-1, 0, 1), ("w_short", "w_flat", "w_long")
@@ -24,7 +25,9 @@ KEPT = 8 << 20
 
 def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Exact medians, then mean and population deviation after filling; a column without values fills with 0, one without spread scales by 1."""
-    med = train.groupBy(*by).agg(*[F.coalesce(F.percentile(f, F.lit(0.5)), F.lit(0.0)).alias(f"{f}__med") for f in features])
+    # all columns and folds at once, from counted values in range partitions: no task holds a fold's values
+    found = quantiles(train, features, [0.5], by).groupBy(*by).agg(*[F.max(F.when(F.col("column") == f, F.col("q")[0])).alias(f"{f}__med") for f in features])
+    med = stage(train.select(*by).distinct().join(found, list(by), "left").fillna(0.0, [f"{f}__med" for f in features]), "medians")
     filled = train.join(med, list(by))
     x = {f: F.coalesce(F.col(f).cast("double"), F.col(f"{f}__med")) for f in features}
     std = lambda f: F.when(F.stddev_pop(x[f]) > 1e-12, F.stddev_pop(x[f])).otherwise(1.0)
