@@ -386,7 +386,7 @@ def test_alias_cycles(spark):
 def test_writes_are_checked_and_partitions_replaced(spark, tmp_path):
     df = spark.createDataFrame([("ES", 1), ("CL", 2)], "market string, v int")
     with pytest.raises(ValueError):
-        tables.write_checked(df, f"file://{tmp_path}/x", F.col("v") > 1)
+        tables.publish(df, f"file://{tmp_path}/x", F.col("v") > 1)
     tables.write_parquet(df, f"file://{tmp_path}/y")
     tables.write_parquet(spark.createDataFrame([("ES", 9)], "market string, v int"), f"file://{tmp_path}/y")
     assert {(r.market, r.v) for r in spark.read.parquet(f"file://{tmp_path}/y").collect()} == {("ES", 9), ("CL", 2)}

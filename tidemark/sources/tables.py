@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,12 +121,35 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ("market",)) ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_checked(df: DataFrame, path: str, bad_rows) -> None:
-    """Write only if no row breaks the rule."""
-    n = df.where(bad_rows).limit(1).count()
-    if n:
-        raise ValueError("rows break the contract; nothing was written")
-    df.write.mode("overwrite").parquet(path)
+def publish(df: DataFrame, path: str, bad_rows: Column | None = None) -> None:
+    """Replace the table at ``path`` as a whole, or leave it as it is.
+
+    Rows are written beside it, in a hidden folder of the same store, and checked as they were written; only then does the old table
+    step aside and the new one take its name, by two renames of the store. If the second fails, the old table gets its name back. A
+    name that begins with a dot is no part of any table to Spark, so what a lost driver leaves there is never read.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    new, old = (jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{kind}-{mark}") for kind in ("new", "old"))
+    try:
+        df.write.parquet(new.toString())
+        written = spark.read.schema(df.schema).parquet(new.toString())
+        if bad_rows is not None and not written.where(bad_rows).isEmpty():
+            raise ValueError("rows break the contract; nothing was published")
+        had = store.exists(place)
+        if had and not store.rename(place, old):
+            raise OSError(f"{path} cannot be moved aside")
+        if not store.rename(new, place):
+            if had:
+                store.rename(old, place)
+            raise OSError(f"{path} cannot be published")
+        if had:
+            store.delete(old, True)
+    finally:
+        store.delete(new, True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
