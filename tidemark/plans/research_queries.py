@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, ranks, screens, splits, validation, walkforward
+from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, ranks, screens, splits, tail, validation, walkforward
 from tidemark.plans.domain_queries import CAUSAL, FEATURES, LABELS, _feature_select, _numbers, FEATURE_SQL, base, feature_frame, labeled, minute_bars
 from tidemark.plans.registry import BARS, CLOCK, COSTS, PREDS, clock_bars, costs, out, preds, q, query, tick_bars
 from tidemark.sources.bars import events
@@ -1005,6 +1005,81 @@ def aud_tail(spark, sf_dir):
     return _quantized(g, ["net", "cvar95", "cvar99"])
 
 
+# the whole tail audit: a buffer of 5 dollars, and an escape for blocked trades with 50 more
+
+_GATES = tail.Gates(buffer=5.0, escape=True, escape_edge=50.0)
+_TAIL = f"""{POLICY},
+ta0 as (select pf.*, base * expected_return * entry_price * point_value as edge, cost_ticks * tick_value + 5 as hurdle, row_number() over (order by market, fold_id, ts) as place from pf),
+ta1 as (select *, coalesce(edge > hurdle, false) as clears, coalesce(p_fade >= 0.5, false) as fade_gate, coalesce(p_trend >= 0.5, true) as trend_gate,
+    case when p_trend is null then 'missing' else 'd' || lpad(cast(cast(ceil(10.0 * row_number() over (partition by p_trend is null order by p_trend, place) / count(p_trend) over ()) as int) as varchar), 2, '0') end as trend_danger_decile,
+    case when p_fade is null then 'missing' else 'd' || lpad(cast(cast(ceil(10.0 * row_number() over (partition by p_fade is null order by p_fade, place) / count(p_fade) over ()) as int) as varchar), 2, '0') end as fade_success_decile,
+    market || '|' || session_id as session, cast(hour(ts) as int) as hour from ta0),
+ta2 as (select *, case when fade_gate and clears then base else 0 end as free_position from ta1),
+ta3 as (select *, free_position <> 0 and trend_gate as blocked, free_position <> 0 and trend_gate and edge > hurdle + 50 as escaped from ta2),
+ta4 as (select *, case when not blocked or escaped then free_position else 0 end as overlay_position from ta3),
+sc as (select *, 'mr_tail_overlay' as scenario, overlay_position as pos from ta4 union all select *, 'no_trend_danger_block' as scenario, free_position as pos from ta4),
+sm as (select *, pos <> 0 as traded, pos * (exit_price - entry_price) * point_value as tgross, case when pos <> 0 then cost_ticks * tick_value else 0.0 end as tcost, case when pos <> 0 then 2 * slippage_ticks * tick_value else 0.0 end as tslip,
+    abs(pos - lag(pos, 1, 0) over (partition by scenario, market, fold_id order by ts)) as tturn from sc),
+tn as (select *, tgross - tcost as tnet, greatest(tcost - tslip, 0) as tcomm from sm)"""
+
+
+def _tail_sql(by: list[str], where: str = "true", tail_: str = "") -> str:
+    """Groups of ``tn``; a streak is the longest isle of losing trades, numbered by the count of the others."""
+    keys = ", ".join(by)
+    same = " and ".join(f"a.{k} is not distinct from b.{k}" for k in by)
+    return f"""with {_TAIL}, tw as (select * from tn where {where}),
+    te as (select {keys}, quantile_cont(tnet, 0.05) as e5, quantile_cont(tnet, 0.01) as e1 from tw where traded group by {keys}),
+    tc as (select {', '.join(f'a.{k}' for k in by)}, avg(tnet) filter (where tnet <= e5) as c5, avg(tnet) filter (where tnet <= e1) as c1 from tw a join te b on {same} where traded group by all),
+    ti as (select {keys}, cast(tnet < 0 as int) as lost, sum(cast(tnet >= 0 as int)) over (partition by {keys} order by place) as isle from tw where traded),
+    ts_ as (select {keys}, max(run) as streak from (select {keys}, isle, sum(lost) as run from ti group by {keys}, isle) group by {keys}),
+    ta as (select {keys}, count(*) as n_rows, count(*) filter (where base <> 0) as candidates, count(*) filter (where traded) as trade_count, count(*) filter (where blocked) as blocked, count(*) filter (where escaped) as escaped,
+        sum(tgross) as g, sum(tslip) as sl, sum(tcomm) as cm, sum(tcost) as co, sum(tnet) as ne, cast(sum(tturn) as double) as tu, sum(tturn) / count(*) as tr, sum(tcost) / nullif(count(*) filter (where traded), 0) as cp, avg(tnet) filter (where traded) as np from tw group by {keys})
+    select {', '.join(f'a.{k}' for k in by)}, n_rows, candidates, trade_count, blocked, escaped, {q('g')} as gross_sum, {q('sl')} as slippage_sum, {q('cm')} as commission_sum, {q('co')} as cost_sum, {q('ne')} as net_sum, {q('tu')} as turnover,
+        {q('tr')} as turnover_per_row, {q('cp')} as cost_per_trade, {q('np')} as net_per_trade, {q('b.c5')} as cvar_95, {q('b.c1')} as cvar_99, cast(coalesce(streak, 0) as bigint) as max_losing_streak
+    from ta a left join tc b on {same} left join ts_ c on {same.replace('b.', 'c.')} {tail_}"""
+
+
+_TAIL_FLOATS = ["gross_sum", "slippage_sum", "commission_sum", "cost_sum", "net_sum", "turnover", "turnover_per_row", "cost_per_trade", "net_per_trade", "cvar_95", "cvar_99"]
+
+
+def tail_frame(spark, sf_dir) -> DataFrame:
+    return stage(tail.overlay(policy.frame(preds(spark, sf_dir), costs(spark)), _GATES), "tail-frame")
+
+
+@query("aud_mr_tail_policies", _tail_sql(["scenario"]))
+def aud_tail_policies(spark, sf_dir):
+    """Both scenarios over the whole frame: what the trend gate changes."""
+    df = tail_frame(spark, sf_dir)
+    out_ = None
+    for name in tail.POSITIONS:
+        one = tail.summary(tail.scenario(df, name).withColumn("scenario", F.lit(name)), ["scenario"])
+        out_ = one if out_ is None else out_.unionByName(one)
+    return _quantized(out_, _TAIL_FLOATS)
+
+
+@query("aud_mr_tail_buckets", _tail_sql(["trend_danger_decile", "fade_success_decile", "market", "hour"], "scenario = 'mr_tail_overlay'"))
+def aud_tail_buckets(spark, sf_dir):
+    df = tail.scenario(tail.with_deciles(tail_frame(spark, sf_dir)), "mr_tail_overlay").withColumn("hour", F.hour("ts"))
+    return _quantized(tail.summary(df, ["trend_danger_decile", "fade_success_decile", "market", "hour"]), _TAIL_FLOATS)
+
+
+@query("aud_mr_tail_worst_sessions", _tail_sql(["session"], "scenario = 'mr_tail_overlay'", "order by ne, a.session limit 20"))
+def aud_tail_sessions(spark, sf_dir):
+    return _quantized(tail.worst_sessions(tail.scenario(tail_frame(spark, sf_dir), "mr_tail_overlay")), _TAIL_FLOATS)
+
+
+@query("aud_mr_tail_streaks", _tail_sql(["market"], "scenario = 'mr_tail_overlay'"))
+def aud_tail_streaks(spark, sf_dir):
+    return _quantized(tail.summary(tail.scenario(tail_frame(spark, sf_dir), "mr_tail_overlay"), ["market"]), _TAIL_FLOATS)
+
+
+@query("aud_mr_tail_blocked", _tail_sql(["trend_danger_decile", "fade_success_decile", "market", "hour"], "scenario = 'no_trend_danger_block' and blocked"))
+def aud_tail_blocked(spark, sf_dir):
+    """What the trend gate blocks would have earned."""
+    df = tail.scenario(tail.with_deciles(tail_frame(spark, sf_dir)), "no_trend_danger_block").where("blocked").withColumn("hour", F.hour("ts"))
+    return _quantized(tail.summary(df, ["trend_danger_decile", "fade_success_decile", "market", "hour"]), _TAIL_FLOATS)
+
+
 @query("aud_mae_mfe", f"with {POLICY}, m as (select market, bar, position, (low_ - entry_price) / tick_size as mae, (high_ - entry_price) / tick_size as mfe from (select pf.*, bars.low as low_, bars.high as high_ from pf join bars using (market, bar))) select market, count(*) as n, {q('avg(case when position > 0 then mae else -mfe end)')} as adverse, {q('avg(case when position > 0 then mfe else -mae end)')} as favourable from m where position <> 0 group by 1")
 def aud_mae(spark, sf_dir):
     b = tick_bars(spark, sf_dir).select("market", "bar", "low", "high")
