@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, ranks, screens, splits, tail, validation, walkforward
+from tidemark.operators import audits, backtest, features, joins, metrics, models, policy, ranks, replay, screens, splits, tail, validation, walkforward
 from tidemark.plans.domain_queries import CAUSAL, FEATURES, LABELS, _feature_select, _numbers, FEATURE_SQL, base, feature_frame, labeled, minute_bars
 from tidemark.plans.registry import BARS, CLOCK, COSTS, PREDS, clock_bars, costs, out, preds, q, query, tick_bars
 from tidemark.sources.bars import events
@@ -1005,6 +1005,40 @@ def aud_tail(spark, sf_dir):
     return _quantized(g, ["net", "cvar95", "cvar99"])
 
 
+def _replayed(spark, sf_dir) -> DataFrame:
+    """The five most extreme test rows of each fold, by feature."""
+    raw = stage(model_rows(spark, sf_dir).select("key", "market", "n", "bar", "role", *_XS, "y"), "replay-rows")
+    train = raw.where("role = 'train'")
+    # raw features stay beside the scaled ones
+    rows = stage(models.scaled(raw, models.scaling(train, _XS, ["key"]), _XS, ["key"]), "replay-scaled")
+    w = models.ridge(rows.where("role = 'train'"), len(_XS))
+    extreme = replay.outliers(models.predict(rows.where("role = 'test'"), w), 5)
+    return replay.contributions(extreme, w, replay.training_ranges(train, _XS), _XS)
+
+
+_REPLAY = f"""{_RIDGE}, ox_r as (select key, {', '.join(f'min({x}) as lo{i}, max({x}) as hi{i}' for i, x in enumerate(_XS, 1))} from xt where role = 'train' group by 1),
+ox_p as (select rz.*, w1, w2, w3, ym, ym + w1 * z1 + w2 * z2 + w3 * z3 as y_pred from rz join rw using (key) where role = 'test'),
+ox_n as (select *, row_number() over (partition by key order by abs(y_pred) desc, bar) as nth from ox_p),
+ox as (select ox_n.*, {', '.join(f'xt.x{i} as v{i}, lo{i}, hi{i}' for i in (1, 2, 3))}, abs(w1 * z1) + abs(w2 * z2) + abs(w3 * z3) as size from ox_n join ox_r using (key) join xt on xt.key = ox_n.key and xt.bar = ox_n.bar and xt.role = 'test' where nth <= 5)"""
+
+
+@query(
+    "aud_outlier_contributions",
+    f"with {_REPLAY} " + " union all ".join(f"select market, cast(n as int) as n, bar, cast(nth as int) as nth, 'x{i}' as feature, {q(f'v{i}')} as value, {q(f'z{i}')} as scaled, {q(f'w{i} * z{i} * 1000')} as added, {q(f'abs(w{i} * z{i}) / nullif(size, 0)')} as share, coalesce(v{i} < lo{i} or v{i} > hi{i}, false) as outside, {q('y_pred * 1000')} as y_pred from ox" for i in (1, 2, 3)),
+)
+def aud_contributions(spark, sf_dir):
+    return _replayed(spark, sf_dir).select("market", "n", "bar", "nth", "feature", *[S.quantize(c).alias(c) for c in ("value", "scaled", "share")], S.quantize(_c("added") * 1000).alias("added"), "outside", S.quantize(_c("y_pred") * 1000).alias("y_pred"))
+
+
+@query("aud_outlier_reconciliation", f"with {_REPLAY} select market, cast(n as int) as n, count(*) as n_rows, true as agree, cast(sum(cast(coalesce(v1 < lo1 or v1 > hi1, false) or coalesce(v2 < lo2 or v2 > hi2, false) or coalesce(v3 < lo3 or v3 > hi3, false) as int)) as bigint) as n_outside from ox group by 1, 2")
+def aud_reconciliation(spark, sf_dir):
+    """Whether contributions add up to the predictions, and how many extreme rows lie beyond the training range of any feature."""
+    parts = stage(_replayed(spark, sf_dir), "replay-parts")
+    whole = replay.reconciled(parts, by=("market", "n", "bar"))
+    beyond = parts.groupBy("market", "n", "bar").agg(F.max("outside").alias("outside"))
+    return whole.join(beyond, ["market", "n", "bar"]).groupBy("market", "n").agg(F.count("*").alias("n_rows"), F.min("agrees").alias("agree"), F.count_if("outside").alias("n_outside"))
+
+
 # the whole tail audit: a buffer of 5 dollars, and an escape for blocked trades with 50 more
 
 _GATES = tail.Gates(buffer=5.0, escape=True, escape_edge=50.0)
