@@ -695,7 +695,7 @@ def ml_imputer(spark, sf_dir):
     return s.select(*out("key", x1=_c("x1__med"), x2=_c("x2__med"), x3=_c("x3__med")))
 
 
-@query("ml_standard_scaler", f"with {_X}, m as (select key, quantile_cont(x2, 0.5) as m2 from xt where role = 'train' group by 1) select key, {q('avg(coalesce(x2, m2))')} as mean, {q('stddev_pop(coalesce(x2, m2))')} as std from xt join m using (key) where role = 'train' group by 1")
+@query("ml_standard_scaler", f"with {_X}, m as (select key, coalesce(quantile_cont(x2, 0.5), 0) as m2 from xt where role = 'train' group by 1) select key, {q('avg(coalesce(x2, m2))')} as mean, {q('case when stddev_pop(coalesce(x2, m2)) > 1e-12 then stddev_pop(coalesce(x2, m2)) else 1 end')} as std from xt join m using (key) where role = 'train' group by 1")
 def ml_scaler(spark, sf_dir):
     s = models.scaling(model_rows(spark, sf_dir).where("role = 'train'"), _XS, ["key"])
     return s.select(*out("key", mean=_c("x2__mean"), std=_c("x2__std")))
