@@ -1199,7 +1199,7 @@ def val_live(spark, sf_dir):
     return costs(spark).select("market", S.reasons((_c("market") == "RTY", "provisional_costs"), (_c("slippage_ticks") > 0.5, "wide_slippage")).alias("blocking"))
 
 
-@query("val_manifests", f"{_BP} select market, count(*) as predictions, count(*) filter (where p_fade is null) = 0 as complete from preds group by 1")
+@query("val_prediction_counts", f"{_BP} select market, count(*) as predictions, count(*) filter (where p_fade is null) = 0 as complete from preds group by 1")
 def val_manifests(spark, sf_dir):
     return preds(spark, sf_dir).groupBy("market").agg(F.count("*").alias("predictions"), (F.count_if(_c("p_fade").isNull()) == 0).alias("complete"))
 
@@ -1210,12 +1210,12 @@ _ROB = f"""{POLICY}, t as (select sum(net) as net, sum(gross - 1.5 * cost) as n1
 _ROBF = "concat_ws('|', case when net <= 0 then 'net' end, case when n15 <= 0 then 'net_15' end, case when n20 <= 0 then 'net_20' end, case when turn > 0.1 then 'turnover' end, case when coalesce(share, 1) > 0.5 then 'single_market_share' end, case when rate < 1 then 'fold_pass_rate' end)"
 
 
-@query("gov_robustness", f"with {_ROB} select {q('net')} as net, {q('n15')} as net_15, {q('n20')} as net_20, {q('turn')} as turnover, {q('rate')} as fold_pass_rate, {q('share')} as top_share, {_ROBF} as failed from r")
+@query("gov_robustness_frame", f"with {_ROB} select {q('net')} as net, {q('n15')} as net_15, {q('n20')} as net_20, {q('turn')} as turnover, {q('rate')} as fold_pass_rate, {q('share')} as top_share, {_ROBF} as failed from r")
 def gov_robustness(spark, sf_dir):
     return _quantized(validation.robustness(frame(spark, sf_dir)), ["net", "net_15", "net_20", "turnover", "fold_pass_rate", "top_share"])
 
 
-@query("gov_ledger", f"with {_ROB} select 'baseline' as experiment, {_ROBF} = '' as passed, {_ROBF} as failed, cast(2 as bigint) as records from r")
+@query("gov_ledger_frame", f"with {_ROB} select 'baseline' as experiment, {_ROBF} = '' as passed, {_ROBF} as failed, cast(2 as bigint) as records from r")
 def gov_ledger(spark, sf_dir):
     from tidemark.sources.staging import shared_path
     from tidemark.sources.tables import append_jsonl
@@ -1228,7 +1228,7 @@ def gov_ledger(spark, sf_dir):
     return back.groupBy("experiment", "passed", "failed").agg(F.count("*").alias("records"))
 
 
-@query("gov_anti_overfit", f"with {_ROB} select 'baseline' as experiment, {_ROBF} = '' as passed, {_ROBF} as failed from r")
+@query("gov_anti_overfit_frame", f"with {_ROB} select 'baseline' as experiment, {_ROBF} = '' as passed, {_ROBF} as failed from r")
 def gov_overfit(spark, sf_dir):
     return validation.ledger_record(validation.robustness(frame(spark, sf_dir)), "baseline").select("experiment", "passed", "failed")
 
