@@ -856,11 +856,11 @@ def _aud(name: str, keys: list[str], sql_keys: str | None = None, prepare=None,
         return _slice(spark, sf_dir, keys, prepare(df) if prepare else df)
 
 
-_aud("aud_policy_failure", ["market", "fold_id", "position", "reason"])
-_aud("aud_trade_drilldown", ["market", "side", "hour"], "market, side, cast(hour(ts) as int) as hour", lambda d: d.withColumn("hour", F.hour("ts")), "position <> 0")
-_aud("aud_signal_quality", ["market", "side", "confidence"], f"market, side, {_CONF} as confidence", audits.with_confidence, "position <> 0")
+_aud("aud_policy_slices", ["market", "fold_id", "position", "reason"])
+_aud("aud_trade_slices", ["market", "side", "hour"], "market, side, cast(hour(ts) as int) as hour", lambda d: d.withColumn("hour", F.hour("ts")), "position <> 0")
+_aud("aud_signal_slices", ["market", "side", "confidence"], f"market, side, {_CONF} as confidence", audits.with_confidence, "position <> 0")
 _aud("aud_long_failure", ["market", "fold_id", "confidence"], f"market, fold_id, {_CONF} as confidence", audits.with_confidence, "position > 0")
-_aud("aud_threshold_sanity", ["fold_id", "side"])
+_aud("aud_threshold_slices", ["fold_id", "side"])
 
 
 @query("aud_cost_counterfactuals", f"with {POLICY}, s(scenario, a, b) as (values " + ", ".join(f"('{n}', {a}::double, {b}::double)" for n, a, b in audits.COST_SCENARIOS) + f") select market, scenario, {q('sum(gross - a * commission - b * slip)')} as net from pf, s group by 1, 2")
