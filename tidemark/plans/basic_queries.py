@@ -177,7 +177,10 @@ def snk_markdown(spark, sf_dir):
 
 @query("snk_sha256")
 def snk_sha256(spark, sf_dir):
-    return tables.file_hashes(spark, sf_dir, "region.parquet")
+    """Every file of the folder, and one that is not there."""
+    hashes = tables.file_hashes(spark, sf_dir, "*.parquet")
+    names = hashes.select(F.concat(tables.file_stem(), F.lit(".parquet")).alias("name")).unionByName(spark.createDataFrame([("absent.parquet",)], "name string"))
+    return tables.hash_map(names, hashes)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import features, labels, policy
-from tidemark.plans import audit_queries, basic_queries, domain_queries, evidence_queries, research_queries, streaming_queries, window_queries  # noqa: F401  each registers its queries
+from tidemark.plans import audit_queries, basic_queries, coverage_queries, domain_queries, evidence_queries, research_queries, streaming_queries, window_queries  # noqa: F401  each registers its queries
 from tidemark.plans.registry import ORACLE, QUERIES, costs, preds
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -1125,7 +1125,7 @@ def aud_mae(spark, sf_dir):
 # validation and gates
 
 
-@query("val_raw_gaps", f"with {CAUSAL} select market, case when not inside then 'outside' when since_ < 120 then 'open' when until_ <= 120 then 'close' else 'middle' end as bucket, count(*) as n, count(distinct gap_id) as gaps from cv where synth group by 1, 2")
+@query("val_raw_gap_buckets", f"with {CAUSAL} select market, case when not inside then 'outside' when since_ < 120 then 'open' when until_ <= 120 then 'close' else 'middle' end as bucket, count(*) as n, count(distinct gap_id) as gaps from cv where synth group by 1, 2")
 def val_gaps(spark, sf_dir):
     return validation.gap_buckets(base(spark, sf_dir))
 
@@ -1155,7 +1155,7 @@ def val_cost(spark, sf_dir):
     return g.groupBy("market").agg(F.count("*").alias("requests"), F.sum(S.minutes_between("last_ts", "first_ts") + 1).cast("long").alias("minutes"))
 
 
-@query("val_coverage", f"with {CLOCK}, e as (select m as market, d::date as day from (values ('ES'), ('CL'), ('XX')) a(m), (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-05', interval 1 day)) as d)), f as (select distinct market, cast(ts as date) as day from clock_bars where ts < timestamp '2024-01-04' and market in ('ES', 'CL', 'ZN')) select coalesce(e.market, f.market) as market, coalesce(e.day, f.day) as day, case when e.market is null then 'extra' when f.market is not null then 'present' when e.market = 'XX' then 'unavailable' else 'missing' end as status from e full join f on e.market = f.market and e.day = f.day")
+@query("val_coverage_days", f"with {CLOCK}, e as (select m as market, d::date as day from (values ('ES'), ('CL'), ('XX')) a(m), (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-05', interval 1 day)) as d)), f as (select distinct market, cast(ts as date) as day from clock_bars where ts < timestamp '2024-01-04' and market in ('ES', 'CL', 'ZN')) select coalesce(e.market, f.market) as market, coalesce(e.day, f.day) as day, case when e.market is null then 'extra' when f.market is not null then 'present' when e.market = 'XX' then 'unavailable' else 'missing' end as status from e full join f on e.market = f.market and e.day = f.day")
 def val_coverage(spark, sf_dir):
     days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-05')) as day")
     e = joins.full_key_grid(spark.createDataFrame([("ES",), ("CL",), ("XX",)], "market string"), days)

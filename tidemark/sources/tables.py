@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,10 +170,46 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
-def file_hashes(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """(stem, sha256, bytes) of each file."""
+#: Files up to this size are hashed as a row; larger ones in pieces.
+WHOLE, PIECE = 1 << 28, 1 << 23
+
+
+def _hash_in_pieces(batches):
+    """Digests of files too large for a row, read through Arrow's file systems, ``PIECE`` bytes at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch["path"]:
+            store, name = fs.FileSystem.from_uri(path)
+            digest, n = hashlib.sha256(), 0
+            with store.open_input_stream(name) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+                    n += len(piece)
+            yield pd.DataFrame({"path": [path], "sha256": [digest.hexdigest()], "bytes": [n]})
+
+
+def file_hashes(spark: SparkSession, root: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(path, sha256, bytes) of each file of a folder, of any size.
+
+    The size decides on the way, and is pushed to the scan, so neither reads the files of the other. What is larger than ``whole`` must
+    be on a store that Arrow opens; a task holds one piece of it. Files without bytes are no rows of a scan and have none here.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1).alias("stem"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    large = files.where(F.col("length") > whole).select("path").repartition("path")
+    return small.unionByName(large.mapInPandas(_hash_in_pieces, "path string, sha256 string, bytes long"))
+
+
+def file_stem(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"([^/]+)\.[a-z]+$", 1)
+
+
+def hash_map(expected: DataFrame, hashes: DataFrame, name: str = "name") -> DataFrame:
+    """Each expected file with its hash, or ``MISSING`` if it is absent or has no bytes; ``name`` is how a path ends."""
+    found = hashes.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_name"), "sha256", "bytes")
+    out = expected.join(found, F.col(name) == F.col("_name"), "left").drop("_name")
+    return out.withColumn("sha256", F.coalesce("sha256", F.lit("MISSING")))
 
 
 def canonical_sha256(value: object) -> str:
