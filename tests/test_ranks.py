@@ -1,5 +1,6 @@
 """Whole-table ranks and quantiles against numpy, with ties, heavy values, nulls and empty tables."""
 
+import os
 import random
 
 import numpy as np
@@ -65,3 +66,33 @@ def test_empty_tables(df):
     none = df.limit(0)
     assert ranks.ordered(none, "x", "id").count() == ranks.with_decile(none, "x", "d", "id").count() == ranks.with_qcut(none, "x", 4, "b").count() == 0
     assert ranks.quantiles(none, ["x"], [0.5], ["g"]).count() == 0 and tuple(ranks.spearman(none, "x", "z").first()) == (0, None)
+
+
+def _rows_in_any_order(spark, monkeypatch):
+    """Cuts that are other ones at each evaluation, as estimates that arrive in another order are; 20,000 values, ties among them."""
+    some = F.udf(lambda _: sorted(b / 0.4 for b in set(os.urandom(40))), "array<double>")
+    monkeypatch.setattr(ranks, "_cuts", lambda x: some(F.min(x)))
+    return spark.range(0, 20_000, 1, 4).select("id", F.lit("A").alias("g"), (F.pmod(F.col("id") * 7919, F.lit(5003)) / 10).alias("x"), F.pmod(F.col("id") * 31, F.lit(977)).cast("double").alias("z"))
+
+
+def test_results_do_not_depend_on_the_cuts(spark, monkeypatch):
+    df = _rows_in_any_order(spark, monkeypatch)
+    monkeypatch.setattr(ranks, "SMALL", 0, raising=False)
+    xs = [i * 7919 % 5003 / 10 for i in range(20_000)]
+    zs = [float(i * 31 % 977) for i in range(20_000)]
+    got = {r.column: r.q for r in ranks.quantiles(df, ["x", "z"], [0.05, 0.5, 0.95], ["g"]).collect()}
+    for name, v in (("x", xs), ("z", zs)):
+        assert got[name] == pytest.approx(np.quantile(v, [0.05, 0.5, 0.95]), abs=1e-9)
+    rank = lambda v: np.array([np.searchsorted(np.sort(v), a, "left") + np.searchsorted(np.sort(v), a, "right") + 1 for a in v]) / 2
+    assert ranks.spearman(df, "x", "z").first().rho == pytest.approx(np.corrcoef(rank(np.array(xs)), rank(np.array(zs)))[0, 1], abs=1e-9)
+    order = sorted(range(20_000), key=lambda i: (xs[i], i))
+    assert {r.id: r._rn for r in ranks.ordered(df, "x", "id").collect()} == {i: n for n, i in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_quantiles_of_small_and_of_large_groups_are_the_same(df, rows, monkeypatch, small):
+    monkeypatch.setattr(ranks, "SMALL", small, raising=False)
+    got = {(r.g, r.column): r.q for r in ranks.quantiles(df, ["x", "z"], [0.0, 0.3, 0.5, 1.0], ["g"]).collect()}
+    for g in "AB":
+        for i, name in ((2, "x"), (3, "z")):
+            assert got[g, name] == pytest.approx(np.quantile([r[i] for r in rows if r[1] == g and r[i] is not None], [0.0, 0.3, 0.5, 1.0]), abs=1e-12)

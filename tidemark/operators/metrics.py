@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import c, default
 from tidemark.operators.ranks import quantiles
+from tidemark.sources.staging import stage
 
 
 def sharpe_like(x: Column | str) -> Column:
@@ -35,6 +36,7 @@ def with_streak(df: DataFrame, x: str, by: Sequence[str], order: Sequence[str],
 
 def cvar(df: DataFrame, x: str, by: Sequence[str], level: float, name: str = "cvar") -> DataFrame:
     """Mean of the values at or below the (1 - level) quantile, which is exact whatever the size of a group."""
+    df = stage(df.select(*by, x), "cvar")
     edge = quantiles(df, [x], [1 - level], by).select(*by, F.col("q")[0].alias("_edge"))
     return df.join(edge, list(by)).where(F.col(x) <= F.col("_edge")).groupBy(*by).agg(F.avg(x).alias(name))
 

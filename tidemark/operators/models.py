@@ -25,7 +25,7 @@ KEPT = 8 << 20
 
 def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Exact medians, then mean and population deviation after filling; a column without values fills with 0, one without spread scales by 1."""
-    # all columns and folds at once, from counted values in range partitions: no task holds a fold's values
+    # all columns and folds at once: no task holds the values of a fold that is not small
     found = quantiles(train, features, [0.5], by).groupBy(*by).agg(*[F.max(F.when(F.col("column") == f, F.col("q")[0])).alias(f"{f}__med") for f in features])
     med = stage(train.select(*by).distinct().join(found, list(by), "left").fillna(0.0, [f"{f}__med" for f in features]), "medians")
     filled = train.join(med, list(by))

@@ -4,19 +4,26 @@ A column's order is cut at approximate quantiles (an array of bounded size); eac
 the ranges before are added (``blocks.carried``), so results are exact and no task holds more than a range. A value that fills
 ranges by itself is one of the cuts: it gets a range of its own, which is cut once more by the column that breaks ties.
 Values are counted before they are ordered where only values matter, so any number of equal ones is one row.
+
+Cuts depend on the order in which partial estimates arrive, so another evaluation may give other cuts: what is cut is written
+once before it is read twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.blocks import carried, numbered
+from tidemark.sources.staging import stage
 
 #: Ranges of an order, and how finely their cuts are estimated.
 RANGES, ACCURACY = 64, 2000
+#: Values of a group, over all columns, that a task may hold to find quantiles.
+SMALL = 1 << 16
 
 
 def _cuts(x: Column) -> Column:
@@ -36,7 +43,7 @@ def ranged(df: DataFrame, x: str, tie: str) -> DataFrame:
     cuts = df.agg(_cuts(F.col(x)).alias("_cx"), _cuts(as_number).alias("_ct"))
     own = _range(F.col(x), F.col("_cx"))
     bucket = own * (2 * RANGES + 1) + F.when(own % 2 == 1, _range(as_number, F.col("_ct"))).otherwise(0)
-    return df.join(F.broadcast(cuts), F.lit(True)).withColumn("_range", bucket).drop("_cx", "_ct")
+    return stage(df.join(F.broadcast(cuts), F.lit(True)).withColumn("_range", bucket).drop("_cx", "_ct"), "ranged")
 
 
 def ordered(df: DataFrame, x: str, tie: str, name: str = "_rn") -> DataFrame:
@@ -54,35 +61,61 @@ def with_decile(df: DataFrame, x: str, name: str, tie: str) -> DataFrame:
     return known.unionByName(df.where(F.col(x).isNull()).withColumn(name, F.lit("missing")))
 
 
+def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in columns]))).where(F.col("_x").isNotNull())
+
+
 def _counted(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by, _column, _x, _n, _upto, _total): each distinct value of each column with its rows, those up to it, and all."""
-    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_x")) for c in columns]))).where(F.col("_x").isNotNull())
+    """(by, _column, _x, _n, _upto): each distinct value of each column with its rows and those up to it."""
     keys = [*by, "_column"]
-    counts = long.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
-    edges = counts.groupBy(*keys).agg(_cuts(F.col("_x")).alias("_cuts"), F.sum("_n").alias("_total"))
+    counts = stage(_long(df, columns, by).groupBy(*keys, "_x").agg(F.count("*").alias("_n")), "counted")
+    edges = stage(counts.groupBy(*keys).agg(_cuts(F.col("_x")).alias("_cuts")), "cuts")
     rows = counts.join(edges, keys).withColumn("_range", _range(F.col("_x"), F.col("_cuts"))).drop("_cuts")
     return carried(rows, {"_upto": ("sum", F.col("_n"))}, keys, ("_x",), F.col("_range")).drop("_range")
 
 
+def _quantiles_of_small(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    found = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), at).alias(f"_q{i}") for i, c in enumerate(columns)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)])
+    return found.select(*by, F.inline(each)).where(F.col("q").isNotNull())
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, column, q): exact quantiles of each column, an array in the order of ``probs``, interpolated as ``percentile`` does.
 
-    Columns without a value in a group have no row. The columns of ``by`` hold no nulls.
+    Columns without a value in a group have no row. The columns of ``by`` hold no nulls. Groups of at most ``SMALL`` values go to a task
+    each. If one is larger, rows are counted by range, and only the values of the ranges that hold a quantile are shuffled and ordered.
+    ``df`` is read up to four times: what is costly should be staged.
     """
-    picks = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_x"))).alias(f"_{side}{i}"))
+    # one number: the rows of the largest group
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) * len(columns) <= SMALL:
+        return _quantiles_of_small(df, columns, probs, by)
     keys = [*by, "_column"]
-    found = _counted(df, columns, by).groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    share = lambda p: F.lit(float(p)) * (F.col("_total") - 1) - F.floor(F.lit(float(p)) * (F.col("_total") - 1))
-    q = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((1 - share(p)) * F.col(f"_lo{i}") + share(p) * F.col(f"_hi{i}")) for i, p in enumerate(probs)]
+    long = _long(df, columns, by)
+    edges = stage(long.groupBy(*keys).agg(_cuts(F.col("_x")).alias("_cuts")), "cuts")
+    rows = long.join(edges, keys).withColumn("_range", _range(F.col("_x"), F.col("_cuts"))).drop("_cuts")
+    all_, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumns({"_before": F.sum("_size").over(so_far) - F.col("_size"), "_total": F.sum("_size").over(all_)})
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    places = {f"_{side}{i}": k for i, x in enumerate(at) for side, k in (("lo", F.floor(x)), ("hi", F.ceil(x)))}
+    inside = [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_size")) for k in places.values()]
+    wanted = sizes.where(reduce(lambda a, b: a | b, inside)).drop("_size")
+    values = rows.join(wanted, [*keys, "_range"]).groupBy(*keys, "_range", "_x").agg(F.count("*").alias("_n"), F.first("_before").alias("_before"), F.first("_total").alias("_total"))
+    run = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(run))
+    picks = [F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_x"))).alias(name) for name, k in places.items()]
+    found = values.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    share = lambda x: x - F.floor(x)
+    q = [F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise((1 - share(x)) * F.col(f"_lo{i}") + share(x) * F.col(f"_hi{i}")) for i, x in enumerate(at)]
     return found.select(*by, F.col("_column").alias("column"), F.array(*q).alias("q"))
 
 
 def with_qcut(df: DataFrame, x: str, parts: int, name: str) -> DataFrame:
     """Right-closed quantile buckets of the whole table, from 1; equal edges fall together."""
+    df = stage(df, "qcut")
     edges = quantiles(df, [x], [i / parts for i in range(1, parts)]).select(F.col("q").alias("_edges"))
     # one row of parts - 1 numbers, or none
     rows = df.join(F.broadcast(edges), F.lit(True), "left")
