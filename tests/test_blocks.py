@@ -84,3 +84,9 @@ def test_no_plan_orders_the_bars_of_a_whole_market(spark, sf_dir):
     for name, df in plans.items():
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in re.findall(r"windowspecdefinition\(market#\d+, (\w+)#\d+\w* ASC", text) if x not in ("_bucket", "_day")], name
+
+
+def test_no_frame_runs_to_the_end_of_its_partition_row_by_row(frame):
+    """Such a frame is gone through anew for each row, so a day's work would grow with its square."""
+    plan = carried(frame, {"c": ("last", F.col("x")), "d": ("next", F.col("x"))})._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import causal, features, labels
 from tidemark.plans.registry import BARS, CLOCK, COSTS, clock_bars, costs, out, q, query, tick_bars
+from tidemark.sources.staging import stage
 
 # the causal base over hourly bars
 
@@ -118,7 +119,7 @@ def cb_precedence(spark, sf_dir):
 
 def minute_bars(spark, sf_dir) -> DataFrame:
     """Tick bars as minutes of one calendar, with session fields and market terms."""
-    b = tick_bars(spark, sf_dir)
+    b = stage(tick_bars(spark, sf_dir), "minute-bars")  # blocks and joins by time read them again
     bar = _c("bar")
     ts = F.timestamp_add("MINUTE", bar, F.lit("2024-01-01").cast("timestamp_ntz"))
     b = b.withColumns(

@@ -10,6 +10,7 @@ from tidemark.functions.blocks import carried, numbered, over_blocks
 from tidemark.functions.windows import SEG
 from tidemark.operators import ranks
 from tidemark.plans.registry import BARS, CLOCK, PREDS, clock_bars, out, preds, q, query, tick_bars
+from tidemark.sources.staging import stage
 
 _SEG = "partition by market, session_segment_id order by ts"
 _MKT = "partition by market order by ts"
@@ -209,7 +210,9 @@ def win_first_hit(spark, sf_dir):
            cast(min(case when roll_boundary_flag then rn end) over ({_MKT} rows between current row and unbounded following) - rn as bigint) as until from r""",
 )
 def win_roll_distance(spark, sf_dir):
-    df = numbered(tick_bars(spark, sf_dir), name="rn")
+    # each step reads its rows twice
+    bars = stage(tick_bars(spark, sf_dir).select("market", "bar", "ts", "roll_boundary_flag"), "roll-bars")
+    df = stage(numbered(bars, name="rn"), "roll-places")
     at = F.when(F.col("roll_boundary_flag"), F.col("rn"))
     df = carried(df, {"before": ("last", at), "behind": ("next", at)})
     return df.select("market", "bar", (F.col("rn") - F.col("before")).alias("since"), (F.col("behind") - F.col("rn")).alias("until"))
