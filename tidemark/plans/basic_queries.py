@@ -49,7 +49,7 @@ def src_count(spark, sf_dir):
 
 @query("src_discover", "select unnest([" + ", ".join(f"'{n}'" for n in _TABLES) + "]) as stem")
 def src_discover(spark, sf_dir):
-    return tables.list_files(spark, sf_dir).select("stem")
+    return tables.list_files(spark, sf_dir).select("stem").distinct()
 
 
 @query("src_profile_inputs", "select m as market, cast(y as int) as year from (values ('ES'), ('CL'), ('ZN'), ('6E')) a(m), (values (2023), (2024)) b(y)")

@@ -29,9 +29,10 @@ def schema_frame(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """(path, stem) of files under a folder; contents stay unread."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path", "length")
-    return files.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1))
+    """(path, stem) of files under a folder; contents stay unread. Files of a table that is a folder itself have the folder's stem."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length")
+    table = F.nullif(F.regexp_extract("path", r"([^/]+)\.([a-z]+)/[^/]+\.\2$", 1), F.lit(""))
+    return files.withColumn("stem", F.coalesce(table, F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)))
 
 
 def market_years(listing: DataFrame) -> DataFrame:
