@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import stage
+
 
 def correlations(df: DataFrame, columns: Sequence[str], least: float | None = None) -> DataFrame:
     """Pearson correlation of every pair (feature_a before feature_b in ``columns``) over the rows where both have values.
@@ -17,6 +19,8 @@ def correlations(df: DataFrame, columns: Sequence[str], least: float | None = No
     cell. NULL where a pair has under two rows or a side is constant among them; ``least`` keeps pairs at or above it in size.
     """
     d = len(columns)
+    # read twice, and costly to make
+    df = stage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "screened")
     means = df.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     centre = np.array([means[f"m{i}"] for i in range(d)])
 
@@ -64,7 +68,7 @@ def feature_shift(df: DataFrame, columns: Sequence[str], far: float = 5.0) -> Da
 
     z is by the mean and population deviation of all rows; without a deviation, shift and rates are NULL.
     """
-    rows = _long(df, ["traded"], columns)
+    rows = _long(stage(df.select("traded", *columns), "shifted"), ["traded"], columns)  # read twice
     t = F.when(F.col("traded"), F.col("x"))
     missing = F.col("x").isNull().cast("int")
     g = rows.groupBy("feature").agg(
