@@ -8,7 +8,7 @@ of folds come to the driver, and no fold's rows meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +23,33 @@ CLASSES, WEIGHTS = (-1, 0, 1), ("w_short", "w_flat", "w_long")
 KEPT = 8 << 20
 
 
-def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Exact medians, then mean and population deviation after filling; a column without values fills with 0, one without spread scales by 1."""
+def scaling(train: DataFrame, features: Sequence[str], by: Sequence[str], of: Mapping[str, Column] | None = None) -> DataFrame:
+    """Exact medians, then mean and population deviation after filling; a column without values fills with 0, one without spread scales by 1.
+
+    ``of`` says of a column which rows are its own; by default all are.
+    """
     # all columns and folds at once: no task holds the values of a fold that is not small
-    found = quantiles(train, features, [0.5], by).groupBy(*by).agg(*[F.max(F.when(F.col("column") == f, F.col("q")[0])).alias(f"{f}__med") for f in features])
+    own = of or {}
+    mine = lambda f, x: F.when(own[f], x) if f in own else x
+    values = train.withColumns({f: mine(f, F.col(f).cast("double")) for f in features}) if own else train
+    found = quantiles(values, features, [0.5], by).groupBy(*by).agg(*[F.max(F.when(F.col("column") == f, F.col("q")[0])).alias(f"{f}__med") for f in features])
     med = stage(train.select(*by).distinct().join(found, list(by), "left").fillna(0.0, [f"{f}__med" for f in features]), "medians")
     filled = train.join(med, list(by))
-    x = {f: F.coalesce(F.col(f).cast("double"), F.col(f"{f}__med")) for f in features}
+    x = {f: mine(f, F.coalesce(F.col(f).cast("double"), F.col(f"{f}__med"))) for f in features}
     std = lambda f: F.when(F.stddev_pop(x[f]) > 1e-12, F.stddev_pop(x[f])).otherwise(1.0)
     stats = filled.groupBy(*by).agg(*[F.avg(x[f]).alias(f"{f}__mean") for f in features], *[std(f).alias(f"{f}__std") for f in features])
     return med.join(stats, list(by))
 
 
+def scaled_array(features: Mapping[str, str]) -> Column:
+    """Filled and scaled features as an array; ``features`` names the column of each by the name its statistics go under."""
+    return F.array(*[(F.coalesce(F.col(x).cast("double"), F.col(f"{f}__med")) - F.col(f"{f}__mean")) / F.col(f"{f}__std") for f, x in features.items()])
+
+
 def scaled(rows: DataFrame, stats: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """``rows`` with x: the filled and scaled features as an array."""
-    one = lambda f: (F.coalesce(F.col(f).cast("double"), F.col(f"{f}__med")) - F.col(f"{f}__mean")) / F.col(f"{f}__std")
     drop = [f"{f}__{k}" for f in features for k in ("med", "mean", "std")]
-    return rows.join(stats, list(by)).withColumn("x", F.array(*[one(f) for f in features])).drop(*drop)
+    return rows.join(stats, list(by)).withColumn("x", scaled_array({f: f for f in features})).drop(*drop)
 
 
 def _sums(rows: DataFrame, part) -> DataFrame:
@@ -72,7 +82,8 @@ def _sums(rows: DataFrame, part) -> DataFrame:
         yield from given()
 
     known = [F.col("w")] if "w" in rows.columns else []
-    parts = rows.select("key", "x", F.col("y").cast("double").alias("y"), *known).mapInArrow(run, "key string, s array<double>")
+    # by fold only: arrays are a quarter of their cells by position, and what a fold's sums go to next needs no other exchange
+    parts = rows.select("key", "x", F.col("y").cast("double").alias("y"), *known).mapInArrow(run, "key string, s array<double>").repartition("key")
     return parts.select("key", F.posexplode("s").alias("pos", "v")).groupBy("key", "pos").agg(F.sum("v").alias("v"))
 
 

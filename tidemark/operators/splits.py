@@ -70,13 +70,18 @@ def fold_starts(rows: DataFrame, w: Windows) -> DataFrame:
 
 
 def assign(rows: DataFrame, w: Windows) -> DataFrame:
-    """Rows by fold and role: train, purged or test. Folds are cut into days, so the join is on equality."""
+    """Rows by fold and role: train, purged or test. Folds are cut into days, so the join is on equality.
+
+    The last row before a test is found from the rows' numbers alone, so whole rows are shuffled before they are copied into folds.
+    """
     rows = numbered(rows).withColumn("_day", F.to_date("ts"))
-    folds = fold_starts(rows, w).withColumn("_day", F.explode(F.sequence(F.to_date("train_start"), F.to_date("test_end"))))
-    both = rows.join(folds, ["market", "_day"]).where((F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end")))
-    before = F.max(F.when(F.col("ts") < F.col("test_start"), F.col("_rn"))).over(Window.partitionBy("market", "n"))
-    role = F.when(F.col("ts") >= F.col("test_start"), "test").when(F.col("_rn") > before - w.purge_rows, "purged").otherwise("train")
-    return both.withColumn("role", role).drop("_rn", "_day")
+    folds = fold_starts(rows, w)
+    by_day = lambda df: df.withColumn("_day", F.explode(F.sequence(F.to_date("train_start"), F.to_date("test_end"))))
+    trained = (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_start"))
+    last = rows.select("market", "_day", "ts", "_rn").join(by_day(folds), ["market", "_day"]).where(trained).groupBy("market", "n").agg(F.max("_rn").alias("_before"))
+    both = rows.join(by_day(folds.join(last, ["market", "n"], "left")), ["market", "_day"]).where((F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end")))
+    role = F.when(F.col("ts") >= F.col("test_start"), "test").when(F.col("_rn") > F.col("_before") - w.purge_rows, "purged").otherwise("train")
+    return both.withColumn("role", role).drop("_rn", "_day", "_before")
 
 
 def plan(rows: DataFrame, w: Windows) -> DataFrame:
