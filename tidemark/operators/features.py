@@ -2,6 +2,9 @@
 
 Built in layers of columns, each of windows over the layer before, all over one partitioning and order, so the plan has one exchange
 and one sort for the feature block. Prices are gated first: an invalid bar has none. At the end invalid bars get NULL, or false for flags.
+
+A sliding frame costs a row its whole width, so only means and deviations slide. Whether n rows are there is the length of the streak
+so far, counts of flags are differences of running ones (whole numbers, so exact), and extremes of long frames are those of short ones.
 """
 
 from __future__ import annotations
@@ -44,12 +47,14 @@ def input_valid() -> Column:
 def add_base(df: DataFrame) -> DataFrame:
     """The twelve families of one market's own bars; needs session fields, tick_size and the causal flags."""
     c, V = F.col, "feature_input_valid"
-    full, mask = SEG.full, lambda n: SEG.mask(V, n)
-    df = df.withColumn(V, input_valid())
+    df = df.withColumns({V: input_valid(), "_rn": F.row_number().over(SEG.spec)})
     gate = lambda x: F.when(c(V), c(x).cast("double"))
-    df = df.withColumns({"_o": gate("open"), "_h": gate("high"), "_l": gate("low"), "_c": gate("close"), "_v": gate("volume")})
+    df = df.withColumns({"_o": gate("open"), "_h": gate("high"), "_l": gate("low"), "_c": gate("close"), "_v": gate("volume"), "_nv": SEG.streak(F.when(c(V), 1))})
+    mask = lambda n: c("_nv") >= n
+    full = lambda x, n, agg: F.when(SEG.streak(x) >= n, agg(c(x)).over(SEG.back(n)))
+    ret_over = lambda k: F.when(mask(k + 1), c("close") / SEG.lag("close", k) - 1)
     tick, valid = c("tick_size"), c(V)
-    df = df.withColumns({"_pc": SEG.lag("_c"), "_ph": SEG.lag("_h"), "_pl": SEG.lag("_l"), **{f"_c{k}": SEG.lag("_c", k) for k in (15, 30, 60)}, **{f"_r{k}": SEG.ret_over("close", V, k) for k in (1, 5, 10, 15, 20, 30, 60)}})
+    df = df.withColumns({"_pc": SEG.lag("_c"), "_ph": SEG.lag("_h"), "_pl": SEG.lag("_l"), **{f"_c{k}": SEG.lag("_c", k) for k in (15, 30, 60)}, **{f"_r{k}": ret_over(k) for k in (1, 5, 10, 15, 20, 30, 60)}})
     df = df.withColumns({"_tr": W.true_range("_pc", "_h", "_l"), "_dir": F.when(valid, F.signum(c("_c") - c("_pc"))), "_step": F.when(valid, F.abs(c("_c") - c("_pc")))})
     union = F.greatest("_h", "_ph") - F.least("_l", "_pl")
     df = df.withColumns(
@@ -60,17 +65,19 @@ def add_base(df: DataFrame) -> DataFrame:
             "_so": SEG.first("_o"), "_sh": SEG.running("_h", F.max), "_sl": SEG.running("_l", F.min),
             "_pv": SEG.running(c("_c") * c("_v"), F.sum), "_cv": SEG.running("_v", F.sum),
             "_trm": full("_tr", 60, F.avg), "_trs": full("_tr", 60, F.stddev_pop), "_vm": full("_v", 60, F.avg), "_vs": full("_v", 60, F.stddev_pop),
-            "_hi20": full("_h", 20, F.max), "_lo20": full("_l", 20, F.min), "_m20": mask(20),
+            "_hx": F.max("_h").over(SEG.back(20)), "_lx": F.min("_l").over(SEG.back(20)), "_m20": mask(20),
             "_rv15": full("_r1", 15, F.stddev_pop), "_rv60": full("_r1", 60, F.stddev_pop),
             "_trsum": full("_tr", 30, F.sum), "_vsum": full("_v", 30, F.sum),
-            "_r30r": F.when(mask(30), full("_h", 30, F.max) - full("_l", 30, F.min)), "_r60r": F.when(mask(60), full("_h", 60, F.max) - full("_l", 60, F.min)),
-            "_r120r": full("_h", 120, F.max) - full("_l", 120, F.min),
             **{f"_er{k}": safe_div(F.abs(c("_c") - c(f"_c{k}")), full("_step", k, F.sum)) for k in (15, 30, 60)},
             "_m60": mask(60), "_m120": mask(120),
             "_vz20": safe_div(c("_v") - full("_v", 20, F.avg), full("_v", 20, F.stddev_pop)),
         }
     )
     yes = lambda x: default(x, False)
+    # extremes of 20 bars that end at earlier ones cover a longer frame
+    highs, lows = (lambda *ks: F.greatest("_hx", *[SEG.lag("_hx", k) for k in ks])), (lambda *ks: F.least("_lx", *[SEG.lag("_lx", k) for k in ks]))
+    span_of = {30: (10,), 60: (20, 40), 120: (20, 40, 60, 80, 100)}
+    df = df.withColumns({"_hi20": F.when(mask(20), c("_hx")), "_lo20": F.when(mask(20), c("_lx")), **{f"_r{n}r": F.when(mask(n), highs(*ks) - lows(*ks)) for n, ks in span_of.items()}})
     df = df.withColumns(
         {
             "_same": F.when(c("_pdir").isNotNull(), yes(c("_dir") == c("_pdir")).cast("double")),
@@ -98,6 +105,8 @@ def add_base(df: DataFrame) -> DataFrame:
     for name, flag in (("_bs", c("_shock")), ("_bsc", c("_climax")), ("_bsu", c("_shock") & (c("_sdir") > 0)), ("_bsd", c("_shock") & (c("_sdir") < 0))):
         df = W.with_bars_since(df, flag, V, name)
     df = W.with_shock_state(df, "_shock", V, "_pc", "_tr")
+    marks = ("_same", "_inside", "_large", "_above", "_below", "_amid", "_bmid")  # of 0 and 1
+    df = df.withColumns({f"{x}_sum": F.sum(F.when(valid, c(x))).over(SEG.run) for x in marks} | {f"{x}_known": SEG.streak(F.when(valid, c(x))) for x in marks})
     above = yes(c("_h") > c("_ph20")) & c("_ready20") & valid
     below = yes(c("_l") < c("_pl20")) & c("_ready20") & valid
     span = c("_h") - c("_l")
@@ -111,7 +120,7 @@ def add_base(df: DataFrame) -> DataFrame:
     effort, per_range = safe_div(progress, "_trsum"), safe_div("_vsum", "_trsum")
     spare = 1.0 - clip(effort, 0.0, 1.0)
     bucket = lambda x, a, b: c(x).between(a, b) & valid
-    full_valid = lambda x, n, agg: SEG.full_valid(x, V, n, agg)
+    count = lambda x, n: F.when(c(f"{x}_known") >= n, c(f"{x}_sum") - F.coalesce(SEG.lag(f"{x}_sum", n), F.lit(0.0)))
     ticks = lambda x: x / tick
     floor0 = lambda x: clip(x, low=0.0)
     made: dict[str, Column] = {
@@ -121,7 +130,7 @@ def add_base(df: DataFrame) -> DataFrame:
         "minutes_since_session_open": c("minutes_since_session_open").cast("double"), "minutes_until_session_close": c("minutes_until_session_close").cast("double"), "session_progress": c("session_progress"),
         "minute_of_day_sin": F.sin(2 * F.pi() * c("minute_of_day") / 1440), "minute_of_day_cos": F.cos(2 * F.pi() * c("minute_of_day") / 1440), "day_of_week": c("day_of_week").cast("double"),
         "efficiency_ratio_15": c("_er15"), "efficiency_ratio_30": c("_er30"), "efficiency_ratio_60": c("_er60"),
-        "directional_bar_ratio_15": full_valid("_same", 15, F.avg), "directional_bar_ratio_30": full_valid("_same", 30, F.avg),
+        "directional_bar_ratio_15": count("_same", 15) / 15.0, "directional_bar_ratio_30": count("_same", 30) / 30.0,
         "consecutive_up_bars": c("_nup").cast("double"), "consecutive_down_bars": c("_ndown").cast("double"),
         "trend_persistence_30": c("_er30"), "signed_trend_persistence_30": c("_er30") * F.signum(c("_c") - c("_c30")),
         "prior_high_20_dist": F.when(c("_ready20"), ticks(c("_c") - c("_ph20"))), "prior_low_20_dist": F.when(c("_ready20"), ticks(c("_c") - c("_pl20"))),
@@ -130,13 +139,13 @@ def add_base(df: DataFrame) -> DataFrame:
         "close_back_inside_range_20": yes((c("_c") <= c("_ph20")) & (c("_c") >= c("_pl20"))) & c("_ready20") & valid,
         "upper_wick_rejection": yes(upper > 0.5) & valid, "lower_wick_rejection": yes(lower > 0.5) & valid,
         "realized_range_30": c("_r30r"), "realized_range_60": c("_r60r"), "range_compression_30_vs_120": F.when(c("_m120"), safe_div("_r30r", "_r120r")),
-        "chop_ratio_30": safe_div("_trsum", progress), "inside_bar_count_20": full_valid("_inside", 20, F.sum), "overlap_ratio_20": full("_overlap", 20, F.avg),
+        "chop_ratio_30": safe_div("_trsum", progress), "inside_bar_count_20": count("_inside", 20), "overlap_ratio_20": full("_overlap", 20, F.avg),
         "session_open_dist": ticks(c("_c") - c("_so")), "session_high_dist": ticks(c("_c") - c("_sh")), "session_low_dist": ticks(c("_c") - c("_sl")), "session_mid_dist": ticks(c("_c") - c("_mid")), "session_vwap_dist": ticks(c("_c") - c("_vwap")),
         "session_range_percentile": safe_div("_sr", "_p_range"), "opening_range_30_ready": ready,
         "opening_range_30_high_dist": F.when(ready, ticks(c("_c") - c("_or_high"))), "opening_range_30_low_dist": F.when(ready, ticks(c("_c") - c("_or_low"))),
         "opening_range_30_breakout_up": yes(c("_c") > c("_or_high")) & ready & valid, "opening_range_30_breakout_down": yes(c("_c") < c("_or_low")) & ready & valid,
         "realized_vol_15": c("_rv15"), "realized_vol_60": c("_rv60"), "vol_expansion_15_vs_60": safe_div("_rv15", "_rv60"),
-        "large_bar_count_30": full_valid("_large", 30, F.sum), "shock_bar_flag": c("_shock"), "bars_since_shock": c("_bs").cast("double"), "volume_z_60": c("_vz60"),
+        "large_bar_count_30": count("_large", 30), "shock_bar_flag": c("_shock"), "bars_since_shock": c("_bs").cast("double"), "volume_z_60": c("_vz60"),
         "volume_surge_with_range": yes((c("_vz60") > 2.0) & (c("_rz") > 1.0)) & valid, "volume_surge_without_progress": yes((c("_vz60") > 2.0) & (c("_er30") < 0.2)) & valid,
         "range_per_volume": safe_div("_tr", "_v"), "volume_climax_flag": c("_climax"), "bars_since_volume_climax": c("_bsc").cast("double"),
         "5m_ret_3": c("_r15"), "15m_ret_4": c("_r60"), "60m_trend_slope": F.when(c("_m60"), (c("_c") - c("_c60")) / 60.0), "daily_open_dist": ticks(c("_c") - c("_so")),
@@ -149,11 +158,11 @@ def add_base(df: DataFrame) -> DataFrame:
         "volume_per_tick_progress_30": c("_vsum") / clip(ticks(progress), low=1.0), "range_without_close_progress_30": c("_trsum") / F.when(progress.isNotNull(), F.greatest(progress, tick)),
         "open_drive_up": yes(drive & (c("_or_close") > c("_or_open"))) & ready & valid, "open_drive_down": yes(drive & (c("_or_close") < c("_or_open"))) & ready & valid,
         "open_drive_strength_30": F.when(ready, safe_div(reach, room)), "session_one_wayness": safe_div(reach, room),
-        "vwap_side_persistence": F.greatest(full_valid("_above", 30, F.sum), full_valid("_below", 30, F.sum)) / 30.0,
-        "bars_above_vwap_30": full_valid("_above", 30, F.sum), "bars_below_vwap_30": full_valid("_below", 30, F.sum),
+        "vwap_side_persistence": F.greatest(count("_above", 30), count("_below", 30)) / 30.0,
+        "bars_above_vwap_30": count("_above", 30), "bars_below_vwap_30": count("_below", 30),
         "pullback_shallowness_30": 1.0 - safe_div(adverse, F.greatest(reach, tick)),
         "session_range_extension_up": F.when(c("_p_high").isNotNull(), ticks(floor0(c("_c") - c("_p_high")))), "session_range_extension_down": F.when(c("_p_low").isNotNull(), ticks(floor0(c("_p_low") - c("_c")))),
-        "session_acceptance_above_mid": full_valid("_amid", 30, F.avg), "session_acceptance_below_mid": full_valid("_bmid", 30, F.avg),
+        "session_acceptance_above_mid": count("_amid", 30) / 30.0, "session_acceptance_below_mid": count("_bmid", 30) / 30.0,
         "failed_retest_session_high": yes((c("_h") > c("_psh")) & (c("_c") < c("_psh"))) & valid, "failed_retest_session_low": yes((c("_l") < c("_psl")) & (c("_c") > c("_psl"))) & valid,
         "shock_direction": c("_sdir"), "bars_since_up_shock": c("_bsu").cast("double"), "bars_since_down_shock": c("_bsd").cast("double"),
         "post_shock_retrace_pct": c("post_shock_retrace_pct"), "post_shock_continuation_pct": c("post_shock_continuation_pct"), "post_shock_range_decay": c("post_shock_range_decay"),

@@ -59,7 +59,9 @@ def _long(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFra
 
 def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values of each column, and whether it has none at all."""
-    g = _long(df.withColumn("_one", F.lit(1)), ["_one"], columns).groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"))
+    # one row of counts, laid out by column afterwards: no row is copied for each column
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"_k{i}") for i, c in enumerate(columns)]).where("n > 0")
+    g = counts.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col("n") - F.col(f"_k{i}")).alias("nulls")) for i, c in enumerate(columns)])))
     return g.select("feature", "n", "nulls", (F.col("nulls") / F.col("n")).alias("rate"), (F.col("nulls") == F.col("n")).alias("unavailable"))
 
 
