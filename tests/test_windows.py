@@ -144,3 +144,18 @@ def test_equal_windows_share_one_sort(spark):
 def test_null_markets_are_a_group_of_their_own(spark):
     df = spark.createDataFrame([(None, "a", 1, 1.0), (None, "a", 2, 2.0), ("ES", "a", 1, 5.0)], "market string, session_segment_id string, ts int, x double")
     assert {(r.market, r.ts): r.v for r in df.select("market", "ts", SEG.lag("x").alias("v")).collect()} == {(None, 1): None, (None, 2): 1.0, ("ES", 1): None}
+
+
+def test_running_sum_is_rounded_once(spark):
+    rows, df = bars(spark, 600, 2)
+    want = {}
+    for seg in by_segment(rows):
+        known = []
+        for r in seg:
+            if r[8]:
+                known.append(r[6] * r[7])
+            want[r[2]] = math.fsum(known) if r[8] else None
+    x = F.when(F.col("valid"), F.col("close") * F.col("volume").cast("double"))
+    got = {r.ts: r.v for r in df.select("ts", SEG.running_sum(x).alias("v")).collect()}
+    plain = {r.ts: r.v for r in df.select("ts", SEG.running(x, F.sum).alias("v")).collect()}
+    assert got == want and plain != want

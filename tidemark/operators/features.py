@@ -63,7 +63,7 @@ def add_base(df: DataFrame) -> DataFrame:
             "_inside": F.when(c("_ph").isNotNull() & c("_pl").isNotNull(), default((c("_h") <= c("_ph")) & (c("_l") >= c("_pl")), False).cast("double")),
             "_overlap": safe_div(clip(F.least("_h", "_ph") - F.greatest("_l", "_pl"), low=0.0), union),
             "_so": SEG.first("_o"), "_sh": SEG.running("_h", F.max), "_sl": SEG.running("_l", F.min),
-            "_pv": SEG.running(c("_c") * c("_v"), F.sum), "_cv": SEG.running("_v", F.sum),
+            "_pv": SEG.running_sum(c("_c") * c("_v")), "_cv": SEG.running("_v", F.sum),
             "_trm": full("_tr", 60, F.avg), "_trs": full("_tr", 60, F.stddev_pop), "_vm": full("_v", 60, F.avg), "_vs": full("_v", 60, F.stddev_pop),
             "_hx": F.max("_h").over(SEG.back(20)), "_lx": F.min("_l").over(SEG.back(20)), "_m20": mask(20),
             "_rv15": full("_r1", 15, F.stddev_pop), "_rv60": full("_r1", 60, F.stddev_pop),
