@@ -187,6 +187,16 @@ def test_policy_reasons(spark):
     assert [r.turnover for r in df] == [1, 2, 1, 0, 0, 0]
 
 
+def test_equal_times_go_by_bar(spark):
+    rows = [("ES", 0, "s", i, 1, 0.7 if i % 3 else 0.1, 0.1 if i % 3 else 0.7, 0.0, 0.9, 0.1, 0.0, 100.0, 100.0 + (i % 7 - 3), 1) for i in range(60)]
+    df = spark.createDataFrame(rows[::-1], PRED).coalesce(1).withColumn("ts", F.timestamp_seconds("ts"))
+    frame = policy.frame(df, sources.costs(spark))
+    pos = [1 if i % 3 else -1 for i in range(60)]
+    assert [r.turnover for r in frame.orderBy("bar").collect()] == [abs(a - b) for a, b in zip(pos, [0, *pos[:-1]], strict=True)]
+    cum = pd.Series([r.net for r in frame.orderBy("bar").collect()]).cumsum()
+    assert policy.max_drawdown(frame, ["market"]).first().max_drawdown == pytest.approx((cum - cum.cummax()).min())
+
+
 def test_pivot_restores_wide_rows_with_null_keys(spark):
     wide = spark.createDataFrame([("ES", None, None, 1, 1, 0.1, 0.2, 0.3, None, 0.5, 0.6, 1.0, 2.0, 1)], PRED)
     got = policy.pivot(policy.to_long(wide), policy.KEYS).first().asDict()

@@ -154,8 +154,8 @@ def by_scopes(df: DataFrame, scopes: dict[str, list[str]], aggs: dict[str, Colum
     return sets.agg(label.alias("scope"), *[a.alias(k) for k, a in aggs.items()])
 
 
-def drawdown_by_scopes(df: DataFrame, x: str, scopes: dict[str, list[str]], parts: Sequence[str], ts: str = "ts", name: str = "max_drawdown") -> DataFrame:
-    """Least drawdown of the running sum of ``x`` in each group of each scope, rows in the order ``parts``, then ``ts``.
+def drawdown_by_scopes(df: DataFrame, x: str, scopes: dict[str, list[str]], parts: Sequence[str], ts: str = "ts", name: str = "max_drawdown", tie: Sequence[str] = ()) -> DataFrame:
+    """Least drawdown of the running sum of ``x`` in each group of each scope, rows in the order ``parts``, then ``ts``, then ``tie``.
 
     Rows meet only within a month of one combination of ``parts``. Each month leaves four numbers (sum, highest and lowest
     running sum, least drawdown), which chain: a scope's value follows from its months in order.
@@ -167,7 +167,7 @@ def drawdown_by_scopes(df: DataFrame, x: str, scopes: dict[str, list[str]], part
     out = None
     for extra, some in by_extra.items():
         month = [*extra, *parts, "_month"]
-        w = Window.partitionBy(*month).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*month).orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
         rows = df.withColumn("_cum", F.sum(F.coalesce(c(x), F.lit(0.0))).over(w))
         rows = rows.withColumn("_dd", F.col("_cum") - F.max("_cum").over(w))
         ends = rows.groupBy(*month).agg(F.sum(F.coalesce(c(x), F.lit(0.0))).alias("_sum"), F.max("_cum").alias("_hi"), F.min("_cum").alias("_lo"), F.min("_dd").alias("_dd"))
