@@ -20,6 +20,14 @@ def test_rows_are_not_shuffled_after_they_are_copied_into_folds(spark):
         assert got[n, "purged"].k == 3 and got[n, "train"].b < got[n, "purged"].a and got[n, "purged"].b < got[n, "test"].a
 
 
+def test_rows_of_equal_times_are_purged_by_bar(spark):
+    at = F.timestamp_add("MINUTE", (F.floor(F.col("id") / 40) * 40).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    rows = spark.range(0, 20_000).select(F.lit("ES").alias("market"), F.col("id").alias("bar"), at.alias("ts")).orderBy(F.desc("bar")).coalesce(1)
+    out = splits.assign(rows, splits.Windows(5, 2, 2, 3), ["bar"])
+    for r in out.groupBy("n").agg(F.max(F.when(F.col("role") == "train", F.col("bar"))).alias("train"), F.sort_array(F.collect_list(F.when(F.col("role") == "purged", F.col("bar")))).alias("purged"), F.min(F.when(F.col("role") == "test", F.col("bar"))).alias("test")).collect():
+        assert r.purged == [r.test - 3, r.test - 2, r.test - 1] and r.train == r.test - 4
+
+
 def test_sums_of_folds_are_shuffled_once(spark):
     rows = spark.range(100).select(F.concat(F.lit("k"), (F.col("id") % 5).cast("string")).alias("key"), F.array(F.col("id") * 1.0).alias("x"), F.col("id").alias("y"))
     sums = models._sums(rows, lambda w, x, y: x.sum(axis=0)).groupBy("key").agg(F.sum("v").alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -69,12 +70,12 @@ def fold_starts(rows: DataFrame, w: Windows) -> DataFrame:
     return out.where(F.col("test_end") <= F.col("last")).drop("first", "last")
 
 
-def assign(rows: DataFrame, w: Windows) -> DataFrame:
-    """Rows by fold and role: train, purged or test. Folds are cut into days, so the join is on equality.
+def assign(rows: DataFrame, w: Windows, tie: Sequence[str] = ()) -> DataFrame:
+    """Rows by fold and role: train, purged or test; rows of equal times go by ``tie``. Folds are cut into days, so the join is on equality.
 
     The last row before a test is found from the rows' numbers alone, so whole rows are shuffled before they are copied into folds.
     """
-    rows = numbered(rows).withColumn("_day", F.to_date("ts"))
+    rows = numbered(rows, order=("ts", *tie)).withColumn("_day", F.to_date("ts"))
     folds = fold_starts(rows, w)
     by_day = lambda df: df.withColumn("_day", F.explode(F.sequence(F.to_date("train_start"), F.to_date("test_end"))))
     trained = (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_start"))
@@ -84,9 +85,9 @@ def assign(rows: DataFrame, w: Windows) -> DataFrame:
     return both.withColumn("role", role).drop("_rn", "_day", "_before")
 
 
-def plan(rows: DataFrame, w: Windows) -> DataFrame:
+def plan(rows: DataFrame, w: Windows, tie: Sequence[str] = ()) -> DataFrame:
     """One row per fold that has training and test rows, numbered without gaps. Rows need ``eligible``."""
-    a = assign(rows, w)
+    a = assign(rows, w, tie)
     n = lambda role: F.count_if((F.col("role") == role) & F.col("eligible"))
     out = a.groupBy("market", "n", "train_start", "test_start", "test_end").agg(
         n("train").alias("n_train"),
