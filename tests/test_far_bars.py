@@ -10,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 FAR = 300_000
 NAMES = [
     "agg_argmax_accuracy",
+    "agg_class_calibration",
 ]
 
 
