@@ -11,6 +11,7 @@ FAR = 300_000
 NAMES = [
     "agg_argmax_accuracy",
     "agg_class_calibration",
+    "agg_inverted_rate",
 ]
 
 
