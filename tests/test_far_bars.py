@@ -12,6 +12,7 @@ NAMES = [
     "agg_argmax_accuracy",
     "agg_class_calibration",
     "agg_inverted_rate",
+    "agg_model_comparison",
 ]
 
 
