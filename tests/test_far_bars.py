@@ -13,6 +13,7 @@ NAMES = [
     "agg_class_calibration",
     "agg_inverted_rate",
     "agg_model_comparison",
+    "agg_model_target",
 ]
 
 
