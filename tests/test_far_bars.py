@@ -14,6 +14,7 @@ NAMES = [
     "agg_inverted_rate",
     "agg_model_comparison",
     "agg_model_target",
+    "agg_sharpe_like",
 ]
 
 
