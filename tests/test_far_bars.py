@@ -15,6 +15,7 @@ NAMES = [
     "agg_model_comparison",
     "agg_model_target",
     "agg_sharpe_like",
+    "agg_stability_scopes",
 ]
 
 
