@@ -16,6 +16,7 @@ NAMES = [
     "agg_model_target",
     "agg_sharpe_like",
     "agg_stability_scopes",
+    "aud_block_counts",
 ]
 
 
