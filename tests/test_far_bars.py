@@ -17,6 +17,7 @@ NAMES = [
     "agg_sharpe_like",
     "agg_stability_scopes",
     "aud_block_counts",
+    "aud_cost_components",
 ]
 
 
