@@ -18,6 +18,7 @@ NAMES = [
     "agg_stability_scopes",
     "aud_block_counts",
     "aud_cost_components",
+    "aud_blocked_opportunity",
 ]
 
 
