@@ -19,6 +19,7 @@ NAMES = [
     "aud_block_counts",
     "aud_cost_components",
     "aud_blocked_opportunity",
+    "aud_cost_counterfactuals",
 ]
 
 
