@@ -20,6 +20,7 @@ NAMES = [
     "aud_cost_components",
     "aud_blocked_opportunity",
     "aud_cost_counterfactuals",
+    "aud_decisions",
 ]
 
 
