@@ -21,6 +21,7 @@ NAMES = [
     "aud_blocked_opportunity",
     "aud_cost_counterfactuals",
     "aud_decisions",
+    "aud_direction_calibration",
 ]
 
 
