@@ -22,6 +22,7 @@ NAMES = [
     "aud_cost_counterfactuals",
     "aud_decisions",
     "aud_direction_calibration",
+    "aud_long_failure",
 ]
 
 
