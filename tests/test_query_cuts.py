@@ -11,6 +11,7 @@ from tidemark.plans.catalog import ORACLE, QUERIES
 duckdb = pytest.importorskip("duckdb")
 NAMES = [
     "aud_threshold_sanity",
+    "aud_trade_drilldown",
 ]
 
 
