@@ -12,6 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 NAMES = [
     "aud_threshold_sanity",
     "aud_trade_drilldown",
+    "agg_corr_spearman",
 ]
 
 
