@@ -28,6 +28,8 @@ NAMES = [
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_of_far_bars_equals_its_twin(spark, sf_dir, monkeypatch, name):
+    # on the smallest tables no scenario has trades enough for a decision
+    sf_dir = sf_dir if name != "aud_decisions" else "/root/testdata/sf0.01"
     near = bars.tick_bars
     monkeypatch.setattr(bars, "tick_bars", lambda *a, **b: near(*a, **b).withColumn("bar", F.col("bar") + FAR))
     df = QUERIES[name](spark, sf_dir)
@@ -38,4 +40,4 @@ def test_query_of_far_bars_equals_its_twin(spark, sf_dir, monkeypatch, name):
     assert ORACLE[name].count("cast(n // 3 as int) as bar") == 1
     rel = c.sql(ORACLE[name].replace("cast(n // 3 as int) as bar", f"cast(n // 3 + {FAR} as bigint) as bar"))
     at = [rel.columns.index(k) for k in sorted(df.columns)]
-    assert got == sorted(map(repr, (tuple(r[i] for i in at) for r in rel.fetchall())))
+    assert got and got == sorted(map(repr, (tuple(r[i] for i in at) for r in rel.fetchall())))
